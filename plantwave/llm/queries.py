@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, packing, url_filter, warc
+from . import ann, bpe, chat, jaccard, packing, url_filter, warc
 from .common import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -102,5 +102,9 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(materialize(chat.format_conversations(rows, RANKS, PATTERN), "windows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_fixity_audit, op2_url_filter, op3_best_fit_packing, op4_nearest_neighbours, op7_bpe, op8_chat_windows)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_fixity_audit, op2_url_filter, op3_best_fit_packing, op4_nearest_neighbours, op7_bpe, op8_chat_windows, op9_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL}
