@@ -196,3 +196,10 @@ def _across(lists: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame
     near = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & near
     return x.join(y, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of docs for each component, that of the smallest id; rows without an id stay; all columns stay."""
+    grouped = near_duplicates(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(grouped, "doc_id", "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, packing, url_filter, warc
+from . import ann, bpe, chat, jaccard, langid, packing, pages, quality, url_filter, warc
 from .common import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,8 +59,8 @@ from m left join r on m.doc_id is not distinct from r.doc_id and m.copy = r.copy
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filter.filter_urls(pages, URL_RULES + PAGE_PATTERNS)
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.filter_urls(urls, URL_RULES + PAGE_PATTERNS)
     site = F.col("rule").isin([r.text for r in URL_RULES])
     return judged.select("page_id", "host", "path", F.when(site, F.col("rule")).alias("rule"), "verdict")
 
@@ -92,6 +92,18 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, "rank"::int as "rank", vec_id, score from r where "rank" <= 20"""
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN), RANKS, PATTERN))
 
@@ -106,5 +118,23 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_fixity_audit, op2_url_filter, op3_best_fit_packing, op4_nearest_neighbours, op7_bpe, op8_chat_windows, op9_ngram_jaccard_join)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_warc_fixity_audit,
+        op2_url_filter,
+        op3_best_fit_packing,
+        op4_nearest_neighbours,
+        op5_quality_rules,
+        op6_language_id,
+        op7_bpe,
+        op8_chat_windows,
+        op9_ngram_jaccard_join,
+        op10_main_text,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL}

@@ -14,10 +14,11 @@ import pyarrow as pa
 #: Bytes of text hashed at once; a longer text is hashed alone.
 SLAB = 1 << 20
 _rng = np.random.default_rng(20_17)
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE = _EXACT.copy()
 _VALUE[65:91] = _VALUE[97:123]  # A-Z are a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -41,11 +42,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, word number at which each text starts, and the count) of texts that lie end to end in data."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(starts) + 1, np.int64)
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, starts: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of each word of texts that lie end to end in data."""
+    inside = ~SPACE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -53,9 +52,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     first[seams] |= inside[seams]
     last[seams - 1] |= inside[seams - 1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return a, b, line_hashes(data, a, b, values)
+
+
+def line_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the byte ranges from a to b."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _power(_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[b] - sums[a]) * _power(_INVERSE, len(data))[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum((_EXACT if values is None else values)[data] * _power(_BASE, len(data)), out=sums[1:])
+    return mix((sums[b] - sums[a]) * _power(_INVERSE, len(data))[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word in lower case, word number at which each text starts, and the count)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(starts) + 1, np.int64)
+    a, _, hashes = word_spans(data, starts, _VALUE)
     return hashes, np.append(np.searchsorted(a, starts), len(a))
 
 
