@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.signals import THRESHOLDS, missing, normalise, quality
+from ..functions.signals import THRESHOLDS, missing, normalise, present, quality
 
 #: Reasons that mark a sample without making it invalid.
 MARK_ONLY = ("TS_ANOMALY", "HF_NOISE", "FROZEN")
@@ -50,12 +50,12 @@ def ts_anomaly(ts: str, keys: list[str], by: list[str], interval: float) -> Colu
 def detect(df: DataFrame, signal: str, keys: list[str], by: list[str], low: float, high: float, control: str = "FC", quality_code: str | None = None, ts: str | None = None, interval: float | None = None) -> DataFrame:
     """Adds <signal>_reasons and <signal>_valid; reasons in fixed order. All windows share keys and order, so one shuffle and one sort."""
     t, span = THRESHOLDS[control], high - low
-    w, x = order(keys, by), F.col(signal)
+    w, x = order(keys, by), present(signal)  # NaN is above every number in comparisons
     df = with_frozen(df, signal, keys, by, t["frozen_window"], t["frozen"] * span, "_frozen")
     named = [
-        ("NAN", missing(x)),
+        ("NAN", x.isNull()),
         ("OUT_OF_RANGE", out_of_range(x, low, high)),
-        ("FROZEN", F.col("_frozen") & ~missing(x)),
+        ("FROZEN", F.col("_frozen") & x.isNotNull()),
         ("JUMP", jump(x, w, t["jump"] * span)),
         ("SPIKE", spike(x, w, t["spike"] * span)),
     ]
