@@ -169,6 +169,22 @@ def from_history(y: np.ndarray, u: np.ndarray, interval: float = 1.0, r: np.ndar
     return {k: pick[k] for k in ("structure", "K", "tau", "theta", "r2")} | {"grade": grade}
 
 
+def uncertainty(y: np.ndarray, u: np.ndarray, model: dict, interval: float = 1.0, rounds: int = 50, seed: int = 0) -> dict[str, float]:
+    """Relative deviations of gain and time constant under resampled residuals: y is rebuilt and fitted again each round."""
+    rng, na, nb, d = np.random.default_rng(seed), len(model["a"]), len(model["b"]), model["delay"]
+    found = []
+    for _ in range(rounds):
+        again = simulate(model, u, y) + rng.choice(model["residual"], len(y))
+        fitted = fit_arx(again, u, na, nb, d)
+        params = fitted and (to_fopdt(fitted, interval) if na == 1 else to_sopdt(fitted, interval))
+        if params:
+            found.append(params[:2])
+    if len(found) < 2:
+        return {"K": math.inf, "tau": math.inf}
+    mean, spread = np.mean(found, 0), np.std(found, 0)
+    return {"K": float(spread[0] / abs(mean[0])), "tau": float(spread[1] / abs(mean[1]))}
+
+
 def step_fopdt(t: np.ndarray, y: np.ndarray, move: float) -> tuple[float, float, float] | None:
     """(gain, time constant, dead time) of a step test by the times of 28.3 % and 63.2 % of the change."""
     tail = y[-max(1, len(y) // 10) :].mean()

@@ -83,6 +83,14 @@ def completeness(counts: DataFrame, expected: Column) -> DataFrame:
     return counts.withColumn("completeness", F.coalesce(share, F.lit(0.0))).withColumn("band", F.when(F.col("completeness") >= 0.95, "COMPLETE").when(F.col("completeness") >= 0.20, "PARTIAL").otherwise("MISSING"))
 
 
+def hour_buckets(spark, start: str, end: str, interval: float = 1.0) -> DataFrame:
+    """(hour, expected) of a range: the first and last hour expect only the rows of their real seconds."""
+    a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    hours = spark.range(1).select(F.explode(F.sequence(F.date_trunc("hour", a), F.date_trunc("hour", b - F.expr("interval 1 microsecond")), F.expr("interval 1 hour"))).alias("hour"))
+    inside = F.unix_micros(F.least(F.col("hour") + F.expr("interval 1 hour"), b)) - F.unix_micros(F.greatest(F.col("hour"), a))
+    return hours.select("hour", F.ceil(inside / 1e6 / interval).alias("expected"))
+
+
 def regression(x: Column, y: Column) -> tuple[Column, Column]:
     """Slope and intercept of y over x, null below three points."""
     enough = F.count(F.when(y.isNotNull(), x)) >= 3

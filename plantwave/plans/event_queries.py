@@ -105,3 +105,17 @@ def snapshot_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = snapshots(spark, sf_dir).where("ts >= '1998-06-01' and ts < '1998-09-01'").join(ledger(spark, sf_dir), "loop_id")
     return df.groupBy("loop_type", F.upper("status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("loop_id").alias("loops"), F.min("ts").alias("first_"), F.max("ts").alias("last_"))
+
+
+@query(
+    f"""with {SAMPLES_SQL}, h as (select unnest(generate_series(timestamp '2024-01-05 06:00:00', timestamp '2024-01-05 18:00:00', interval 1 hour)) as hour),
+ x as (select hour, ceil((epoch(least(hour + interval 1 hour, timestamp '2024-01-05 18:20:00')) - epoch(greatest(hour, timestamp '2024-01-05 06:30:00'))) / 300)::bigint as expected from h),
+ g as (select date_trunc('hour', ts) as hour, count(*) as rows from s where ts >= '2024-01-05 06:30:00' and ts < '2024-01-05 18:20:00' group by 1)
+ select x.hour::timestamp as hour, expected, coalesce(rows, 0) as rows, round(least(1.0, coalesce(rows / expected, 0)), 6) as completeness, case when coalesce(rows / expected, 0) >= 0.95 then 'COMPLETE' when coalesce(rows / expected, 0) >= 0.2 then 'PARTIAL' else 'MISSING' end as band from x left join g on x.hour = g.hour"""
+)
+def hourly_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by hour against those of the hour's real seconds within the range."""
+    axis = reports.hour_buckets(spark, "2024-01-05 06:30:00", "2024-01-05 18:20:00", 300)
+    counts = samples(spark, sf_dir).where("ts >= '2024-01-05 06:30:00' and ts < '2024-01-05 18:20:00'").groupBy(F.date_trunc("hour", "ts").cast("timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("rows"))
+    out = reports.completeness(axis.join(counts, "hour", "left").withColumn("rows", F.coalesce("rows", F.lit(0))), F.col("expected"))
+    return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "expected", "rows", F.round("completeness", 6).alias("completeness"), "band")

@@ -51,6 +51,23 @@ def test_largest_triangles_keep_ends_and_peaks():
     assert len(kernels.largest_triangles(x[:10], y[:10], 50)) == 10
 
 
+def test_shared_axis_keeps_peaks_of_all_series():
+    x = np.arange(1000.0)
+    a, b = np.zeros(1000), np.zeros(1000)
+    a[200], b[700] = 5, 500
+    keep = kernels.shared_triangles(x, [a, b], 60)
+    assert len(keep) == 60 and 200 in keep and 700 in keep
+    assert kernels.sample_interval(86_400) == 24 and kernels.sample_interval(10) == 1
+
+
+def test_uncertainty_shrinks_with_noise():
+    rng = np.random.default_rng(6)
+    u = np.repeat(rng.choice([0.0, 20.0], 60), 10)
+    clean = identify.simulate({"a": np.array([-0.9]), "b": np.array([0.2]), "delay": 1}, u, np.zeros(len(u)))
+    spread = [identify.uncertainty(y, u, identify.fit_arx(y, u, 1, 1, 1))["K"] for y in (clean + rng.normal(0, s, len(u)) for s in (0.01, 1.0))]
+    assert spread[0] < spread[1] < 1
+
+
 def test_resampling():
     t, x = np.array([0.0, 10.0]), np.array([0.0, 1.0])
     assert kernels.resample(t, x, np.array([-5.0, 5.0, 20.0])).tolist() == [0.0, 0.5, 1.0]
