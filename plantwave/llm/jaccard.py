@@ -31,7 +31,7 @@ from .components import connected
 from .shingles import mix, shingle_sets
 
 #: log2 of the counters, and of the counters in a row; partial tables of a block that one task sums.
-COUNTER_BITS, ROW_BITS, FAN_IN = 22, 16, 512
+COUNTER_BITS, ROW_BITS, FAN_IN = 20, 14, 512
 #: Members compared with one head in a task.
 MEMBERS = 512
 
@@ -62,7 +62,7 @@ def occurrences(docs: DataFrame, words: int) -> np.ndarray:
         tasks = -(-tasks // FAN_IN)
         parts = parts.withColumn("salt", (F.rand(5) * tasks).cast("int")).repartition(min(blocks * tasks, 10_000), "block", "salt").drop("salt").mapInArrow(add, ddl)
     out = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for block, at, n in parts.repartition(blocks, "block").mapInArrow(add, ddl).collect():  # always 2^22 counters at most
+    for block, at, n in parts.repartition(blocks, "block").mapInArrow(add, ddl).collect():  # always 2^20 counters at most
         out[(block << ROW_BITS) + np.frombuffer(at, np.uint16).astype(np.int64)] = np.frombuffer(n, np.uint32)
     return out
 
@@ -111,25 +111,28 @@ def _possible(n: Column, pos: Column, m: Column, at: Column, num: int, den: int)
     return (n * den >= m * num) & (m * den >= n * num) & (F.least(n - pos, m - at) >= need)
 
 
-def links(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A head's text meets its members' in parts of MEMBERS pairs."""
+def links(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. A head's text meets its members' in parts of MEMBERS pairs.
+
+    Texts move twice: once to meet their roles in the pairs, once to their groups. The hint keeps that plan at all sizes."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     dealt = materialize(dealt.select("a", "b", "part"), "pairs")
-    member = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
-    head = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    both = head.unionByName(member).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    head = dealt.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part", F.lit(True).alias("head"))
+    roles = head.unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(False).alias("head")))
+    both = docs.select("doc_id", "text").join(roles.hint("merge"), "doc_id").select("a", "part", "head", "doc_id", "text")
+    both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("head"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, heads = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            sets = shingle_sets(batch.column(3), words)
-            for a, part, b, h in zip(*(batch.column(i).to_pylist() for i in range(3)), sets, strict=True):
+            sets = shingle_sets(batch.column(4), words)
+            for a, part, is_head, b, h in zip(*(batch.column(i).to_pylist() for i in range(4)), sets, strict=True):
                 if group != (a, part):
                     group, heads = (a, part), []
-                if b is None:
+                if is_head:
                     heads.append(h)
                 elif any(similar(x, h, num, den) for x in heads):
                     found.append((a, b))
@@ -166,9 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     stars = shared.where((F.col("doc_id") != F.col("head")) & near).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     stars = materialize(stars.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b")), "stars")  # a pair once, under one of its heads
     lists = shared.where("c > 2").select("token", "doc_id", "n", "pos", "head")
-    nodes = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(lists.select("doc_id")).distinct()
-    texts = materialize(docs.join(nodes, "doc_id", "left_semi"), "texts")
-    first = links(stars, texts, words, num, den)
+    first = links(stars, docs, words, num, den)
     copies = sets.where("prefix is not null").select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     twice = sets.where("n > 0").groupBy("doc_id").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least <> most").select("doc_id")  # ids of several texts
     twice = sets.where("n > 0").join(twice, "doc_id").select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -176,10 +177,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     parts = materialize(connected(edges), "components")
     rest = materialize(_across(lists, parts, num, den), "rest")
     if not rest.isEmpty():
-        more = materialize(links(rest, texts, words, num, den), "edges")
+        more = materialize(links(rest, docs, words, num, den), "edges")
         if not more.isEmpty():
             parts = materialize(connected(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
-    for done in (shared, stars, texts, edges, rest):
+    for done in (shared, stars, edges, rest):
         discard(done)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "hi", "lo").join(of_class, ["hi", "lo"], "left")
