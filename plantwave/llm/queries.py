@@ -118,6 +118,17 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+#: All pairs that share a shingle: fast enough for the tables that SQL is run on.
+OP9_SQL = r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh from w),
+e as (select doc_id, unnest(sh) as g from s), n as (select doc_id, len(sh) as n from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n as nx on nx.doc_id = x join n as ny on ny.doc_id = y where 100 * c >= 90 * (nx.n + ny.n - c)),
+b as (select x, y from l union select y, x from l),
+r(d, c) as (select doc_id, doc_id from n union select r.d, b.y from r join b on r.c = b.x)
+select n.doc_id, n.n as n_shingles, min(r.c) as component_id from n join r on r.d = n.doc_id group by 1, 2"""
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -137,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_main_text,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL}
