@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,8 +20,12 @@ def work_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local_base:
-        _local_base.append("file://" + tempfile.mkdtemp(prefix="plantwave-"))
+        folder = tempfile.mkdtemp(prefix="plantwave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_base.append("file://" + folder)
     return _local_base[0]
 
 
