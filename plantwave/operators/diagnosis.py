@@ -143,6 +143,32 @@ def distinct_labels(found: DataFrame, keys: list[str]) -> DataFrame:
     return best.groupBy(*keys, exclusive.alias("_group")).agg(F.max_by("label", F.struct("confidence", "label")).alias("label"), F.max("confidence").alias("confidence")).drop("_group")
 
 
+# Order of labels in a report.
+LABELS = ("QUALITY_ABNORMAL", "VALVE_STICTION", "OVERAGGRESSIVE", "OVERCONSERVATIVE", "OUTPUT_SATURATION", "OSCILLATION", "EXTERNAL_DISTURBANCE")
+
+
+def expert_rules(found: DataFrame, keys: list[str], bad_rate: str = "bad_rate") -> DataFrame:
+    """(keys, label, confidence, place) of findings (keys, label, confidence, bad_rate) after the rules between labels.
+
+    Mostly bad data leave only their own label; a stiction (surer than 0.5), or too aggressive settings without stiction,
+    explain an oscillation; of too aggressive and too conservative the surer stays; unsure findings ask for a review."""
+    sets = found.groupBy(*keys).agg(F.collect_list(F.struct("label", "confidence")).alias("all"), F.max(F.when(F.col("label") == "QUALITY_ABNORMAL", F.col(bad_rate))).alias("bad"))
+    conf = lambda name: F.array_max(F.transform(F.filter("all", lambda x: x["label"] == name), lambda x: x["confidence"]))
+    sets = sets.withColumns({"stuck": conf("VALVE_STICTION"), "hot": conf("OVERAGGRESSIVE"), "slow": conf("OVERCONSERVATIVE")})
+    explained = F.coalesce(F.col("stuck") > 0.5, F.lit(False)) | (F.col("hot").isNotNull() & F.col("stuck").isNull())
+    loser = F.when(F.col("hot").isNotNull() & F.col("slow").isNotNull(), F.when(F.col("hot") >= F.col("slow"), "OVERCONSERVATIVE").otherwise("OVERAGGRESSIVE"))
+    left = F.filter("all", lambda x: ~((x["label"] == "OSCILLATION") & explained) & ~x["label"].eqNullSafe(loser))
+    left = F.when(F.col("bad") > 0.5, F.filter("all", lambda x: x["label"] == "QUALITY_ABNORMAL")).otherwise(left)
+    sets = sets.withColumn("left", left)
+    review = F.forall("left", lambda x: x["confidence"] < 0.5) & ~F.coalesce(F.col("bad") > 0.5, F.lit(False))
+    extra = F.array(F.struct(F.lit("MANUAL_REVIEW").alias("label"), F.lit(0.5).cast("double").alias("confidence")))
+    out = sets.select(*keys, F.inline(F.when(review, F.concat("left", extra)).otherwise(F.col("left"))))
+    place = F.lit(99)
+    for i, name in enumerate(LABELS):
+        place = F.when(F.col("label") == name, i + 1).otherwise(place)
+    return out.withColumn("place", place)
+
+
 def quality_rules(df: DataFrame, keys: list[str]) -> DataFrame:
     """Q001 to Q005 by shares of a window's points, the most important one that applies: bad, absent, frozen, jumping, out of range."""
     share = lambda reason: F.avg(F.array_contains("pv_reasons", reason).cast("double"))

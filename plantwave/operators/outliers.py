@@ -83,6 +83,25 @@ def repair_spikes(df: DataFrame, signal: str, flag: str, keys: list[str], by: li
     return F.last(F.when(~F.col(flag), F.col(signal)), ignorenulls=True).over(order(keys, by).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def spike_runs(df: DataFrame, signal: str, keys: list[str], by: list[str], limit: float, longest: int = 5) -> DataFrame:
+    """Adds spike: rows between an abrupt change and an abrupt return at most `longest` rows later.
+
+    Abrupt changes that follow each other that closely form a cluster; within it odd ones leave and even ones return."""
+    w = order(keys, by)
+    x = present(signal)
+    df = df.withColumns({"_n": F.row_number().over(w), "_abrupt": F.coalesce(F.abs(x - F.lag(x).over(w)) > limit, F.lit(False))})
+    at = F.when(F.col("_abrupt"), F.col("_n"))
+    before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    df = df.withColumns({"_fresh": (F.col("_abrupt") & F.coalesce(F.col("_n") - before > longest, F.lit(True))).cast("int"), "_ahead": ahead})
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_cluster", F.sum("_fresh").over(running))
+    inside = Window.partitionBy(*keys, "_cluster").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    count, since = F.sum(F.col("_abrupt").cast("int")).over(inside), F.last(at, ignorenulls=True).over(inside)
+    df = df.withColumn("spike", F.coalesce((count % 2 == 1) & (F.col("_ahead") - since <= longest), F.lit(False)))
+    return df.drop("_n", "_abrupt", "_fresh", "_ahead", "_cluster")
+
+
 def quality_summary(df: DataFrame, keys: list[str], signal: str, ts: str, interval: float) -> DataFrame:
     """Counts and rates against the samples that the span and interval let expect."""
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6

@@ -83,6 +83,23 @@ def completeness(counts: DataFrame, expected: Column) -> DataFrame:
     return counts.withColumn("completeness", F.coalesce(share, F.lit(0.0))).withColumn("band", F.when(F.col("completeness") >= 0.95, "COMPLETE").when(F.col("completeness") >= 0.20, "PARTIAL").otherwise("MISSING"))
 
 
+def next_action() -> Column:
+    """The one next step of a loop by the first rule that applies, over columns complete, has_data, assessed,
+    worsened, diagnosed, tunable, tracked, tuning (status), order_state."""
+    c = F.col
+    return (
+        F.when(~c("complete"), "FIX_TAG_CONFIG")
+        .when(~c("has_data"), "IMPORT_DATA")
+        .when(~c("assessed") | c("worsened"), "RUN_ASSESSMENT")
+        .when(~c("diagnosed"), "RUN_DIAGNOSIS")
+        .when(~c("tunable") & ~c("tracked"), "CREATE_TRACKER")
+        .when(c("tunable") & (c("tuning").isNull() | c("tuning").isin("NOT_REQUIRED", "NOT_STARTED", "INCONCLUSIVE", "BLOCKED")), "RUN_TUNING")
+        .when(c("tuning").isin("COMPLETED", "SIMULATED") & c("order_state").isin("OPEN", "IN_PROGRESS"), "RECORD_IMPLEMENTATION")
+        .when(c("order_state") == "VERIFYING", "VERIFY_EFFECT")
+        .otherwise("KEEP_MONITORING")
+    )
+
+
 def hour_buckets(spark, start: str, end: str, interval: float = 1.0) -> DataFrame:
     """(hour, expected) of a range: the first and last hour expect only the rows of their real seconds."""
     a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diagnosis, events, reports
+from ..functions.signals import lookup
+from ..operators import diagnosis, events, outliers, reports
 from ..sources.stand_ins import LEDGER_SQL, SAMPLES_SQL, SNAPSHOTS_SQL, WORK_SQL, ledger, orders_of_work, samples, snapshots, table
 
 KEYS, BY = ["loop_id"], ["ts", "event_id"]
@@ -119,3 +120,77 @@ def hourly_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = samples(spark, sf_dir).where("ts >= '2024-01-05 06:30:00' and ts < '2024-01-05 18:20:00'").groupBy(F.date_trunc("hour", "ts").cast("timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("rows"))
     out = reports.completeness(axis.join(counts, "hour", "left").withColumn("rows", F.coalesce("rows", F.lit(0))), F.col("expected"))
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "expected", "rows", F.round("completeness", 6).alias("completeness"), "band")
+
+
+@query(
+    f"""with {SAMPLES_SQL}, a as (select *, row_number() over w as n, coalesce(abs(pv - lag(pv) over w) > 60, false) as ab from s {W}),
+ b as (select *, max(case when ab then n end) over (w rows between unbounded preceding and 1 preceding) as bef, min(case when ab then n end) over (w rows between 1 following and unbounded following) as ahead from a {W}),
+ c as (select *, sum((ab and coalesce(n - bef > 5, true))::int) over (w rows unbounded preceding) as cl from b {W}),
+ d as (select *, sum(ab::int) over i as cnt, max(case when ab then n end) over i as since from c window i as (partition by loop_id, cl order by ts, event_id rows unbounded preceding)),
+ e as (select *, coalesce(cnt % 2 = 1 and ahead - since <= 5, false) as spike from d) select event_id, spike, last_value(case when not spike then pv end ignore nulls) over (w rows unbounded preceding) as repaired from e {W}"""
+)
+def spike_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = outliers.spike_runs(samples(spark, sf_dir), "pv", KEYS, BY, 60.0)
+    return df.select("event_id", "spike", outliers.repair_spikes(df, "pv", "spike", KEYS, BY).alias("repaired"))
+
+
+@query(
+    f"""with {SNAPSHOTS_SQL}, f as (select loop_id, ['QUALITY_ABNORMAL', 'VALVE_STICTION', 'OVERAGGRESSIVE', 'OVERCONSERVATIVE', 'OSCILLATION'][(snapshot_id % 5)::int + 1] as label, max(round(auto_rate / 40, 6)) as confidence, max(score / 100) as bad from k group by 1, 2),
+ g as (select loop_id, max(bad) filter (where label = 'QUALITY_ABNORMAL') as bad, max(confidence) filter (where label = 'VALVE_STICTION') as st, max(confidence) filter (where label = 'OVERAGGRESSIVE') as hot, max(confidence) filter (where label = 'OVERCONSERVATIVE') as slow from f group by 1),
+ h as (select f.loop_id, label, confidence, g.bad, case when coalesce(g.bad > 0.5, false) then label = 'QUALITY_ABNORMAL' else not (label = 'OSCILLATION' and (coalesce(st > 0.5, false) or (hot is not null and st is null))) and not (hot is not null and slow is not null and label = case when hot >= slow then 'OVERCONSERVATIVE' else 'OVERAGGRESSIVE' end) end as stays from f join g using (loop_id)),
+ r as (select loop_id, label, confidence from h where stays union all select loop_id, 'MANUAL_REVIEW', 0.5 from h where not coalesce(bad > 0.5, false) group by loop_id having coalesce(max(confidence) filter (where stays), 0) < 0.5)
+ select loop_id, label, confidence::double as confidence, case label when 'QUALITY_ABNORMAL' then 1 when 'VALVE_STICTION' then 2 when 'OVERAGGRESSIVE' then 3 when 'OVERCONSERVATIVE' then 4 when 'OSCILLATION' then 6 else 99 end as place from r"""
+)
+def expert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("QUALITY_ABNORMAL", "VALVE_STICTION", "OVERAGGRESSIVE", "OVERCONSERVATIVE", "OSCILLATION")))
+    found = snapshots(spark, sf_dir).groupBy("loop_id", F.element_at(names, (F.col("snapshot_id") % 5).cast("int") + 1).alias("label")).agg(F.max(F.round(F.col("auto_rate") / 40, 6)).alias("confidence"), F.max(F.col("score") / 100).alias("bad_rate"))
+    return diagnosis.expert_rules(found, ["loop_id"])
+
+
+@query(
+    f"""with {LEDGER_SQL}, {SNAPSHOTS_SQL}, t as (select loop_id, arg_max_null(score, struct_pack(a := ts, b := snapshot_id)) as score, count(*) as n from k group by 1)
+ select l.loop_id, case when l.weight is null then 'FIX_TAG_CONFIG' when t.n is null then 'IMPORT_DATA' when t.score is null or t.score < 10 then 'RUN_ASSESSMENT' when l.level = 0 then 'RUN_DIAGNOSIS' when l.level <> 1 and l.loop_id % 2 = 0 then 'CREATE_TRACKER' when l.level = 1 and l.loop_id % 3 <> 0 then 'RUN_TUNING' when l.loop_id % 3 = 0 and l.loop_type = 'FLOW' then 'RECORD_IMPLEMENTATION' when l.loop_type = 'LEVEL' then 'VERIFY_EFFECT' else 'KEEP_MONITORING' end as action from l left join t using (loop_id)"""
+)
+def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = snapshots(spark, sf_dir).groupBy("loop_id").agg(F.max_by("score", F.struct("ts", "snapshot_id")).alias("score"), F.count(F.lit(1)).alias("n"))
+    i = F.col("loop_id")
+    df = ledger(spark, sf_dir).join(newest, "loop_id", "left").withColumns(
+        {
+            "complete": F.col("weight").isNotNull(),
+            "has_data": F.col("n").isNotNull(),
+            "assessed": F.col("score").isNotNull(),
+            "worsened": F.coalesce(F.col("score") < 10, F.lit(False)),
+            "diagnosed": F.col("level") != 0,
+            "tunable": F.col("level") == 1,
+            "tracked": i % 2 != 0,
+            "tuning": F.when(i % 3 == 0, "COMPLETED"),
+            "order_state": lookup("loop_type", {"FLOW": "OPEN", "LEVEL": "VERIFYING"}),
+        }
+    )
+    return df.select("loop_id", reports.next_action().alias("action"))
+
+
+@query(f"with {LEDGER_SQL} select complex_group, max(case when role = 'MAIN' then tag end) as main_tag, count(*) as members from l where complex_group is not null group by 1")
+def complex_group_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).where("complex_group is not null").groupBy("complex_group").agg(F.max(F.when(F.col("role") == "MAIN", F.col("tag"))).alias("main_tag"), F.count(F.lit(1)).alias("members"))
+
+
+@query(f"with {SNAPSHOTS_SQL} select confidence as card, round(avg(score), 6) as value, case when avg(score) >= 50 then 'NORMAL' when avg(score) >= 45 then 'WARNING' else 'DANGER' end as state from k where ts >= '1999-01-01' group by 1")
+def indicator_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = F.avg("score")
+    return snapshots(spark, sf_dir).where("ts >= '1999-01-01'").groupBy(F.col("confidence").alias("card")).agg(F.round(mean, 6).alias("value"), F.when(mean >= 50, "NORMAL").when(mean >= 45, "WARNING").otherwise("DANGER").alias("state"))
+
+
+@query(f"with {SAMPLES_SQL}, m as (select * from (values (0, 10, 0), (0, 11, 3), (1, 2, 1)) t(model, raw, standard)) select event_id, coalesce(standard, mode) as mode from s left join m on m.model = s.loop_id % 2 and m.raw = s.mode + case when s.loop_id % 2 = 0 then 10 else 0 end")
+def mode_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw modes of each controller model as standard ones; those without a mapping stay."""
+    mapping = spark.createDataFrame([(0, 10, 0), (0, 11, 3), (1, 2, 1)], "model long, raw int, standard int")
+    df = samples(spark, sf_dir).withColumn("model", F.col("loop_id") % 2)
+    df = df.withColumn("raw", F.col("mode") + F.when(F.col("model") == 0, 10).otherwise(0))
+    return df.join(F.broadcast(mapping), ["model", "raw"], "left").select("event_id", F.coalesce("standard", "mode").alias("mode"))  # a few rows a model
+
+
+@query(f"with {WORK_SQL} select action as label, count(*) filter (where state not in ('CLOSED', 'CANCELLED')) as open_, count(*) filter (where state = 'CLOSED') as archived, count(*) as n from w group by 1")
+def task_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.col("state").isin("CLOSED", "CANCELLED")
+    return orders_of_work(spark, sf_dir).groupBy(F.col("action").alias("label")).agg(F.count_if(~done).alias("open_"), F.count_if(F.col("state") == "CLOSED").alias("archived"), F.count(F.lit(1)).alias("n"))
