@@ -23,9 +23,10 @@ def aggregates(span: float = 100.0, op_low: float = 0.0, op_high: float = 100.0,
     auto = F.col("mode").isin(*AUTO_MODES)
     high, low = op >= op_high - margin, op <= op_low + margin
     mean, spread = F.avg(e), F.max(e) - F.avg(e)
-    r = mean / spread
+    r = F.try_divide(mean, spread)
     limit = F.lit(e_limit if e_limit is not None else 0.05 * span)
-    corr = F.when((F.stddev_pop("pv") > 0) & (F.stddev_pop("op") > 0), F.abs(F.corr("pv", "op"))).otherwise(F.when(F.count("pv") > 0, 0.0))
+    pv_, op_ = F.when(op.isNotNull(), F.col("pv")), F.when(F.col("pv").isNotNull(), op)  # corr() itself divides by a variance of zero
+    corr = F.coalesce(F.abs(F.try_divide(F.covar_pop("pv", "op"), F.stddev_pop(pv_) * F.stddev_pop(op_))), F.when(F.count("pv") > 0, 0.0))
     deviation = F.stddev_samp("e")
     return {
         "points": F.count(F.lit(1)),
@@ -75,9 +76,9 @@ def oscillation(df: DataFrame, keys: list[str], by: list[str], e: str = "e", thr
     side = Window.partitionBy(*keys, "side")
     halves = halves.withColumns({"_mean": F.avg("area").over(side), "_n": F.count(F.lit(1)).over(side)})
     halves = halves.withColumn("_medoid", F.min_by("area", F.struct(F.abs(F.col("area") - F.col("_mean")), "_part")).over(side))
-    near = (F.col("area") / F.col("_medoid")).between(low, high)
+    near = F.try_divide("area", "_medoid").between(low, high)
     sides = halves.groupBy(*keys, "side", "_medoid", "_n").agg(F.avg(F.when(near, F.col("area"))).alias("_kept"), F.sum("length").alias("_length"))
-    alike = F.when((F.col("_n") < 2) | (F.abs("_medoid") < 1e-12), 0.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.col("_kept") - F.col("_medoid")) / F.abs("_medoid"))), F.lit(0.0)))
+    alike = F.when((F.col("_n") < 2) | (F.abs("_medoid") < 1e-12), 0.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide(F.abs(F.col("_kept") - F.col("_medoid")), F.abs("_medoid")))), F.lit(0.0)))
     per = sides.groupBy(*keys).agg(
         F.max(F.when(F.col("side") > 0, alike)).alias("s_a"), F.max(F.when(F.col("side") < 0, alike)).alias("s_b"), (F.sum("_length") / F.sum("_n")).alias("_half")
     )

@@ -79,7 +79,7 @@ def downgraded(severity: Column | str) -> Column:
 
 def completeness(counts: DataFrame, expected: Column) -> DataFrame:
     """Share of expected rows, at most 1, and its band."""
-    share = F.least(F.lit(1.0), F.col("rows") / expected)
+    share = F.least(F.lit(1.0), F.try_divide(F.col("rows"), expected))
     return counts.withColumn("completeness", F.coalesce(share, F.lit(0.0))).withColumn("band", F.when(F.col("completeness") >= 0.95, "COMPLETE").when(F.col("completeness") >= 0.20, "PARTIAL").otherwise("MISSING"))
 
 
@@ -110,8 +110,9 @@ def hour_buckets(spark, start: str, end: str, interval: float = 1.0) -> DataFram
 
 def regression(x: Column, y: Column) -> tuple[Column, Column]:
     """Slope and intercept of y over x, null below three points."""
-    enough = F.count(F.when(y.isNotNull(), x)) >= 3
-    return F.when(enough, F.regr_slope(y, x)), F.when(enough, F.regr_intercept(y, x))
+    paired = F.when(y.isNotNull(), x)
+    slope = F.when(F.count(paired) >= 3, F.try_divide(F.covar_pop(x, y), F.var_pop(paired)))
+    return slope, F.avg(F.when(x.isNotNull(), y)) - slope * F.avg(paired)
 
 
 def contribution(name: str, slope: Column, forecast: Column) -> Column:

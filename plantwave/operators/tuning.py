@@ -54,11 +54,11 @@ RULES = {"imc": imc, "lambda": lambda_rule, "zn": ziegler_nichols, "cohen_coon":
 
 def risk(old: Column, new: Column, grade: Column, theta: Column, tau: Column, k: Column) -> Column:
     """HIGH, MEDIUM or LOW by change of gain, confidence, dead time and gain of the process."""
-    change = F.abs(new - old) / F.abs(old)
+    change = F.try_divide(F.abs(new - old), F.abs(old))
     points = (
         F.when(change > 0.5, 3).when(change > 0.2, 2).otherwise(0)
         + F.when(grade.isin("D", "E", "INCONCLUSIVE"), 4).when(grade == "C", 1).otherwise(0)
-        + F.when(theta / tau > 0.5, 2).otherwise(0)
+        + F.when(F.try_divide(theta, tau) > 0.5, 2).otherwise(0)
         + F.when((F.abs(k) > 10) | (F.abs(k) < 0.1), 1).otherwise(0)
     )
     return F.when(points >= 4, "HIGH").when(points >= 2, "MEDIUM").otherwise("LOW")

@@ -75,12 +75,12 @@ def tracker_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {SAMPLES_SQL}, h as (select unnest(generate_series(timestamp '2024-01-10', timestamp '2024-01-11 23:00:00', interval 1 hour)) as hour), g as (select date_trunc('hour', ts) as hour, count(*) as n, sum(pv * op) / sum(op) as v from s group by 1)
+    f"""with {SAMPLES_SQL}, h as (select unnest(generate_series(timestamp '2024-01-10', timestamp '2024-01-11 23:00:00', interval 1 hour)) as hour), g as (select date_trunc('hour', ts) as hour, count(*) as n, sum(pv * op) / nullif(sum(op), 0) as v from s group by 1)
  select h.hour::timestamp as hour, coalesce(n, 0) as n, round(v, 6) as v from h left join g on h.hour = g.hour"""
 )
 def board_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted means on an hourly axis without gaps."""
-    made = samples(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("pv") * F.col("op")) / F.sum("op")).alias("v"))
+    made = samples(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("pv") * F.col("op")), F.sum("op")).alias("v"))
     axis = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-10 00:00:00', timestamp_ntz'2024-01-11 23:00:00', interval 1 hour)")).alias("hour"))
     return axis.join(made, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"), F.round("v", 6).alias("v"))
 

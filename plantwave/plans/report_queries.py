@@ -30,7 +30,7 @@ _LEVEL = "case level when 1 then 3.0 when 2 then 2.0 when 3 then 1.0 else 1.0 en
 
 @query(
     f"""with {SNAPSHOTS_SQL}, {LEDGER_SQL}, j as (select * from k join l using (loop_id)) select unit_id,
- round(sum(score * coalesce(weight, 1)) / sum(coalesce(weight, 1)), 4) as w1, round(case when count(score) > 0 then sum(score * {_LEVEL}) / sum({_LEVEL}) end, 2) as w2,
+ round(sum(score * coalesce(weight, 1)) / sum(coalesce(weight, 1)), 4) as w1, round_even(case when count(score) > 0 then sum(score * {_LEVEL}) / sum({_LEVEL}) end, 2) as w2,
  round(case when sum(case when score is not null then loop_count end) <> 0 then sum(score * loop_count) / sum(case when score is not null then loop_count end) else avg(score) end, 4) as w3,
  round(sum(score * loop_count) / sum(loop_count) filter (where score is not null), 4) as w4,
  round(case when sum(auto_rate) filter (where score is not null) > 0 then sum(score * auto_rate) / sum(auto_rate) filter (where score is not null) else avg(score) end, 4) as w5,
@@ -79,7 +79,7 @@ def plant_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with recursive {NODES_SQL}, {SNAPSHOTS_SQL}, {LEDGER_SQL}, t(root, node) as (select id, id from n union all select t.root, n.id from t join n on n.parent_id = t.node),
  r as (select *, row_number() over (partition by loop_id order by (status = 'INCONCLUSIVE')::int, ts desc, snapshot_id desc) as rn from k),
  j as (select t.root, r.*, l.level from r join l using (loop_id) join t on t.node = l.unit_id + 100 where rn = 1 and l.is_active)
- select root, count(*) as loops, round(case when count(score) > 0 then sum(score * {_LEVEL}) / sum({_LEVEL}) end, 2) as score, count_if(status = 'INCONCLUSIVE') as inconclusive from j group by root"""
+ select root, count(*) as loops, round_even(case when count(score) > 0 then sum(score * {_LEVEL}) / sum({_LEVEL}) end, 2) as score, count_if(status = 'INCONCLUSIVE') as inconclusive from j group by root"""
 )
 def node_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rollup.descendants(plant_nodes(spark, sf_dir)).select("root", (F.col("node") - 100).alias("unit_id"))
@@ -112,10 +112,10 @@ def dense_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dense_trend(snapshots(spark, sf_dir), "ts", "1998-03-01", 30, {"score": F.round(F.avg("score"), 4), "snapshots": F.count(F.lit(1))})
 
 
-@query(f"with {SNAPSHOTS_SQL} select date_trunc('week', ts)::timestamp as bucket, round(avg(score), 4) as score, round(sum(score * loop_count) / sum(loop_count), 4) as board, round(avg((auto_rate > 10)::int) * 100, 4) as auto_share from k group by 1")
+@query(f"with {SNAPSHOTS_SQL} select date_trunc('week', ts)::timestamp as bucket, round(avg(score), 7) as score, round(sum(score * loop_count) / nullif(sum(loop_count), 0), 7) as board, round(avg((auto_rate > 10)::int) * 100, 7) as auto_share from k group by 1")
 def weekly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = snapshots(spark, sf_dir).groupBy(F.date_trunc("week", "ts").cast("timestamp_ntz").alias("bucket"))
-    return df.agg(F.round(F.avg("score"), 4).alias("score"), F.round(F.sum(F.col("score") * F.col("loop_count")) / F.sum("loop_count"), 4).alias("board"), F.round(F.avg((F.col("auto_rate") > 10).cast("int")) * 100, 4).alias("auto_share"))
+    return df.agg(F.round(F.avg("score"), 7).alias("score"), F.round(F.try_divide(F.sum(F.col("score") * F.col("loop_count")), F.sum("loop_count")), 7).alias("board"), F.round(F.avg((F.col("auto_rate") > 10).cast("int")) * 100, 7).alias("auto_share"))
 
 
 @query(f"with {SNAPSHOTS_SQL} select round(avg(score) filter (where ts >= '1998-01-01' and ts < '1999-01-01'), 4) as now_, round(avg(score) filter (where ts >= '1997-01-01' and ts < '1998-01-01'), 4) as before_, count(distinct loop_id) as loops from k")
@@ -279,10 +279,10 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.upsert(old, old.where("snapshot_id % 10 = 0").withColumn("score", F.col("score") + 1), ["loop_id", "ts"], "snapshot_id")
 
 
-@query("select c_nationkey as unit_id, count(*) as items, count_if(c_acctbal > 5000) as improved, count_if(c_acctbal < 0) as worse, round(avg(c_acctbal), 2) as mean, round(100.0 * count_if(c_acctbal > 5000) / count(*), 4) as rate from customer group by 1")
+@query("select c_nationkey as unit_id, count(*) as items, count_if(c_acctbal > 5000) as improved, count_if(c_acctbal < 0) as worse, round(avg(c_acctbal), 6) as mean, round(100.0 * count_if(c_acctbal > 5000) / count(*), 4) as rate from customer group by 1")
 def knowledge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     bal = F.col("c_acctbal")
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("unit_id")).agg(F.count(F.lit(1)).alias("items"), F.count_if(bal > 5000).alias("improved"), F.count_if(bal < 0).alias("worse"), F.round(F.avg(bal), 2).alias("mean"), F.round(100.0 * F.count_if(bal > 5000) / F.count(F.lit(1)), 4).alias("rate"))
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("unit_id")).agg(F.count(F.lit(1)).alias("items"), F.count_if(bal > 5000).alias("improved"), F.count_if(bal < 0).alias("worse"), F.round(F.avg(bal), 6).alias("mean"), F.round(100.0 * F.count_if(bal > 5000) / F.count(F.lit(1)), 4).alias("rate"))
 
 
 @query(f"with {WORK_SQL}, b as (select case when epoch(verified) - epoch(started) < 14400 then 'under 4 h' when epoch(verified) - epoch(started) < 86400 then 'under 1 d' when verified is not null then 'longer' else 'open' end as bucket, delta from w) select bucket, count(*) as orders, round(avg(delta), 4) as delta from b group by bucket")

@@ -29,7 +29,7 @@ def downsample(df: DataFrame, signals: list[str], width: str = "1 minute", late:
 
 def hours_of_minutes(minutes: DataFrame, signals: list[str], weighted: bool = False) -> DataFrame:
     """Hours from minutes: mean of means as the store keeps it, or weighted by counts."""
-    mean = lambda s: F.sum(F.col(f"{s}_avg") * F.col(f"{s}_count")) / F.sum(f"{s}_count") if weighted else F.avg(f"{s}_avg")
+    mean = lambda s: F.try_divide(F.sum(F.col(f"{s}_avg") * F.col(f"{s}_count")), F.sum(f"{s}_count")) if weighted else F.avg(f"{s}_avg")
     return minutes.groupBy("loop_id", F.date_trunc("hour", "ts").alias("ts")).agg(*(c for s in signals for c in (mean(s).alias(f"{s}_avg"), F.min(f"{s}_min").alias(f"{s}_min"), F.max(f"{s}_max").alias(f"{s}_max"), F.sum(f"{s}_count").alias(f"{s}_count"))))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plantwave.functions.masks import mask
 from plantwave.functions.signals import grade, quality, score_grade
-from plantwave.operators import diagnosis, outliers, rollup, rules, segments
+from plantwave.operators import diagnosis, kpi, outliers, reports, rollup, rules, segments
 from plantwave.plans import hourly
 from plantwave.sources import tables
 from plantwave.streaming import samples as stream
@@ -96,6 +96,18 @@ def test_hourly_plan(spark):
     assert {(r["root"], r["loop_count"]) for r in hourly.nodes(out, loops, tree).collect()} == {(1, 2), (7, 2)}
 
 
+def test_constant_and_short_windows_raise_nothing(spark):
+    rows = [(1, i, at(i), 50.0, 50.0, 0.0, 1) for i in range(5)] + [(2, 0, at(0), 50.0, 51.0, None, None)]
+    df = spark.createDataFrame(rows, "loop_id int, event_id int, ts timestamp, pv double, sp double, op double, mode int").withColumns({"quality_status": F.lit("Good"), "faulty": F.lit(False), "d": segments.hold("ts", ["loop_id"], ["ts"])})
+    df = kpi.with_moves(df, ["loop_id"], ["ts"])
+    got = {r["loop_id"]: r for r in df.groupBy("loop_id").agg(*(v.alias(k) for k, v in kpi.aggregates().items())).collect()}
+    assert got[1]["accuracy_rate"] == 100.0 and got[1]["valve_linearity"] == 0.0 and got[1]["saturation_rate"] == 100.0 and got[2]["auto_mode_rate"] is None
+    swings = {r["loop_id"]: r for r in kpi.oscillation(df, ["loop_id"], ["ts"]).collect()}
+    assert swings[1]["oscillation_rate"] == 0.0 and not swings[2]["is_oscillating"]
+    flat = df.groupBy("loop_id").agg(*(c.alias(n) for c, n in zip(reports.regression(F.col("pv"), F.col("e")), ("slope", "cut"), strict=True)))
+    assert {r["slope"] for r in flat.collect()} <= {None, 0.0}
+
+
 def test_scan_prunes_days_and_columns(spark, tmp_path):
     path = str(tmp_path)
     tables.write_samples(wave(spark).withColumn("loop_id", F.col("loop_id").cast("string")), path)
