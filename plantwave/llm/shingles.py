@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; a longer text is hashed alone.
-SLAB = 1 << 20
+SLAB = 1 << 18
 _rng = np.random.default_rng(20_17)
 _EXACT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE = _EXACT.copy()
