@@ -98,10 +98,10 @@ def worst_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.ranking(snapshots(spark, sf_dir), 20, 5).select("loop_id", "score", "ts")
 
 
-@query(_LATEST + f", {LEDGER_SQL} select unit_id, round(avg(score), 7) as score, count(*) as loops from t join l using (loop_id) group by unit_id".replace(", l as", ", l as"))
+@query(_LATEST + f", {LEDGER_SQL} select unit_id, round(avg(score), 9) as score, count(*) as loops from t join l using (loop_id) group by unit_id".replace(", l as", ", l as"))
 def unit_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = reports.latest_conclusive(snapshots(spark, sf_dir)).join(ledger(spark, sf_dir), "loop_id")
-    return df.groupBy("unit_id").agg(F.round(F.avg("score"), 7).alias("score"), F.count(F.lit(1)).alias("loops")).orderBy(F.asc_nulls_last("score"), "unit_id")
+    return df.groupBy("unit_id").agg(F.round(F.avg("score"), 9).alias("score"), F.count(F.lit(1)).alias("loops")).orderBy(F.asc_nulls_last("score"), "unit_id")
 
 
 @query(
