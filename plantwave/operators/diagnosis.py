@@ -81,11 +81,18 @@ def fused(confidences: Column) -> Column:
     return F.when(F.size(confidences) == 0, 0.0).when(F.size(confidences) == 1, F.element_at(confidences, 1)).when(belief + doubt > 0, belief / (belief + doubt)).otherwise(0.0)
 
 
+def fusion(confidence: Column) -> Column:
+    """fused() as an aggregate over rows: sums of log odds, so that no group is collected and no product underflows."""
+    inner = (confidence > 0) & (confidence < 1)
+    odds = F.coalesce(F.sum(F.when(inner, F.ln(confidence) - F.ln(1 - confidence))), F.lit(0.0))
+    sure, never = F.coalesce(F.max(confidence >= 1), F.lit(False)), F.coalesce(F.max(confidence <= 0), F.lit(False))
+    return F.when((F.count(confidence) == 0) | never, 0.0).when(sure, 1.0).when(F.count(confidence) == 1, F.max(confidence)).otherwise(1 / (1 + F.exp(-odds)))
+
+
 def fuse_families(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, family, hits, confidence) of the operators that detected something."""
     family = F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))[F.col("operator")]
-    hits = found.where("detected").groupBy(*keys, family.alias("family")).agg(F.array_sort(F.collect_list("confidence")).alias("c"))
-    return hits.select(*keys, "family", F.size("c").alias("hits"), fused(F.col("c")).alias("confidence"))
+    return found.where("detected").groupBy(*keys, family.alias("family")).agg(F.count("confidence").cast("int").alias("hits"), fusion(F.col("confidence")).alias("confidence"))
 
 
 def classify(families: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:

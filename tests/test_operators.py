@@ -2,10 +2,13 @@
 
 import datetime as dt
 import json
+import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from plantwave.functions.masks import mask
 from plantwave.functions.signals import grade, quality, score_grade
 from plantwave.operators import diagnosis, kpi, outliers, reports, rollup, rules, segments
@@ -68,6 +71,23 @@ def test_evidence(spark):
     assert [r[0] for r in df.select(diagnosis.fused(F.col("c"))).collect()] == [pytest.approx(0.48 / 0.56), 0.7, 0.0]
 
 
+def test_evidence_by_sums(spark):
+    df = spark.createDataFrame([(1, 0.8), (1, 0.6), (1, None), (2, 0.7), (3, None), (4, 1.0), (4, 0.2), (5, 1.0), (5, 0.0), *[(6, 0.3)] * 900, *[(6, 0.7)] * 901], "k int, c double")
+    got = {r["k"]: r["c"] for r in df.groupBy("k").agg(diagnosis.fusion(F.col("c")).alias("c")).collect()}
+    assert got == {1: pytest.approx(0.48 / 0.56), 2: 0.7, 3: 0.0, 4: 1.0, 5: 0.0, 6: pytest.approx(0.7)}
+
+
+def test_all_evidence_counts(spark, sf):
+    sets = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_discount").collect():
+        sets.setdefault((r[0], r[1] % 6), []).append(r[2] * 5 + 0.3)
+    found = {(r["loop_id"], r["family"]): r for r in entry.queries()["evidence_fusion_all"](spark, sf).collect()}
+    assert {k: r["hits"] for k, r in found.items()} == {k: len(c) for k, c in sets.items()}
+    for k, c in sets.items():
+        belief, doubt = math.prod(map(Fraction, c)), math.prod(1 - Fraction(x) for x in c)
+        assert found[k]["confidence"] == pytest.approx(float(belief / (belief + doubt)), abs=1e-6)
+
+
 def test_rules(spark):
     ok = json.dumps({"condition": {"type": "NOT", "conditions": [{"type": "threshold", "field": "x", "operator": ">", "value": 3}]}})
     assert rules.validate(ok) == []
