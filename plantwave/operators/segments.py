@@ -16,6 +16,20 @@ def islands(df: DataFrame, flag: str, keys: list[str], by: list[str], least: int
     return runs.where(F.col("points") >= least).drop("_run")
 
 
+def bounded(df: DataFrame, keys: list[str], by: list[str], most: int) -> DataFrame:
+    """Adds segment: the rows of a key in order, in equal shares of at most `most` rows; by[0] is a time.
+
+    Rows are numbered within their hour and hours are counted before, so no task needs the whole history of a key."""
+    hours = df.withColumn("_hour", F.date_trunc("hour", by[0]))
+    w = Window.partitionBy(*keys)
+    counts = hours.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate([*keys, "_hour"])), before.alias("_before"), F.sum("_n").over(w).alias("_all"))
+    numbered = hours.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_hour").orderBy(*by)))
+    out = numbered.join(counts, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate([*keys, "_hour"])])
+    return out.withColumn("segment", F.expr(f"((_before + _n - 1) * ((_all + {most - 1}) div {most})) div _all")).select(*df.columns, "segment")
+
+
 def carried(x: str, keys: list[str], by: list[str]) -> Column:
     """The last value that is not null, for signals stored on change."""
     return F.last(x, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))

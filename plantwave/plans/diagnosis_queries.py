@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import normalise, quality
-from ..operators import diagnosis, identify, kernels, outliers, rules, tuning
+from ..operators import diagnosis, identify, kernels, outliers, rules, segments, tuning
 from ..operators.reports import escalated
 from ..sources.stand_ins import LEDGER_SQL, SAMPLES_SQL, SNAPSHOTS_SQL, WORK_SQL, ledger, orders_of_work, samples, snapshots, table
 from ..streaming import samples as stream
 
+#: Samples of one loop that a kernel sees at most.
+SEGMENT = 3600
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -143,16 +146,16 @@ def uniform_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def process_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first-order process driven by each loop's outputs is identified again."""
+    """The process of each loop from its own pv and op; tau and theta in samples. Long histories are cut into segments that use every sample."""
 
-    def kernel(loop, w):
-        u = np.repeat(w["op"].to_numpy(float), 4)[:400]
-        truth = {"a": np.array([-0.8]), "b": np.array([0.3]), "delay": 2}
-        found = identify.from_history(identify.simulate(truth, u, np.zeros(len(u))), u)
+    def run(key: tuple, w: pd.DataFrame) -> pd.DataFrame:
+        w = w.sort_values(["ts", "event_id"])
+        found = identify.from_history(w["pv"].to_numpy(float), w["op"].to_numpy(float), r=w["sp"].to_numpy(float))
         n = lambda x: None if x is None else round(float(x), 4)
-        return pd.DataFrame([(loop, found["structure"], n(found["K"]), n(found["tau"]), n(found["theta"]), n(found["r2"]), found["grade"])])
+        return pd.DataFrame([(*key, len(w), found["structure"], n(found["K"]), n(found["tau"]), n(found["theta"]), n(found["r2"]), found["grade"])])
 
-    return grouped(windows(spark, sf_dir), kernel, "loop_id long, structure string, gain double, tau double, theta double, fit double, grade string")
+    df = segments.bounded(windows(spark, sf_dir).select("loop_id", "ts", "event_id", "pv", "sp", "op"), ["loop_id"], ["ts", "event_id"], SEGMENT)
+    return df.groupBy("loop_id", "segment").applyInPandas(run, "loop_id long, segment long, points long, structure string, gain double, tau double, theta double, fit double, grade string")
 
 
 _MODELS = f"with {LEDGER_SQL}, m as (select loop_id, (0.5 + level * 0.5)::double as k, (10.0 + loop_id % 50)::double as tau, (1.0 + loop_id % 9)::double as theta from l) "

@@ -5,13 +5,14 @@ import json
 import math
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plantwave.functions.masks import mask
 from plantwave.functions.signals import grade, quality, score_grade
-from plantwave.operators import diagnosis, kpi, outliers, reports, rollup, rules, segments
+from plantwave.operators import diagnosis, identify, kpi, outliers, reports, rollup, rules, segments
 from plantwave.plans import hourly
 from plantwave.sources import tables
 from plantwave.streaming import samples as stream
@@ -59,6 +60,32 @@ def test_islands_hold_and_as_of(spark):
     assert [(r["ts"], r["v"]) for r in segments.as_of(held, right, ["k"], "ts", ["v"]).orderBy("k", "ts").collect()] == [(at(0), None), (at(2), "a"), (at(5), None), (at(9), None)]
 
 
+def test_bounded_segments_keep_every_row(spark):
+    df = spark.createDataFrame([(k, at(1700 * i), i) for k, n in ((1, 10), (2, 23), (None, 3)) for i in range(n)], "k int, ts timestamp, i int")
+    got = {}
+    for r in segments.bounded(df, ["k"], ["ts", "i"], 10).orderBy("k", "i").collect():
+        got.setdefault((r["k"], r["segment"]), []).append(r["i"])
+    assert got == {(1, 0): list(range(10)), (2, 0): list(range(8)), (2, 1): list(range(8, 16)), (2, 2): list(range(16, 23)), (None, 0): [0, 1, 2]}
+
+
+@pytest.fixture(scope="module")
+def moved_late(spark, tmp_path_factory):
+    """Events of a loop whose output moves only after 3600 samples, and whose pv follows with gain 2 and a time constant of 15."""
+    rng = np.random.default_rng(8)
+    u = np.concatenate([np.full(3600, 50.0), np.repeat(rng.choice([40.0, 60.0], 360), 10)])
+    y = 50 + identify.simulate({"a": np.array([-np.exp(-1 / 15)]), "b": np.array([2 * (1 - np.exp(-1 / 15))]), "delay": 3}, u - 50, np.zeros(len(u))) + rng.normal(0, 0.05, len(u))
+    rows = [(i, at(i), 7, "view", float(5 * y[i]), json.dumps({"k": u[i]})) for i in range(len(u))]
+    folder = str(tmp_path_factory.mktemp("events"))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_process_of_a_loop_that_moves_late(spark, moved_late):
+    still, moved = entry.queries()["process_models"](spark, moved_late).orderBy("segment").collect()
+    assert still["points"] == moved["points"] == 3600 and still["structure"] == "NONE"
+    assert moved["gain"] == pytest.approx(2, rel=0.15) and moved["tau"] == pytest.approx(15, rel=0.25) and moved["grade"] in "ABC"
+
+
 def test_weighted_means(spark):
     df = spark.createDataFrame([(1, 10.0, None, 1, 0), (1, None, 3.0, 2, 4), (1, 20.0, 2.0, 3, 0), (2, None, 1.0, 1, 1)], "g int, v double, w double, level int, n int")
     rows = df.groupBy("g").agg(rollup.mean_all_rows("v", "w"), rollup.mean_level("v", "level"), rollup.mean_present("v", "n"), rollup.mean_filtered("v", "n")).orderBy("g").collect()
