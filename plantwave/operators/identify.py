@@ -105,6 +105,41 @@ def to_sopdt(model: dict, interval: float) -> tuple[float, float, float, float]
     return float(sum(model["b"]) / (1 + sum(model["a"]))), slow, fast, model["delay"] * interval
 
 
+def fit_ipdt(y: np.ndarray, u: np.ndarray, delay: int) -> dict | None:
+    """Least squares of y(t) - y(t-1) = b u(t-delay-1) + c; c carries the output at which an integrator stands still, and drift."""
+    if len(y) < 4 * (delay + 3):
+        return None
+    moved, driven = np.diff(y)[delay:], u[: len(y) - 1 - delay]
+    phi = np.stack([driven, np.ones(len(driven))], 1)
+    return _model(np.linalg.lstsq(phi, moved, rcond=None)[0], phi, moved, 0, delay)
+
+
+def simulate_ipdt(model: dict, u: np.ndarray, first: float) -> np.ndarray:
+    """Free run of an integrating model; outputs from before the first sample count as that sample's."""
+    at = np.maximum(np.arange(len(u) - 1) - model["delay"], 0)
+    return first + np.concatenate([[0.0], np.cumsum(model["b"][0] * u[at] + model["b"][1])])
+
+
+def runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(int)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def clean(signals: list[np.ndarray], most: int = 5) -> list[np.ndarray]:
+    """Signals of one length without missing samples: runs shorter than `most` between sound samples are lines, at longer ones and at the ends the signals are cut; the longest part stays."""
+    bad = np.any([~np.isfinite(x) for x in signals], axis=0)
+    if not bad.any():
+        return signals
+    long_, at = np.zeros(len(bad), bool), np.arange(len(bad))
+    for a, b in runs(bad):
+        long_[a:b] = b - a >= most or a == 0 or b == len(bad)
+    a, b = max(runs(~long_), key=lambda r: r[1] - r[0], default=(0, 0))
+    if a == b:
+        return [x[:0] for x in signals]
+    return [np.interp(at[a:b], at[~bad], x[~bad]) for x in signals]
+
+
 def excitation(u: np.ndarray, span: float = 100.0) -> tuple[bool, float]:
     """(sufficient, score 0..100): range, changes of direction and conditioning of the input."""
     moves = np.diff(u)
@@ -132,8 +167,11 @@ def coherence(u: np.ndarray, y: np.ndarray, segment: int = 64) -> float:
 def from_history(y: np.ndarray, u: np.ndarray, interval: float = 1.0, r: np.ndarray | None = None, dead_time: float | None = None) -> dict:
     """The best model of a segment: {structure, K, tau, theta, r2, grade}.
 
-    The data are split in time order; delays are searched by BIC on the first part, candidates are judged by
-    their free run on the next, and second order must beat first order by 5 % of fit and by BIC."""
+    Missing samples are cleaned first. The data are split in time order; delays are searched by BIC on the first part,
+    candidates are judged by their free run on the next, and second order must beat first order by 5 % of fit and by
+    BIC. An integrator (K is its slope by unit of input, tau None) leads where it explains the next part better than any lag."""
+    y, u, *rest = clean([y, u] if r is None else [y, u, r])
+    r = rest[0] if rest else None
     nothing = {"structure": "NONE", "K": None, "tau": None, "theta": None, "r2": None, "grade": "E"}
     enough, score = excitation(u)
     if not enough or len(y) < 60:
@@ -157,11 +195,21 @@ def from_history(y: np.ndarray, u: np.ndarray, interval: float = 1.0, r: np.ndar
             spread = float(((y[cut:end] - y[cut:end].mean()) ** 2).sum())
             fit = 1 - float(((run - y[cut:end]) ** 2).sum()) / spread if spread > 0 and np.isfinite(run).all() else -1.0
             found.append({"structure": name, "K": params[0], "tau": params[1], "theta": params[-1], "r2": fit, "bic": m["bic"], "white": m["r2"] >= 0.999 or whiteness(m["residual"]) < 1})
+    tried = [m for d in range(most + 1) if (m := fit_ipdt(y[:cut], u[:cut], d))]
+    if tried:
+        m = min(tried, key=lambda m: (m["bic"], m["delay"]))
+        spread = float(((y[cut:end] - y[cut:end].mean()) ** 2).sum())
+        before = min(m["delay"], cut)
+        run = simulate_ipdt(m, u[cut - before : end], 0.0)[before:]
+        fit = 1 - float(((run - run[0] + y[cut] - y[cut:end]) ** 2).sum()) / spread if spread > 0 else -1.0
+        if m["b"][0] and fit > 0:
+            found.append({"structure": "IPDT", "K": float(m["b"][0]) / interval, "tau": None, "theta": m["delay"] * interval, "r2": fit, "bic": m["bic"], "white": m["r2"] >= 0.999 or whiteness(m["residual"]) < 1})
     if not found:
         return nothing
-    best = {n: max((f for f in found if f["structure"] == n), key=lambda f: f["r2"], default=None) for n in ("FOPDT", "SOPDT")}
-    one, two = best["FOPDT"], best["SOPDT"]
+    best = {n: max((f for f in found if f["structure"] == n), key=lambda f: f["r2"], default=None) for n in ("FOPDT", "SOPDT", "IPDT")}
+    one, two, integrator = best["FOPDT"], best["SOPDT"], best["IPDT"]
     pick = two if one is None or (two is not None and two["r2"] > one["r2"] * 1.05 and two["bic"] < one["bic"]) else one
+    pick = integrator if integrator is not None and (pick is None or integrator["r2"] > pick["r2"]) else pick
     limits = [("A", 0.90, pick["white"] and score >= 60), ("B", 0.80, pick["white"]), ("C", 0.70, True), ("D", 0.50, True)]
     grade = next((g for g, least, ok in limits if pick["r2"] >= least and ok), "E")
     if grade in "AB" and coherence(u, y) < 0.3:

@@ -82,6 +82,26 @@ def test_first_order_model_is_recovered():
     assert found["K"] == pytest.approx(2, rel=0.15) and found["tau"] == pytest.approx(15, rel=0.25) and found["theta"] == pytest.approx(3, abs=2) and found["grade"] in "ABC"
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.05])
+def test_integrator_is_recovered(noise):
+    rng = np.random.default_rng(9)
+    u = np.repeat(rng.choice([-10.0, 10.0], 60), 10) + 50
+    y = np.concatenate([np.zeros(5), np.cumsum(0.02 * (u - 50))])[: len(u)] + rng.normal(0, noise, len(u))
+    found = identify.from_history(y, u, interval=2.0)
+    assert found["structure"] == "IPDT" and found["K"] == pytest.approx(0.01, rel=0.1) and found["theta"] == pytest.approx(8, abs=4) and found["tau"] is None and found["grade"] in "ABC"
+
+
+def test_missing_runs_are_cleaned():
+    rng = np.random.default_rng(3)
+    u = np.repeat(rng.choice([0.0, 20.0], 60), 10)
+    y = identify.simulate({"a": np.array([-np.exp(-1 / 15)]), "b": np.array([2 * (1 - np.exp(-1 / 15))]), "delay": 3}, u, np.zeros(len(u))) + rng.normal(0, 0.05, len(u))
+    y[100], y[300:303], y[:2], y[580:590] = np.nan, np.nan, np.nan, np.inf
+    cleaned = identify.clean([y, u])
+    assert len(cleaned[0]) == len(cleaned[1]) == 578 and np.isfinite(cleaned[0]).all() and cleaned[0][98] == pytest.approx((y[99] + y[101]) / 2)
+    assert identify.from_history(y, u)["K"] == pytest.approx(2, rel=0.15)
+    assert identify.from_history(np.full(200, np.nan), u[:200])["structure"] == "NONE"
+
+
 def test_no_excitation_no_model():
     assert identify.from_history(np.random.default_rng(4).normal(size=200), np.ones(200))["structure"] == "NONE"
 
