@@ -1,8 +1,10 @@
 """Main text of web pages with site templates removed.
 
-Every element's subtree (tags, classes, text; not addresses) is hashed, Spark counts on how many pages of its host
-each hash stands, and subtrees that recur on many of them are deleted as the site's template. Prose inside an article
-(paragraphs, headings, lists, tables) is never taken for template, as passages may be quoted on many pages. Elements
+Every element's subtree (tags, classes, text; not addresses) is hashed, Spark counts on how many different pages of its
+host each hash stands, and subtrees that recur on many of them are deleted as the site's template. Pages whose article
+(or body, without one) has the same text are one page, however often it was fetched. Never taken for template are
+subtrees that hold an article, prose inside an article (paragraphs, headings, lists, tables) and what holds it, as
+passages may be quoted on many pages, and what makes half or more of an article's text. Elements
 that markup itself names as no text (scripts, menus, headers, footers, sidebars, forms, adverts, notices, comments)
 go too. What is left of the article, or of the body of pages that have none, is the text: one line a block.
 
@@ -49,17 +51,19 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([
 
 
 class Element:
-    __slots__ = ("tag", "name", "dropped", "article", "parts", "parent", "hash", "text")
+    __slots__ = ("tag", "name", "dropped", "article", "holds", "parts", "parent", "hash", "text", "size")
 
-    def __init__(self, tag: str, name: str, dropped: bool, article: bool, parent: Element | None) -> None:
-        self.tag, self.name, self.dropped, self.article, self.parent = tag, name, dropped, article, parent
+    def __init__(self, tag: str, name: str, dropped: bool, parent: Element | None) -> None:
+        self.tag, self.name, self.dropped, self.parent = tag, name, dropped, parent
+        self.article: Element | None = self if tag in ("article", "main") else parent and parent.article
+        self.holds = False  # an article, or prose of an article
         self.parts: list[str | Element] = []
-        self.hash, self.text = 0, False
+        self.hash, self.text, self.size = 0, False, 0
 
 
 def parse(html: str) -> Element:
     """The tree of a page, with the hash of every subtree."""
-    root = top = Element("", "", False, False, None)
+    root = top = Element("", "", False, None)
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -82,10 +86,15 @@ def parse(html: str) -> Element:
         if tag in VOID:
             top.parts.append(" ") if tag == "br" else None
             if tag == "hr":
-                top.parts.append(Element("hr", "", False, False, top))
+                top.parts.append(Element("hr", "", False, top))
             continue
         name, dropped = _named(tag, m[3])
-        element = Element(tag, name, dropped or top.dropped, top.article or tag in ("article", "main"), top)
+        element = Element(tag, name, dropped or top.dropped, top)
+        if not element.dropped and element.article and (element.article is element or tag in PROSE):
+            above = top
+            while above is not None and not above.holds and (element.article is element or above.article is not None):
+                above.holds = True
+                above = above.parent
         top.parts.append(element)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
@@ -150,9 +159,11 @@ def _finish(element: Element) -> None:
             words = " ".join(part.split())
             if words:
                 element.text = True
+                element.size += len(words)
                 digest.update(words)
         else:
             element.text |= part.text
+            element.size += 0 if part.dropped else part.size
             digest.update(part.hash.to_bytes(8))
     element.hash = digest.intdigest()
 
@@ -166,8 +177,10 @@ def elements(root: Element) -> Iterator[Element]:
 
 
 def candidate(element: Element) -> bool:
-    """Whether the subtree may be template: no inline markup, and no prose of an article."""
-    return element.text and element.tag not in INLINE and element.tag not in ("", "html", "body", "article", "main") and not (element.article and element.tag in PROSE)
+    """Whether the subtree may be template: no inline markup, no holder of an article, and no content of one."""
+    if not element.text or element.holds or element.tag in INLINE or element.tag in ("", "html", "body", "article", "main"):
+        return False
+    return element.article is None or element.tag not in PROSE and 2 * element.size < element.article.size
 
 
 def signed(x: int) -> int:
@@ -178,7 +191,10 @@ def main_text(html: str | None, template: Iterable[int] = ()) -> str:
     """Blocks of the article (of the body, if the page has none), one a line, without template and dropped elements."""
     if not html:
         return ""
-    root, template = parse(html), set(template)
+    return text_of(parse(html), set(template))
+
+
+def text_of(root: Element, template: set[int]) -> str:
     gone = lambda e: e.dropped or bool(template) and candidate(e) and signed(e.hash) in template
     roots = _outermost(root, "article", gone) or _outermost(root, "main", gone) or [root]
     blocks: list[str] = []
@@ -233,19 +249,21 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur on many pages of their host."""
-    schema = pa.schema([("host", pa.string()), ("hash", pa.int64())])
+    """(host, hash) of the subtrees that recur on many different pages of their host."""
+    schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("page", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for host, html in rows_of(batches):
-                yield host, None  # the page itself
-                for h in {e.hash for e in elements(parse(html or "")) if candidate(e)}:
-                    yield host, signed(h)
+                root = parse(html or "")
+                page = signed(xxhash.xxh3_64_intdigest(text_of(root, set())))
+                yield host, None, page  # the page itself
+                for h in {e.hash for e in elements(root) if candidate(e)}:
+                    yield host, signed(h), page
 
         yield from batches_of(found(), schema, 20_000)
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = pages.select("host", "html").mapInArrow(run, "host string, hash long, page long").groupBy("host", "hash").agg(F.count_distinct("page").alias("n"))
     counts = materialize(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtrees")
     of_host = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     return counts.where("hash is not null").join(of_host, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")

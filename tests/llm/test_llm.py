@@ -435,6 +435,22 @@ def test_main_text(spark, none):
     assert pages.extract_pages(df.limit(0)).count() == 0
 
 
+WRAPPED = "<body><div>Site box</div><div class=wrap><article><h1>Story {n}</h1><div><p>Body of the story.<p>More.</div><div>Get our app</div></article></div><p>fetched {i}</p></body>"
+
+
+def test_copies_are_one_page(spark):
+    rows_ = [(i, "http://w.org/", WRAPPED.format(n=0, i=i)) for i in range(50)]
+    rows_ += [(100 + i, "http://p.org/", "<body><div><p>One.<p>Two.</div></body>") for i in range(50)]
+    rows_ += [(200 + i, "http://q.org/", WRAPPED.format(n=i, i=0)) for i in range(50)]  # other titles over the same passage: different pages
+    rows_ += [(300 + i, "http://r.org/", f"<body><article><div>The whole text of it {i // 50}</div><b>{i}</b></article></body>") for i in range(50)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows_, "page_id long, url string, html string")).collect()}
+    for i in range(50):
+        assert got[i] == "Story 0\nBody of the story.\nMore.\nGet our app"  # one page alone shows no template
+        assert got[100 + i] == "One.\nTwo."
+        assert got[200 + i] == f"Story {i}\nBody of the story.\nMore."
+        assert got[300 + i] == f"The whole text of it 0\n{i}"
+
+
 def test_main_text_of_pages(spark, sf):
     for page_id, url, text, n in rows(queries.op10_main_text(spark, sf)):
         source = spark_html(spark, sf)[page_id]
