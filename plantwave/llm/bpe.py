@@ -2,7 +2,8 @@
 
 Texts up to `chunk` characters are encoded where they are read. Longer ones go through three steps:
 overlapping chunks are pre-tokenised in parallel; neighbours are stitched at the first pre-token boundary past
-the seam that both have found (matching runs forward only, so from a common boundary on they agree); the pieces between
+the seam that both have found (matching runs forward only, so from a common boundary on they agree) and that no white
+space stands before (it alone looks ahead, so a piece that ends in it would be matched otherwise); the pieces between
 stitches are encoded in parallel and their ids joined in order. A seam without a common boundary, as within one huge
 word, is not cut. Decoding joins the tokens' raw bytes.
 
@@ -68,9 +69,10 @@ def _encode_long(texts: DataFrame, ranks: str, pattern: str, chunk: int, overlap
 
         def found() -> Iterator[tuple]:
             for key, length, seam, start, window in rows_of(batches):
-                at = [start + x for x in boundaries(window, pattern)]
+                at = boundaries(window, pattern)
                 if start + len(window) < length:  # the last token may go on, and its neighbour may look ahead
                     at = at[:-3]
+                at = [start + x for x in at if x and not window[x - 1].isspace()]
                 yield key, length, seam, [x for x in at if seam <= x <= seam + overlap], [x for x in at if x >= seam + chunk]
 
         yield from batches_of(found(), schema, 200)

@@ -289,6 +289,14 @@ def test_bpe(docs, odd, chunk, overlap):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\t\t\n", " \n", "\u2003\u2003"])
+def test_bpe_of_white_space_at_the_seam(spark, gap):
+    texts = [" ab" * 10 + "x" * k + "." + gap + "foo bar, it's" + " cd" * 40 for k in range(70)]
+    ranks = bpe.rank_file(queries.RANKS, queries.PATTERN)
+    got = dict(rows(bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.RANKS, queries.PATTERN, 64, 32)))
+    assert [i for i, t in enumerate(texts) if bytes(got[i]) != ranks.ids(t)] == []
+
+
 def test_bpe_of_no_rows(none):
     assert bpe.encode_documents(none, queries.RANKS, queries.PATTERN).count() == 0
 
