@@ -33,7 +33,18 @@ def query(sql: str | None = None):
 
 
 def grouped(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """A kernel over each loop's window; results are rounded so that summation order does not show."""
+    """A kernel over each segment of a loop; results are rounded so that summation order does not show."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
+        out = kernel(key[0], window.sort_values(["ts", "event_id"])).set_axis(names, axis=1)
+        return out.assign(segment=key[1])
+
+    return segments.bounded(df, ["loop_id"], ["ts", "event_id"], SEGMENT).groupBy("loop_id", "segment").applyInPandas(run, f"{schema}, segment long")
+
+
+def grouped_whole(df: DataFrame, kernel, schema: str) -> DataFrame:
+    """A kernel over each loop's whole history, which nothing bounds."""
 
     def run(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
         return kernel(key[0], window.sort_values(["ts", "event_id"]))
@@ -48,7 +59,8 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diagnosis_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = diagnosis.run_kernels(windows(spark, sf_dir), ["loop_id"], ["ts", "event_id"])
+    df = segments.bounded(windows(spark, sf_dir), ["loop_id"], ["ts", "event_id"], SEGMENT)
+    out = diagnosis.run_kernels(df, ["loop_id", "segment"], ["ts", "event_id"])
     return out.withColumns({c: F.round(c, 6) for c in ("confidence", "value")})
 
 
@@ -141,7 +153,7 @@ def uniform_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         pv, mode = kernels.resample(t, w["pv"].to_numpy(float), grid), kernels.resample(t, w["mode"].to_numpy(float), grid, True)
         return pd.DataFrame({"loop_id": loop, "at": grid.astype("int64"), "pv": pv.round(6), "mode": mode})
 
-    return grouped(windows(spark, sf_dir), kernel, "loop_id long, at long, pv double, mode double")
+    return grouped_whole(windows(spark, sf_dir), kernel, "loop_id long, at long, pv double, mode double")
 
 
 @query()

@@ -86,6 +86,11 @@ def test_process_of_a_loop_that_moves_late(spark, moved_late):
     assert moved["gain"] == pytest.approx(2, rel=0.15) and moved["tau"] == pytest.approx(15, rel=0.25) and moved["grade"] in "ABC"
 
 
+@pytest.mark.parametrize("name", ["noise_and_oscillation", "settling_times", "stiction_index", "bias_shifts", "downsampled_waveform", "diagnosis_findings"])
+def test_kernels_see_bounded_segments(spark, moved_late, name):
+    assert {r["segment"] for r in entry.queries()[name](spark, moved_late).collect()} == {0, 1}
+
+
 def test_weighted_means(spark):
     df = spark.createDataFrame([(1, 10.0, None, 1, 0), (1, None, 3.0, 2, 4), (1, 20.0, 2.0, 3, 0), (2, None, 1.0, 1, 1)], "g int, v double, w double, level int, n int")
     rows = df.groupBy("g").agg(rollup.mean_all_rows("v", "w"), rollup.mean_level("v", "level"), rollup.mean_present("v", "n"), rollup.mean_filtered("v", "n")).orderBy("g").collect()
