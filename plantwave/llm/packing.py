@@ -5,7 +5,7 @@ tokens is open. The best fit of a piece of n tokens is the lowest set bit at or
 open, the fullest (the lowest set bit) closes first. Bins that tasks leave with room are packed again among
 each other as pieces of their own, so the tasks' last bins do not stay half empty; only bin numbers and sizes move.
 
-Defined cases: a null text is an empty one and gives one piece that holds the separator only; longer documents are
+Defined cases: strings of the tokenizer's added tokens in a text are those tokens, as in the library; a null text is an empty one and gives one piece that holds the separator only; longer documents are
 cut into full pieces after a first shorter one; repeated rows are packed each for itself; a null id is kept; an empty
 table gives an empty result; further columns of the input are ignored.
 """
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, rows_of
+from .common import batches_of, discard, materialize, rows_of
 from .tokens import tokenizers_file
 
 SEPARATOR = b"\0\0\0\0"
@@ -116,4 +116,6 @@ def repack(bins: DataFrame, capacity: int, open_bins: int) -> DataFrame:
 
     bins = materialize(bins, "bins")
     tasks = -(-max(1, bins.count()) // BINS_A_TASK)
-    return materialize(bins.repartition(tasks).sortWithinPartitions(F.desc("filled"), "bin").mapInArrow(pack, "bin long, sequence long, shift long"), "moved")
+    moved = materialize(bins.repartition(tasks).sortWithinPartitions(F.desc("filled"), "bin").mapInArrow(pack, "bin long, sequence long, shift long"), "moved")
+    discard(bins)
+    return moved

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, jaccard, langid, packing, pages, quality, url_filter, warc
@@ -34,28 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def damaged(docs: DataFrame) -> DataFrame:
-    """A replica with faults: by the hash of its id, one record in 64 begins with another character, one in 64 is gone."""
+def damaged() -> Column:
+    """What a faulty replica holds: by the hash of its id, one record in 64 begins with another character, one in 64 is gone."""
     mark = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
     text = F.coalesce("text", F.lit(""))
-    return docs.where(~mark.isin("3c", "5d", "7e", "9f")).withColumn("text", F.when(mark.isin("07", "0b", "17", "2a"), F.concat(F.lit("~"), F.substring(text, 2, 2**31 - 1))).otherwise(text))
+    return F.when(mark.isin("07", "0b", "17", "2a"), F.concat(F.lit("~"), F.substring(text, 2, 2**31 - 1))).when(~mark.isin("3c", "5d", "7e", "9f"), text)
 
 
 def op1_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    primary = materialize(warc.manifest(docs), "primary")
-    replica = materialize(warc.manifest(damaged(docs)), "replica")
+    primary, replica = warc.sides(materialize(warc.manifest(docs, stored=damaged()), "manifest"))
     return warc.audit(primary, replica).select("archive", "doc_id", "copy", "offset", "length", "status")
 
 
 OP1_SQL = """
 with docs as (select doc_id, coalesce(text, '') as t, left(md5(coalesce(doc_id::varchar, '')), 2) as mark from documents),
-a as (select doc_id, sha256(t) as digest, strlen(t) + strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:doc:' || coalesce(doc_id::varchar, '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(t)::varchar || chr(13) || chr(10) || chr(13) || chr(10)) + 4 as length, coalesce(floor(doc_id / 256.0)::bigint, -1) as archive from docs),
-m as (select *, sum(length) over (partition by archive order by doc_id nulls first, digest, length rows unbounded preceding) - length as offset_, row_number() over (partition by archive, doc_id order by digest, length) as copy from a),
-b as (select doc_id, sha256(case when mark in ('07', '0b', '17', '2a') then '~' || substring(t, 2) else t end) as digest from docs where mark not in ('3c', '5d', '7e', '9f')),
-r as (select doc_id, digest, row_number() over (partition by doc_id order by digest) as copy from b)
-select m.archive, m.doc_id, m.copy::int as copy, m.offset_::bigint as "offset", m.length::bigint as length, case when r.digest is null then 'missing' else 'changed' end as status
-from m left join r on m.doc_id is not distinct from r.doc_id and m.copy = r.copy where r.digest is null or r.digest <> m.digest"""
+a as (select doc_id, mark, sha256(t) as digest, case when mark in ('07', '0b', '17', '2a') then sha256('~' || substring(t, 2)) when mark not in ('3c', '5d', '7e', '9f') then sha256(t) end as held, strlen(t) + strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:doc:' || coalesce(doc_id::varchar, '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(t)::varchar || chr(13) || chr(10) || chr(13) || chr(10)) + 4 as length from docs),
+b as (select *, coalesce(floor(doc_id / 256.0)::bigint, -1 - ('0x' || left(digest, 4))::bigint) as archive from a),
+m as (select *, sum(length) over (partition by archive order by doc_id nulls first, digest, length, held nulls first rows unbounded preceding) - length as offset_, row_number() over (partition by archive, doc_id order by digest, length, held nulls first) as copy from b)
+select archive, doc_id, copy::int as copy, offset_::bigint as "offset", length::bigint as length, case when held is null then 'missing' else 'changed' end as status from m where held is distinct from digest"""
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,18 +69,28 @@ def test_audit_equals_sql(spark, sf, duck):
 
 def test_audit_of_odd_rows(spark, odd, none):
     whole = warc.manifest(odd, 4)
-    assert warc.audit(whole, warc.manifest(odd, 4), 64, 2).count() == 0
+    assert warc.audit(whole, warc.manifest(odd, 4), 256, 16).count() == 0
     changed = warc.manifest(odd.withColumn("text", F.when(F.col("doc_id") == 6, "y" * 5000).otherwise(F.col("text"))).where("doc_id is not null"), 4)
-    assert sorted((r["doc_id"] is None, r["doc_id"], r["status"]) for r in warc.audit(whole, changed, 64, 2).collect()) == [(False, 6, "changed"), (True, None, "missing")]
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["status"]) for r in warc.audit(whole, changed, 256, 16).collect()) == [(False, 6, "changed"), (True, None, "missing")]
     assert {r["status"] for r in warc.audit(warc.manifest(none), whole).collect()} == {"extra"}
     assert warc.audit(warc.manifest(none), warc.manifest(none)).count() == 0
 
 
 def test_audit_descends_only_into_bad_branches(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 20).alias("text"))
-    one = warc.manifest(docs)
-    two = warc.manifest(docs.withColumn("text", F.when(F.col("doc_id") == 1234, F.reverse("text")).otherwise(F.col("text"))))
-    assert [r["doc_id"] for r in warc.audit(one, two, 1024, 4).collect()] == [1234]
+    for gone, stored in (([1234], F.when(F.col("doc_id") == 1234, F.reverse("text")).otherwise(F.col("text"))), ([77, 3001], F.when(~F.col("doc_id").isin(77, 3001), F.col("text")))):
+        one, two = warc.sides(warc.manifest(docs, stored=stored))
+        assert sorted(r["doc_id"] for r in warc.audit(one, two, 1024, 4).collect()) == gone
+        bad, visited = warc.descend(one, two, 1024, 4)
+        assert bad.count() == len(gone) and visited <= len(gone) * 4 * 8 < warc.ranges(one, 1024).count()
+
+
+def test_audit_names_the_lost_one_of_equal_neighbours(spark):
+    docs = spark.createDataFrame([(0, "a"), (1, "x"), (2, "x"), (3, "b")], "doc_id long, text string")
+    one, two = warc.sides(warc.manifest(docs, stored=F.when(F.col("doc_id") != 1, F.col("text"))))
+    assert [(r["doc_id"], r["status"]) for r in warc.audit(one, two, 1, 2).collect()] == [(1, "missing")]
+    shifted = warc.manifest(docs.where("doc_id <> 1"))  # a replica with an index of its own
+    assert {(r["doc_id"], r["status"]) for r in warc.audit(one, shifted, 1, 2).collect()} == {(1, "missing"), (2, "changed"), (3, "changed")}
 
 
 # --- URL filter
@@ -114,7 +124,6 @@ def test_urls_one_by_one(spark, literal):
 
 def check_packing(got, texts, capacity=2048):
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     want = collections.Counter()
     for d, t in texts:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -138,6 +147,8 @@ def check_packing(got, texts, capacity=2048):
 def test_packing(spark, docs, odd, none):
     made, least = check_packing(packing.pack_documents(docs, queries.TOKENIZER).collect(), rows(docs.select("doc_id", "text")))
     assert made <= 1.03 * least + 2
+    special = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "<|endoftext|>" * 40), (3, " \n<|endoftext|> \n\n x")], "doc_id long, text string")
+    check_packing(packing.pack_documents(special, queries.TOKENIZER, 16, 2).collect(), rows(special), 16)
     check_packing(packing.pack_documents(odd.repartition(3), queries.TOKENIZER, 64, 2).collect(), rows(odd.select("doc_id", "text")), 64)
     assert packing.pack_documents(none, queries.TOKENIZER).count() == 0
 
@@ -304,7 +315,10 @@ def test_bpe_of_no_rows(none):
 def test_tokenizer_file_equals_rank_file(docs):
     texts = [r[0] for r in docs.select("text").limit(50).collect()] + [t or "" for t in ODD]
     a, b = packing.tokenizers_file(queries.TOKENIZER), bpe.rank_file(queries.RANKS, queries.PATTERN)
-    assert all(a.ids(t) == b.ids(t) for t in texts)
+    assert all(a.ids(t) == b.ids(t) for t in texts if "<|endoftext|>" not in t)
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    for t in [*texts, "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x \n<|endoftext|>\n\n", "<|endoftext", "  <|endoftext|>  y"]:
+        assert a.ids(t) == np.array(library.encode(t, add_special_tokens=False).ids, np.uint32).tobytes(), t
     assert public_tokenizers.PATTERN == queries.PATTERN
 
 
