@@ -1,8 +1,10 @@
 """URL filtering by pattern rules indexed by their rarest literal token.
 
 Every rule carries literal tokens that any URL it fits must contain as whole tokens. The corpus is counted once
-for these tokens, each rule is filed under its rarest one, the tokens of a URL fetch the rules filed under them, and
-only these candidates run their regular expression. All of it is DataFrame expressions.
+for these tokens, and each rule is filed under its rarest one in a hash table that lies in the plan as one constant: an
+array of buckets of rules. The tokens of a URL open their buckets and fetch the rules filed under them; only these
+candidates run their regular expression. A URL costs its own tokens and candidates, however many rules there
+are. All of it is DataFrame expressions, without a shuffle.
 
 Defined cases: a null URL and a URL without `://` have an empty host and path, fit no rule and get the default
 verdict. Repeated rows are judged alike, an empty table gives an empty result, further columns are kept; columns
@@ -11,15 +13,18 @@ named host, path, rule, verdict in the input are replaced.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many index tokens the index is a literal in the plan; above it is a table joined on the token.
-LITERAL_TOKENS = 128
+#: Buckets of the index for each of its tokens.
+BUCKETS = 2
+_RULE = "rank int, order int, text string, verdict string, pattern string, token string"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 
@@ -74,40 +79,27 @@ def index_rules(urls: DataFrame, rules: Sequence[UrlRule]) -> dict[str, list[Url
     return index
 
 
-def filter_urls(df: DataFrame, rules: Sequence[UrlRule], url: str = "url", default: str = "allow", literal_tokens: int = LITERAL_TOKENS) -> DataFrame:
-    """df with host, path, rule (text of the best fitting rule or null) and verdict (its verdict or the default)."""
-    clean = df.drop("host", "path", "rule", "verdict", "_best", "_target") if url not in ("host", "path", "rule", "verdict") else df
-    urls = split_url(clean, url)
-    index = index_rules(urls, rules)
-    ranked = {r: (r.rank, -i) for i, r in enumerate(rules)}
-    if len(index) <= literal_tokens:
-        out = urls.withColumn("_best", _best_literal(index, ranked))
-    else:
-        out = _best_joined(urls, index, ranked)
-    return out.withColumns({"rule": F.col("_best.text"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best", "_target")
-
-
-def _struct(r: UrlRule, rank: tuple[int, int]) -> Column:
-    values = {"rank": F.lit(rank[0]), "order": F.lit(rank[1]), "text": F.lit(r.text), "verdict": F.lit(r.verdict)}
-    return F.struct(*(v.alias(k) for k, v in values.items()))
+def index_column(index: dict[str, list[UrlRule]], rules: Sequence[UrlRule]) -> tuple[Column, int]:
+    """(the index as a constant array of buckets, their number). A rule lies in the bucket of its token's CRC-32."""
+    size = max(1, BUCKETS * len(index))
+    order = {r: -i for i, r in enumerate(rules)}
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for token, part in index.items():
+        buckets[zlib.crc32(token.encode()) % size] += [{"rank": r.rank, "order": order[r], "text": r.text, "verdict": r.verdict, "pattern": r.pattern, "token": token} for r in part]
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<{', '.join(c.replace(' ', ':') for c in _RULE.split(', '))}>>>"), size
 
 
-def _best_literal(index: dict[str, list[UrlRule]], ranked: dict[UrlRule, tuple[int, int]]) -> Column:
-    """The tokens of the URL open the entries of the index; the rules there run their patterns."""
-    tokens = url_tokens()
-    entry = lambda token, part: [F.when(F.array_contains(tokens, token) & F.rlike("_target", F.lit(r.pattern)) if token else F.rlike("_target", F.lit(r.pattern)), _struct(r, ranked[r])) for r in part]
-    fits = [c for token, part in index.items() for c in entry(token, part)]
-    return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<rank:int,order:int,text:string,verdict:string>")
-
-
-def _best_joined(urls: DataFrame, index: dict[str, list[UrlRule]], ranked: dict[UrlRule, tuple[int, int]]) -> DataFrame:
-    """For large rule sets: distinct URLs' tokens meet the index in an equi-join; Spark broadcasts it only if it is small."""
-    spark = urls.sparkSession
-    table = spark.createDataFrame([(t, r.pattern, *ranked[r], r.text, r.verdict) for t, part in index.items() for r in part], "token string, pattern string, rank int, order int, text string, verdict string")
-    distinct = urls.select("_target").distinct()
-    opened = distinct.select("_target", F.explode(F.array_append(url_tokens(), "")).alias("token"))
-    fits = opened.join(table, "token").where(F.expr("_target rlike pattern"))
-    best = fits.groupBy("_target").agg(F.max(F.struct("rank", "order", "text", "verdict")).alias("_best"))
-    return urls.join(best, "_target", "left")
+def candidates(index: dict[str, list[UrlRule]], rules: Sequence[UrlRule]) -> Column:
+    """The rules that the tokens of _target fetch; those without a token are fetched by every URL."""
+    table, size = index_column(index, rules)
+    fetch = lambda t: F.filter(F.get(table, (F.crc32(t.cast("binary")) % size).cast("int")), lambda r: r["token"] == t)
+    return F.flatten(F.transform(F.array_append(url_tokens(), ""), fetch))
 
 
+def filter_urls(df: DataFrame, rules: Sequence[UrlRule], url: str = "url", default: str = "allow") -> DataFrame:
+    """df with host, path, rule (text of the best fitting rule or null) and verdict (its verdict or the default)."""
+    clean = df.drop("host", "path", "rule", "verdict", "_best", "_target") if url not in ("host", "path", "rule", "verdict") else df
+    urls = split_url(clean, url)
+    fits = F.filter(candidates(index_rules(urls, rules), rules), lambda r: F.rlike("_target", r["pattern"]))
+    out = urls.withColumn("_best", F.array_max(fits))
+    return out.withColumns({"rule": F.col("_best.text"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best", "_target")

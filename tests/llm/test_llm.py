@@ -103,10 +103,23 @@ def test_urls_equal_sql(spark, sf, duck):
 URLS = [None, "", "no scheme/en/", "http://EXAMPLE.com/en/x", "http://www.example.com/en/", "http://www.example.com/en", "ftp://badexample.com/en/", "http://a.net/es/?x", "http://a.net/ES/", "http://net/fr/q", "http://a.com", "http://a.com/", "http://x.org/login", "http://x.org/cgi-bin/a", "x://y.net?/es/", "http://a.org/?session=1", "http://a.com://b.net/es/"]
 
 
-@pytest.mark.parametrize("literal", [128, 0])
-def test_urls_one_by_one(spark, literal):
+def test_urls_fetch_only_rules_of_their_tokens(spark):
+    rules = [url_filter.host_path_rule("block", f"site{i}.com", f"/p{i % 7}/") for i in range(2000)] + [url_filter.pattern_rule("block", "x{40}", [])]
+    urls = url_filter.split_url(spark.createDataFrame([(f"http://a.site{i}.com/p{i % 5}/",) for i in range(30)] + [("http://" + "long/" * 30_000 + "site3.com",)], "url string"))
+    index = url_filter.index_rules(urls, rules)
+    assert {t for t, part in index.items() for r in part} >= {"site3", ""} and len(index) > 1000
+    for r in urls.withColumn("c", url_filter.candidates(index, rules)).collect():
+        tokens = {*re.findall("[A-Za-z0-9]+", r["_target"]), ""}
+        assert sorted(c["text"] for c in r["c"]) == sorted(x.text for t in tokens for x in index.get(t, []))
+        assert len(r["c"]) <= 2
+    judged = url_filter.filter_urls(urls.select("url"), rules)
+    assert [r["rule"] for r in judged.limit(6).collect()] == [f"site{i}.com/p{i % 7}/" if i % 5 == i % 7 else None for i in range(6)]
+    assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_urls_one_by_one(spark):
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate([*URLS, URLS[3]])], "page_id int, url string, host string")
-    got = url_filter.filter_urls(df, queries.URL_RULES + queries.PAGE_PATTERNS, literal_tokens=literal).orderBy("page_id").collect()
+    got = url_filter.filter_urls(df, queries.URL_RULES + queries.PAGE_PATTERNS).orderBy("page_id").collect()
     for r, url in zip(got, [*URLS, URLS[3]], strict=True):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
