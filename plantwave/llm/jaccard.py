@@ -9,7 +9,7 @@ whole sets are compared, once a pair.
 
 A group of m near copies has m^2 pairs, which components do not need: first each posting list is compared with its head
 (the document in which the shingle comes earliest), then only pairs that still are in different components and share
-a list of three or more are compared. Every link between different components is found this way, so the components
+a list of three or more are compared, by pairs of blocks of the list. Every link between different components is found this way, so the components
 are exact.
 
 Defined cases: a null or wordless text has no shingles and links with nothing; equal sets link; rows that share
@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, rows_of
@@ -32,8 +32,8 @@ from .shingles import mix, shingle_sets
 
 #: log2 of the counters, and of the counters in a row; partial tables of a block that one task sums.
 COUNTER_BITS, ROW_BITS, FAN_IN = 20, 14, 512
-#: Members compared with one head in a task.
-MEMBERS = 512
+#: Members compared with one head in a task, members of a block of a posting list, sets that a task remembers.
+MEMBERS, BLOCK, REMEMBERED = 512, 256, 1 << 17
 
 
 def occurrences(docs: DataFrame, words: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def shingle_prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, hi, lo, prefix): set size, 128-bit digest of the set, prefix (null if the task had the set before)."""
+    """(doc_id, n, hi, lo, prefix): set size, 128-bit digest of the set, prefix (null if the task has just had the set)."""
     counts = docs.sparkSession.sparkContext.broadcast(occurrences(docs, words))
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
@@ -95,6 +95,8 @@ def shingle_prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFra
                 key = tuple(k - 2**64 if k >= 2**63 else k for k in key)
                 prefix = None
                 if len(h) and doc_id is not None and key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(key)
                     order = np.lexsort((h, often[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
                     prefix = h[order[: prefix_length(len(h), num, den)]].view(np.int64)
@@ -168,14 +170,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     near = _possible(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"), num, den)
     stars = shared.where((F.col("doc_id") != F.col("head")) & near).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     stars = materialize(stars.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b")), "stars")  # a pair once, under one of its heads
-    lists = shared.where("c > 2").select("token", "doc_id", "n", "pos", "head")
+    lists = shared.where("c > 2").select("token", "doc_id", "n", "pos", "head", "c")
     first = links(stars, docs, words, num, den)
     copies = sets.where("prefix is not null").select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     twice = sets.where("n > 0").groupBy("doc_id").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least <> most").select("doc_id")  # ids of several texts
     twice = sets.where("n > 0").join(twice, "doc_id").select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = materialize(first.unionByName(copies).unionByName(twice), "edges")
     parts = materialize(connected(edges), "components")
-    rest = materialize(_across(lists, parts, num, den), "rest")
+    rest = materialize(_across(lists, parts, stars, num, den), "rest")
     if not rest.isEmpty():
         more = materialize(links(rest, docs, words, num, den), "edges")
         if not more.isEmpty():
@@ -188,19 +190,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-def _across(lists: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a posting list that lie in different components and were not compared with the list's head."""
+def _across(lists: DataFrame, parts: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a posting list that lie in different components and were not compared before, each once.
+
+    A list of c members is dealt into blocks by a hash of the member; each pair of blocks is a key of its own, so a
+    task holds two blocks of BLOCK members, however long a list is."""
     named = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    rows = named.where("doc_id <> head").join(split, "token", "left_semi").select("token", "doc_id", "n", "pos", "component")
-    x, y = rows.alias("x"), rows.alias("y")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    split = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(blocks).alias("blocks")).where("least <> most")
+    split = split.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = named.where("doc_id <> head").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")}).join(split, ["token", "block"], "left_semi")
+    member = ("token", "doc_id", "n", "pos", "component")
+    x = rows.select(*member, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")).alias("x")
+    y = rows.select(*member, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j")).alias("y")
     near = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & near
-    return x.join(y, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & once & (F.col("x.component") != F.col("y.component")) & near
+    pairs = x.join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of docs for each component, that of the smallest id; rows without an id stay; all columns stay."""
+    """One row of docs for each component, that of the smallest id; rows without an id stay; all columns stay.
+
+    Rows that share that id are versions of one document: the first by text (nulls last), then by the other columns, stays."""
     grouped = near_duplicates(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(grouped, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = docs.where("doc_id is not null").join(grouped, "doc_id", "left_semi")
+    others = [F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"), *others)
+    kept = kept.withColumn("_version", F.row_number().over(first)).where("_version = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -402,8 +402,10 @@ def variants(seed=0, n=60):
     return out
 
 
-@pytest.mark.parametrize("words, num", [(3, 90), (5, 80), (1, 50)])
-def test_join_equals_brute_force(spark, odd, none, words, num):
+@pytest.mark.parametrize("words, num, block", [(3, 90, 256), (5, 80, 3), (1, 50, 7)])
+def test_join_equals_brute_force(spark, odd, none, words, num, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "REMEMBERED", 5)
     rng = random.Random(5)
     texts = [(i, t) for i, t in enumerate([*variants(), *[" ".join(["big"] * 3 + [f"q{j % 40 if j != k else j + 1000}" for j in range(200)]) for k in range(60)], *ODD, *ODD])]
     rng.shuffle(texts)
@@ -427,7 +429,7 @@ def test_ids_with_several_texts_are_one_document(spark):
 
 def test_keep_one(spark):
     long_ = " ".join(f"a{i}" for i in range(50))
-    df = spark.createDataFrame([(4, long_, "s"), (2, long_ + " x", "t"), (2, long_ + " x", "t"), (7, "else", "u"), (8, None, "v"), (None, long_, "w")], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(4, long_, "s"), (2, long_ + " x", "t"), (2, long_ + " x", "t"), (2, "z", "a"), (2, None, "a"), (2, long_ + " x", "z"), (7, "else", "u"), (8, None, "v"), (None, long_, "w")], "doc_id long, text string, source string")
     kept = jaccard.keep_one(df)
     assert sorted(rows(kept), key=repr) == sorted([(2, long_ + " x", "t"), (7, "else", "u"), (8, None, "v"), (None, long_, "w")], key=repr)
 
