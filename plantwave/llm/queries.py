@@ -79,7 +79,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    return ann.nearest(vectors, F.expr("vec_id % 20 = 0"), 20)
 
 
 OP4_SQL = """

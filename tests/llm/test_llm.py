@@ -192,7 +192,7 @@ def test_neighbours_of_odd_vectors(spark):
     bad = [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0, None] + [0.0] * 6), (2004, [float("inf")] * 8), (2005, [1.0]), (None, [1.0] * 8), (2006, [])]
     df = spark.createDataFrame([(*x, "r") for x in good + copies + bad], "vec_id long, embedding array<double>, rank string")
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.expr("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     known = good + copies
     ids, matrix = np.array([i for i, _ in known]), np.array([v for _, v in known])
@@ -206,8 +206,44 @@ def test_neighbours_of_odd_vectors(spark):
             total += 20
     assert right >= 0.95 * total and set(got) == {q for q, _ in known if q % 20 == 0}
     few = df.where("vec_id < 3")
-    assert ann.nearest(few, few, 20).count() == 6
-    assert ann.nearest(df.limit(0), df.limit(0), 20).count() == 0
+    assert ann.nearest(few, F.lit(True), 20).count() == 6
+    assert ann.nearest(df.limit(0), F.lit(True), 20).count() == 0
+
+
+def test_neighbours_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (5, [1.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = collections.Counter(map(tuple, ann.nearest(df, F.expr("vec_id = 0"), 2).collect()))
+    assert got == {(0, 1, 0, 1.0): 2, (0, 2, 3, 1.0): 2, (0, 1, 3, 2.0): 1, (0, 2, 5, 2.0): 1}
+
+
+def test_neighbours_rerank_few(spark, sf, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    vectors = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet")
+    found, work = ann.search(vectors, F.expr("vec_id % 20 = 0"), 20, "vec_id", "embedding", ann.EPS)
+    done = work.agg(F.sum("reranked"), F.sum("compared")).first()
+    queries_, n = vectors.where("vec_id % 20 = 0").count(), vectors.count()
+    assert done[1] == queries_ * n and done[0] < 0.3 * done[1]  # of 2000 rows; 0.03 of 51 000
+    ids, matrix = (np.array([r[i] for r in vectors.select("vec_id", "embedding").collect()], t) for i, t in ((0, np.int64), (1, np.float64)))
+    scores = matrix[ids % 20 == 0] @ matrix.T
+    scores[np.arange(len(scores)), np.flatnonzero(ids % 20 == 0)] = -np.inf
+    best = {(int(q), int(v)) for q, row in zip(ids[ids % 20 == 0], scores, strict=True) for v in ids[np.argsort(-row)[:20]]}
+    assert len(best & {(r["query_id"], r["vec_id"]) for r in found.collect()}) >= 0.95 * len(best)
+
+
+def test_bit_products_equal_products():
+    rng = np.random.default_rng(2)
+    vectors, mean = rng.normal(size=(50, 24)), np.full(24, 0.1)
+    turn = ann.rotation(24, 256)
+    codes, length, correction = ann.encode(vectors, mean, turn)
+    q = ann.Query(0, 0, rng.normal(size=24), mean, turn)
+    part = ann.Batch(np.arange(50), np.arange(50), vectors, codes, length, correction, 1.0)
+    bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
+    turned = turn @ q.vector
+    levels = np.rint((turned - q.low) / q.step)
+    assert (q.common(part.words, *part.room) == bits @ levels).all()
+    assert np.allclose(((vectors - mean) @ turn.T > 0), bits)
+    estimate = q.base + length * ((2.0 * bits - 1) @ turned) / (16 * correction)
+    assert np.abs(estimate - vectors @ q.vector).max() < 4 * q.norm * np.sqrt(1 - correction**2).max() / correction.min() * length.max() / 16
 
 
 # --- quality rules
