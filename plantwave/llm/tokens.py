@@ -5,17 +5,25 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 
 class Ranks:
     """Byte-level BPE by ranks, each match of the pattern separately; decoding joins raw bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ranks, self.pattern = ranks, pattern
+
+    @cached_property
+    def raw(self) -> dict[int, bytes]:
+        return {i: b for b, i in self.ranks.items()}
+
+    @cached_property
+    def encoding(self):
+        """Made where something is encoded: it is large."""
         import tiktoken
 
-        self.raw = {i: b for b, i in ranks.items()}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
         return array("I", self.encoding.encode_ordinary(text)).tobytes()

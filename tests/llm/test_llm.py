@@ -335,13 +335,17 @@ def test_backpropagation_equals_differences():
 # --- byte-level BPE
 
 
-@pytest.mark.parametrize("chunk, overlap", [(1 << 16, 1 << 9), (50, 20), (7, 3)])
-def test_bpe(docs, odd, chunk, overlap):
+BLOBS = ["x" * 5000 + " and on. " * 400 + "y" * 3000 + "\n\n12 it's", "z" * 9000, ("word " * 50 + "q" * 700) * 9, " " * 3000 + "a" + "\n" * 3000]
+
+
+@pytest.mark.parametrize("chunk, overlap, stretch", [(bpe.CHUNK, bpe.OVERLAP, bpe.STRETCH), (50, 20, 1 << 16), (50, 20, 400), (7, 3, 90)])
+def test_bpe(spark, docs, odd, chunk, overlap, stretch):
     with open(queries.RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    df = odd if chunk < 1000 else docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    got = rows(bpe.digests(bpe.decode(bpe.encode_documents(df, queries.RANKS, queries.PATTERN, chunk, overlap), queries.RANKS, queries.PATTERN)))
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(BLOBS)], "doc_id long, text string"))
+    df = df if chunk < 1000 else docs.select("doc_id", "text").unionByName(df)
+    got = rows(bpe.digests(bpe.decode(bpe.encode_documents(df, queries.RANKS, queries.PATTERN, chunk, overlap, stretch), queries.RANKS, queries.PATTERN)))
     want = []
     for d, t in rows(df.select("doc_id", "text")):
         ids = encoding.encode_ordinary(t or "")
@@ -349,11 +353,21 @@ def test_bpe(docs, odd, chunk, overlap):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_bpe_cuts_every_text_and_goes_on_after_a_huge_word(docs):
+    texts = [r[0] for r in docs.select("text").collect() if r[0] and len(r[0]) > 2 * bpe.CHUNK]
+    assert texts and all(len(bpe.cut_points(t, queries.PATTERN)) - 1 == -(-len(t) // bpe.CHUNK) for t in texts)
+    blob = BLOBS[0]
+    cuts = bpe.cut_points(blob, queries.PATTERN, 50, 20)
+    assert max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) < 8000 and len(cuts) > 40 and min(cuts[1:]) >= 5000
+    assert bpe.stitch([(0, [], [52, 55]), (50, [55, 60], [101]), (100, [102], [150]), (150, [150], [])]) == ([0, 50, 150], [0, 55, 150], True)
+
+
 @pytest.mark.parametrize("gap", ["\n\n", "\t\t\n", " \n", "\u2003\u2003"])
 def test_bpe_of_white_space_at_the_seam(spark, gap):
     texts = [" ab" * 10 + "x" * k + "." + gap + "foo bar, it's" + " cd" * 40 for k in range(70)]
     ranks = bpe.rank_file(queries.RANKS, queries.PATTERN)
-    got = dict(rows(bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.RANKS, queries.PATTERN, 64, 32)))
+    assert [t for t in texts if bpe.encode_text(t, ranks, 64, 32) != ranks.ids(t)] == []
+    got = dict(rows(bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.RANKS, queries.PATTERN, 32, 16, 64)))
     assert [i for i, t in enumerate(texts) if bytes(got[i]) != ranks.ids(t)] == []
 
 
