@@ -32,8 +32,8 @@ from .shingles import mix, shingle_sets
 
 #: log2 of the counters, and of the counters in a row; partial tables of a block that one task sums.
 COUNTER_BITS, ROW_BITS, FAN_IN = 20, 14, 512
-#: Members compared with one head in a task, members of a block of a posting list, sets that a task remembers.
-MEMBERS, BLOCK, REMEMBERED = 512, 256, 1 << 17
+#: Members compared with one head in a task, members of a block of a posting list, sets that a task remembers, parts of a group of equal sets.
+MEMBERS, BLOCK, REMEMBERED, SALTS = 512, 256, 1 << 17, 256
 
 
 def occurrences(docs: DataFrame, words: int) -> np.ndarray:
@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): links are den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
     sets = materialize(shingle_prefixes(docs, words, num, den), "sets")
-    classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
+    sets = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    classes = materialize(_classes(sets), "classes")
     posts = sets.where("prefix is not null").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     heads = posts.groupBy("token").agg(F.count("*").alias("c"), F.min_by("doc_id", "pos").alias("head"), F.min_by("n", "pos").alias("head_n"), F.min("pos").alias("head_pos")).where("c > 1")
     shared = materialize(posts.join(heads, "token").select("token", "doc_id", "n", "pos", "head", "head_n", "head_pos", "c"), "shared")
@@ -172,9 +173,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     stars = materialize(stars.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b")), "stars")  # a pair once, under one of its heads
     lists = shared.where("c > 2").select("token", "doc_id", "n", "pos", "head", "c")
     first = links(stars, docs, words, num, den)
-    copies = sets.where("prefix is not null").select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    copies = sets.where("prefix is not null").select("doc_id", "hi", "lo", "salt").join(classes, ["hi", "lo", "salt"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     twice = sets.where("n > 0").groupBy("doc_id").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least <> most").select("doc_id")  # ids of several texts
-    twice = sets.where("n > 0").join(twice, "doc_id").select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    twice = sets.where("n > 0").join(twice, "doc_id").select("doc_id", "hi", "lo", "salt").join(classes, ["hi", "lo", "salt"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = materialize(first.unionByName(copies).unionByName(twice), "edges")
     parts = materialize(connected(edges), "components")
     rest = materialize(_across(lists, parts, stars, num, den), "rest")
@@ -184,12 +185,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             parts = materialize(connected(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
     for done in (shared, stars, edges, rest):
         discard(done)
-    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "hi", "lo").join(of_class, ["hi", "lo"], "left")
+    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "salt", F.coalesce("component", "rep").alias("component_id"))
+    out = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "hi", "lo", "salt").join(of_class, ["hi", "lo", "salt"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
+def _classes(sets: DataFrame) -> DataFrame:
+    """(hi, lo, salt, rep): the smallest id of each set's documents, beside every salt that they have.
+
+    A large group of equal sets meets its representative salt by salt, so no task has it whole."""
+    dealt = sets.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "salt").agg(F.min("doc_id").alias("least"))
+    return dealt.select("hi", "lo", "salt").join(dealt.groupBy("hi", "lo").agg(F.min("least").alias("rep")), ["hi", "lo"])
+
+
 def _across(lists: DataFrame, parts: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a posting list that lie in different components and were not compared before, each once.
 

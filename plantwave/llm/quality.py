@@ -3,7 +3,10 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows of the whole text. Then every line with a
 word gets features; Viterbi decoding labels the sequence of lines as content or boilerplate, and the share of words in
 content lines decides whether the document stays. The field is fitted by forward-backward gradients on a bounded
-sample of labelled documents whose lines all bear the document's label.
+sample of labelled documents. Only documents bear labels, so the lines' labels are latent: they begin as the document's,
+then each round fits a field and decodes the lines anew, under the constraint that content keeps its share of the words
+of good documents and stays below it in bad ones. So lines of prose among junk, and of junk among prose, teach the field to
+switch within a document.
 
 Defined cases: a null or wordless text has counts of zero and fails the base rules; without labelled documents the
 base rules alone decide; rows are judged one by one, repeated ones alike; a null id is kept; an empty table gives an
@@ -207,29 +210,58 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Field | No
     return train([(r["quality"], np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES))) for r in rows])
 
 
-def train(texts: list[tuple[int, np.ndarray]], steps: int = 200, rate: float = 0.1, decay: float = 1e-3, care: float = 4.0) -> Field | None:
-    """Adam on the log likelihood of the labels; texts weigh alike, those of content in sum `care` times the others."""
-    parts = [(q, f[i : i + SEQUENCE], 1 / len(f)) for q, f in texts for i in range(0, len(f), SEQUENCE)]
-    if len({q for q, *_ in parts}) < 2:
+def train(texts: list[tuple[int, np.ndarray]], rounds: int = 2, steps: int = 80) -> Field | None:
+    """A field for texts (quality, features by line) whose lines' labels are latent."""
+    if len({q for q, _ in texts}) < 2:
         return None
-    length = max(len(f) for _, f, _ in parts)
-    x, there = np.zeros((length, len(parts), len(FEATURES)), np.float64), np.zeros((length, len(parts)), bool)
-    for j, (_, f, _) in enumerate(parts):
-        x[: len(f), j], there[: len(f), j] = f, True
-    gold = np.array([q for q, *_ in parts])
-    weight = np.array([w * len(f) for _, f, w in parts])
+    labels = [np.full(len(f), q) for q, f in texts]
+    field = fit_lines(texts, labels, 4 * steps, None)
+    for _ in range(rounds):
+        labels = [within_share(q, f, field) for q, f in texts]
+        field = fit_lines(texts, labels, steps, field)
+    return field
+
+
+def within_share(quality: int, features: np.ndarray, field: Field) -> np.ndarray:
+    """Labels of the lines by the field; the least sure ones give way until the content share suits the document's quality."""
+    label = field.decode(features)
+    words = np.expm1(5 * features[:, FEATURES.index("log words")].astype(float))
+    scores = features @ field.weights
+    right = lambda: (label @ words >= CONTENT_SHARE * words.sum()) == bool(quality)
+    for line in np.argsort(-scores if quality else scores, kind="stable"):
+        if right():
+            break
+        label[line] = quality
+    return label
+
+
+def fit_lines(texts: list[tuple[int, np.ndarray]], labels: list[np.ndarray], steps: int, start: Field | None, rate: float = 0.1, decay: float = 1e-3, care: float = 8.0) -> Field:
+    """Adam on the log likelihood of the lines' labels; texts weigh alike, good ones in sum `care` times the others.
+
+    start: the field to begin with; without one, lines are judged each for itself and pairs of labels have no scores."""
+    parts = [(q, f[i : i + SEQUENCE], y[i : i + SEQUENCE], 1 / len(f)) for (q, f), y in zip(texts, labels, strict=True) for i in range(0, len(f), SEQUENCE)]
+    length = max(len(f) for _, f, *_ in parts)
+    x, gold, there = np.zeros((length, len(parts), len(FEATURES))), np.zeros((length, len(parts)), np.int64), np.zeros((length, len(parts)), bool)
+    for j, (_, f, y, _) in enumerate(parts):
+        x[: len(f), j], gold[: len(f), j], there[: len(f), j] = f, y, True
+    quality = np.array([q for q, *_ in parts])
+    weight = np.array([w * len(f) for _, f, _, w in parts])
     for q in (0, 1):
-        weight[gold == q] *= (care if q else 1.0) / (1 + care) / weight[gold == q].sum()
+        weight[quality == q] *= (care if q else 1.0) / (1 + care) / weight[quality == q].sum()
     weight /= there.sum(0)
-    theta, m, v = np.zeros(len(FEATURES) + 4), np.zeros(len(FEATURES) + 4), np.zeros(len(FEATURES) + 4)
+    pair = 2 * gold[:-1] + gold[1:]
+    truth = np.array([(((pair == p) & there[1:]) * weight).sum() for p in range(4)])
+    theta = np.zeros(len(FEATURES) + 4) if start is None else np.concatenate([start.weights, start.pairs.ravel()])
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    rows, flat = x[there], (there * weight)[there]
     for step in range(steps):
-        one, two = _marginals(x @ theta[:-4], there, theta[-4:].reshape(2, 2))
         slope = np.zeros_like(theta)
-        slope[:-4] = np.einsum("tj,tjf->f", ((gold == 1) - one[:, :, 1]) * there * weight, x)
-        truth = np.zeros((2, 2))
-        for q in (0, 1):
-            truth[q, q] = ((there[1:] & (gold == q)) * weight).sum()
-        slope[-4:] = (truth - np.einsum("tjab,j->ab", two, weight)).ravel()
+        if start is None:
+            slope[:-4] = ((gold[there] - 1 / (1 + np.exp(-(rows @ theta[:-4])))) * flat) @ rows
+        else:
+            one, two = _marginals(x @ theta[:-4], there, theta[-4:].reshape(2, 2))
+            slope[:-4] = ((gold - one[:, :, 1])[there] * flat) @ rows
+            slope[-4:] = truth - np.einsum("tjab,j->ab", two, weight).ravel()
         slope -= decay * theta
         m += 0.1 * (slope - m)
         v += 0.01 * (slope * slope - v)

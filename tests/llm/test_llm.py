@@ -276,6 +276,32 @@ def test_quality_verdicts(spark, sf):
     assert quality.fit(docs, labels.limit(0)) is None
     kept = quality.keep_content(docs, field)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    shares = [r["content_share"] for r in quality.judge(docs, field).where("not base_failed").collect()]
+    assert sum(0 < s < 1 for s in shares) >= 0.01 * len(shares)
+    prose = "The house by the river was sold in spring, and nobody asked why. They moved north that year."
+    junk = ["home | about | contact | terms | prices | login | help", "BUY!! NOW!! CHEAP!! OFFERS!! TODAY!! ONLY!! HURRY!!", "of%%% the&&& was*** in### re$$$ for&&& no%%% it***"]
+    mixed = ["\n".join([prose.replace("river", f"river{i}") for i in range(8)] + [f"{x} {i}" for i in range(n) for x in junk]) for n in (0, 1, 4, 12)]
+    label = [field.decode(f) for *_, f in quality.measure(pa.array(mixed))]
+    right = np.concatenate([np.append(y[:8] == 1, y[8:] == 0) for y in label])
+    assert right.mean() >= 0.9, label
+    assert [y.mean() > 0.5 for y in label] == [True, True, False, False] and all(0 < y.mean() < 1 for y in label[1:])
+    odd = pa.array([None, "", mixed[0] * 500, "\n" * 300, mixed[1] + "\n\n\n" + "x" * 200_000])
+    assert [r[-1] for r in quality.verdicts(odd, field)][:2] == [False, False] and len(list(quality.verdicts(odd, field))) == 5
+
+
+def test_lines_give_way_to_the_share_of_their_document():
+    rng = np.random.default_rng(3)
+    field = quality.Field(rng.normal(size=len(quality.FEATURES)).astype(np.float32), np.zeros((2, 2)))
+    for _ in range(50):
+        f = rng.normal(size=(9, len(quality.FEATURES))).astype(np.float32)
+        f[:, 1] = np.log1p(rng.integers(1, 30, 9)) / 5
+        words = np.expm1(5 * f[:, 1])
+        for q in (0, 1):
+            label, free = quality.within_share(q, f, field), field.decode(f)
+            assert (label @ words >= quality.CONTENT_SHARE * words.sum()) == bool(q)
+            changed = label != free
+            assert not changed.any() or (free @ words >= quality.CONTENT_SHARE * words.sum()) != bool(q)
+            assert (label[changed] == q).all()
 
 
 def test_viterbi_is_the_best_path():
