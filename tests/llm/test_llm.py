@@ -278,13 +278,13 @@ def test_quality_verdicts(spark, sf):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     shares = [r["content_share"] for r in quality.judge(docs, field).where("not base_failed").collect()]
     assert sum(0 < s < 1 for s in shares) >= 0.01 * len(shares)
-    prose = "The house by the river was sold in spring, and nobody asked why. They moved north that year."
-    junk = ["home | about | contact | terms | prices | login | help", "BUY!! NOW!! CHEAP!! OFFERS!! TODAY!! ONLY!! HURRY!!", "of%%% the&&& was*** in### re$$$ for&&& no%%% it***"]
-    mixed = ["\n".join([prose.replace("river", f"river{i}") for i in range(8)] + [f"{x} {i}" for i in range(n) for x in junk]) for n in (0, 1, 4, 12)]
-    label = [field.decode(f) for *_, f in quality.measure(pa.array(mixed))]
-    right = np.concatenate([np.append(y[:8] == 1, y[8:] == 0) for y in label])
-    assert right.mean() >= 0.9, label
-    assert [y.mean() > 0.5 for y in label] == [True, True, False, False] and all(0 < y.mean() < 1 for y in label[1:])
+    texts = docs.join(labels, "doc_id").where("doc_id % 2 = 1").orderBy("doc_id").select("quality", "text").collect()
+    lines = [[x for q, t in texts if q == want for x in t.split("\n") if 8 <= len(x.split()) <= 60 and fits(x)] for want, fits in ((1, lambda x: "|" not in x), (0, lambda x: x.count("|") > 5 or x.count("!!") > 5))]
+    mixed = ["\n".join(lines[0][9 * i : 9 * i + 8] + lines[1][9 * i : 9 * i + n]) for i, n in enumerate((0, 3, 6, 9))]
+    right = np.concatenate([np.append(y[:8] == 1, y[8:] == 0) for y in (field.decode(f) for *_, f in quality.measure(pa.array(mixed)))])
+    assert right.mean() >= 0.9 and all(len(x) > 40 for x in lines)
+    shares = [r[5] for r in quality.verdicts(pa.array(mixed), field)]
+    assert shares[0] == 1 and sum(0 < s < 1 for s in shares) >= 2
     odd = pa.array([None, "", mixed[0] * 500, "\n" * 300, mixed[1] + "\n\n\n" + "x" * 200_000])
     assert [r[-1] for r in quality.verdicts(odd, field)][:2] == [False, False] and len(list(quality.verdicts(odd, field))) == 5
 
