@@ -1,12 +1,17 @@
 """Main text of web pages with site templates removed.
 
-Every element's subtree (tags, classes, text; not addresses) is hashed, Spark counts on how many different pages of its
-host each hash stands, and subtrees that recur on many of them are deleted as the site's template. Pages whose article
-(or body, without one) has the same text are one page, however often it was fetched. Never taken for template are
+Every element's subtree is hashed twice: as it stands (tags, classes, text; not addresses) and by its shape (tags and
+classes alone, runs of equal children as one). Spark counts on how many different pages of its host each hash stands and what
+share of their text it makes. Subtrees whose text recurs on many pages, and named ones whose shape stands on nearly all
+pages and makes a small share of them, are deleted as the site's template. Pages whose article (or body, without one)
+has the same text are one page, however often it was fetched. Never taken for template are
 subtrees that hold an article, prose inside an article (paragraphs, headings, lists, tables) and what holds it, as
-passages may be quoted on many pages, and what makes half or more of an article's text. Elements
-that markup itself names as no text (scripts, menus, headers, footers, sidebars, forms, adverts, notices, comments)
-go too. What is left of the article, or of the body of pages that have none, is the text: one line a block.
+passages may be quoted on many pages, and what makes half or more of an article's text; by shape, nothing inside an article
+and nothing that holds paragraphs.
+
+Counts can't tell what a host shows on few pages, so after them elements go that markup itself names as no text (scripts,
+menus, headers, footers, sidebars, forms, adverts, notices, comments). What is left of the article, or of the body
+of pages that have none, is the text: one line a block.
 
 Defined cases: a null or empty page has an empty text; rows are judged one by one, repeated ones alike; a null URL
 belongs to the empty host; broken markup is read as far as its tags go; an empty table gives an empty result; columns
@@ -28,14 +33,16 @@ from .common import batches_of, materialize, rows_of
 
 #: A subtree is template from so many pages of its host, and from this share of them, on.
 MIN_PAGES, MIN_SHARE = 10, 0.1
-#: Rows of the table of templates up to which it may be broadcast.
-BROADCAST_ROWS = 100_000
+#: By its shape: from this share of the pages on, if it makes at most this share of their text on average.
+SHAPE_SHARE, SHAPE_TEXT = 0.9, 0.2
 
 # Element names and name parts of the HTML standard and of common page markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead table ul ol dl pre blockquote figcaption caption".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table dl".split())
+BARE = frozenset("div section span center tbody tr td th ul ol li".split())
 DROPPED = frozenset("script style noscript template iframe svg math textarea head title nav header footer aside form button select option input dialog menu object audio video canvas map noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = re.compile(
@@ -51,14 +58,16 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([
 
 
 class Element:
-    __slots__ = ("tag", "name", "dropped", "article", "holds", "parts", "parent", "hash", "text", "size")
+    __slots__ = ("tag", "name", "dropped", "article", "holds", "parts", "parent", "hash", "shape", "text", "size", "shown", "prose")
 
     def __init__(self, tag: str, name: str, dropped: bool, parent: Element | None) -> None:
         self.tag, self.name, self.dropped, self.parent = tag, name, dropped, parent
         self.article: Element | None = self if tag in ("article", "main") else parent and parent.article
         self.holds = False  # an article, or prose of an article
         self.parts: list[str | Element] = []
-        self.hash, self.text, self.size = 0, False, 0
+        self.hash, self.shape, self.text = 0, 0, False
+        self.size, self.shown = 0, 0  # characters without dropped elements, and with them
+        self.prose = tag in PARAGRAPHS
 
 
 def parse(html: str) -> Element:
@@ -152,20 +161,31 @@ def _implied(top: Element, tags: tuple[str, ...]) -> Element:
 
 
 def _finish(element: Element) -> None:
-    digest = xxhash.xxh3_64()
-    digest.update(f"{element.tag}\t{element.name}\n")
+    digest, shape, last = xxhash.xxh3_64(), xxhash.xxh3_64(seed=1), None
+    head = f"{element.tag}\t{element.name}\n"
+    digest.update(head)
+    shape.update(head)
     for part in element.parts:
         if isinstance(part, str):
             words = " ".join(part.split())
-            if words:
-                element.text = True
-                element.size += len(words)
-                digest.update(words)
+            if not words:
+                continue
+            element.text = True
+            element.size += len(words)
+            element.shown += 0 if element.tag in RAW else len(words)
+            digest.update(words)
+            mark = b"text"
         else:
             element.text |= part.text
             element.size += 0 if part.dropped else part.size
+            element.shown += part.shown
+            element.prose |= part.prose
             digest.update(part.hash.to_bytes(8))
-    element.hash = digest.intdigest()
+            mark = part.shape.to_bytes(8)
+        if mark != last:
+            shape.update(mark)
+        last = mark
+    element.hash, element.shape = digest.intdigest(), shape.intdigest()
 
 
 def elements(root: Element) -> Iterator[Element]:
@@ -183,10 +203,39 @@ def candidate(element: Element) -> bool:
     return element.article is None or element.tag not in PROSE and 2 * element.size < element.article.size
 
 
+def shaped(element: Element) -> bool:
+    """Whether the subtree may be template by its shape: named by tag or class, outside of articles, without paragraphs."""
+    if element.article is not None or element.prose or not candidate(element):
+        return False
+    return bool(element.name) or element.tag not in BARE
+
+
 def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def recurs(element: Element, template: set[int]) -> bool:
+    """Whether a counted template matches the subtree."""
+    if not template or not candidate(element):
+        return False
+    return signed(element.hash) in template or signed(element.shape) in template and shaped(element)
+
+
+def removed(root: Element, template: set[int]) -> tuple[int, int]:
+    """Characters that counted templates delete, and characters that go by their markup's names alone."""
+    by_count = by_name = 0
+    stack = [root]
+    while stack:
+        at = stack.pop()
+        if recurs(at, template):
+            by_count += at.shown
+        elif at.dropped:
+            by_name += 0 if at.tag == "head" else at.shown
+        else:
+            stack.extend(p for p in at.parts if not isinstance(p, str))
+    return by_count, by_name
+
+
 def main_text(html: str | None, template: Iterable[int] = ()) -> str:
     """Blocks of the article (of the body, if the page has none), one a line, without template and dropped elements."""
     if not html:
@@ -195,7 +244,7 @@ def main_text(html: str | None, template: Iterable[int] = ()) -> str:
 
 
 def text_of(root: Element, template: set[int]) -> str:
-    gone = lambda e: e.dropped or bool(template) and candidate(e) and signed(e.hash) in template
+    gone = lambda e: recurs(e, template) or e.dropped
     roots = _outermost(root, "article", gone) or _outermost(root, "main", gone) or [root]
     blocks: list[str] = []
     for top in roots:
@@ -233,37 +282,51 @@ HOST = r"(?s)^.*?://([^/?#]*)"
 
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
+    """(page_id, url, text, n_chars, template_chars, markup_chars) of pages (page_id, url, html).
+
+    The last two: characters deleted as counted template, and by their markup's names alone."""
     pages = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
     templates = materialize(site_templates(pages, min_pages, min_share), "templates")
     by_host = templates.groupBy("host").agg(F.collect_set("hash").alias("template"))  # at most 1 / min_share times the elements of a page
-    if templates.count() <= BROADCAST_ROWS:
-        by_host = F.broadcast(by_host)
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("template_chars", pa.int64()), ("markup_chars", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(((i, url, main_text(html, template or ())) for i, url, html, template in rows_of(batches)), schema, 500)
+        def read() -> Iterator[tuple]:
+            for page_id, url, html, found in rows_of(batches):
+                root, template = parse(html or ""), set(found or ())
+                yield page_id, url, text_of(root, template), *removed(root, template)
+
+        yield from batches_of(read(), schema, 500)
 
     joined = pages.join(by_host, "host", "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = joined.mapInArrow(run, "page_id long, url string, text string, template_chars long, markup_chars long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_chars", "markup_chars")
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur on many different pages of their host."""
-    schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("page", pa.int64())])
+    """(host, hash) of the subtrees that recur, as they stand or by shape, on many different pages of their host."""
+    schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("shape", pa.bool_()), ("page", pa.int64()), ("share", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for host, html in rows_of(batches):
                 root = parse(html or "")
                 page = signed(xxhash.xxh3_64_intdigest(text_of(root, set())))
-                yield host, None, page  # the page itself
-                for h in {e.hash for e in elements(root) if candidate(e)}:
-                    yield host, signed(h), page
+                yield host, None, False, page, None  # the page itself
+                shares: dict[tuple[int, bool], float] = {}
+                for e in elements(root):
+                    if candidate(e):
+                        shares[e.hash, False] = 0.0
+                        if shaped(e):
+                            shares[e.shape, True] = shares.get((e.shape, True), 0.0) + e.shown / max(root.shown, 1)
+                for (h, shape), share in shares.items():
+                    yield host, signed(h), shape, page, share
 
         yield from batches_of(found(), schema, 20_000)
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, hash long, page long").groupBy("host", "hash").agg(F.count_distinct("page").alias("n"))
+    rows = pages.select("host", "html").mapInArrow(run, "host string, hash long, shape boolean, page long, share double")
+    counts = rows.groupBy("host", "hash", "shape").agg(F.count_distinct("page").alias("n"), F.avg("share").alias("share"))
     counts = materialize(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtrees")
     of_host = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return counts.where("hash is not null").join(of_host, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    often = F.when(F.col("shape"), (F.col("n") >= F.col("pages") * SHAPE_SHARE) & (F.col("share") <= SHAPE_TEXT)).otherwise(F.col("n") >= F.col("pages") * min_share)
+    return counts.where("hash is not null").join(of_host, "host").where(often).select("host", "hash").distinct()

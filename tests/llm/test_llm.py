@@ -565,13 +565,44 @@ def test_copies_are_one_page(spark):
 
 
 def test_main_text_of_pages(spark, sf):
-    for page_id, url, text, n in rows(queries.op10_main_text(spark, sf)):
+    for page_id, url, text, n, *_ in rows(queries.op10_main_text(spark, sf)):
         source = spark_html(spark, sf)[page_id]
         inside = re.search(r"<article>(.*)</article>", source, re.DOTALL)[1]
         want = "\n".join(filter(None, (" ".join(html.unescape(re.sub("<[^>]+>", " ", b)).split()) for b in re.split(r"</?p>|</?h1>", inside))))
         assert text == want and n == len(want)
 
 
+def test_counts_carry_the_text_of_nameless_markup(spark):
+    """Neither article nor telling names: only what recurs on the host, as it stands or by shape, shows the template."""
+    page = "<body><div class=x1><ul><li>Go {a}</ul></div><div>Same box</div><div class=x2>Story {i} told at some length, in words of its own, on {i} and {j}.</div><div class=x3>Seen {i} times by {j}</div><div class=x4>{k}</div></body>"
+    make = lambda host, n, start: [(start + i, f"http://{host}/{i}", page.format(i=i, j=7 * i, a="<li>Go ".join(map(str, range(i % 4 + 1))), k="" if i % 3 else f"Note {i}")) for i in range(n)]
+    df = spark.createDataFrame(make("many.org", 40, 0) + make("few.org", 5, 100), "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in pages.extract_pages(df).collect()}
+    for i in range(40):
+        note = [] if i % 3 else [f"Note {i}"]  # on a third of the pages: no template
+        assert found[i]["text"].split("\n") == [f"Story {i} told at some length, in words of its own, on {i} and {7 * i}.", *note]
+        assert found[i]["template_chars"] > 20 and found[i]["markup_chars"] == 0
+    for i in range(5):  # too few pages to count: nothing goes
+        text = found[100 + i]["text"]
+        assert "Same box" in text and f"Seen {i} times" in text and text.startswith("Go 0")
+
+
+def test_text_changes_with_the_templates(spark):
+    html = WRAPPED.format(n=3, i=4)
+    root = pages.parse(html)
+    box = next(e for e in pages.elements(root) if e.tag == "div" and not e.name)
+    assert pages.text_of(root, set()) == "Story 3\nBody of the story.\nMore.\nGet our app" and pages.candidate(box)
+    app = next(e for e in pages.elements(root) if e.size == len("Get our app"))
+    assert pages.text_of(root, {pages.signed(app.hash)}) == "Story 3\nBody of the story.\nMore."
+
+
+def test_very_long_and_broken_pages(spark):
+    html = "<div>" * 2000 + "<p>word &amp; " * 20_000 + "</span>" * 50 + "<article"
+    df = spark.createDataFrame([(1, "http://h.org", html), (2, "http://h.org", "<" * 1000), (3, None, "<p class=\"a>x</p>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(df).collect()}
+    assert got[1].startswith("word &\nword &") and got[1].count("\n") >= 19_998
+
+
 _html = {}
 
 
