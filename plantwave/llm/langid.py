@@ -4,6 +4,10 @@ Two gated recurrent units read a window of bytes forwards and backwards; a softm
 position, and the mean of the labels at letters over the whole text gives the document's probabilities. Training is
 backpropagation through time with Adam on windows of a bounded sample of labelled documents.
 
+The bytes of a text are cut into windows of WINDOW bytes, which are read each for itself: no state passes from one to the
+next, a character of several bytes may lie in two of them, and the last one is filled up with zero bytes, which the backward
+unit reads first.
+
 Defined cases: a null text and one without a letter are `und` with score 0; without any labelled document
 everything is `und`; rows are judged one by one, repeated ones alike; a null id is kept; an empty table gives an empty
 result; further columns are ignored.

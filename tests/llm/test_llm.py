@@ -330,6 +330,52 @@ def test_language(spark, sf):
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
 
 
+def scalar_document(model, text):
+    """(language, score) of a text: the gates, states and pooled labels one number at a time."""
+    raw, size = text.encode(), langid.WINDOW
+    one = lambda x: 1 / (1 + np.exp(-float(x)))
+
+    def states(unit, data):
+        hidden = unit.weights.shape[0]
+        state, out = [0.0] * hidden, []
+        for byte in data:
+            a = [sum(state[i] * float(unit.weights[i, j]) for i in range(hidden)) for j in range(3 * hidden)]
+            x = unit.table[byte]
+            z = [one(x[j] + a[j]) for j in range(hidden)]
+            r = [one(x[hidden + j] + a[hidden + j]) for j in range(hidden)]
+            new = [np.tanh(float(x[2 * hidden + j]) + r[j] * a[2 * hidden + j]) for j in range(hidden)]
+            state = [(1 - z[j]) * new[j] + z[j] * state[j] for j in range(hidden)]
+            out.append(state)
+        return out
+
+    sums = [0.0] * len(model.languages)
+    for at in range(0, len(raw), size):
+        data = raw[at : at + size].ljust(size, b"\0")
+        ahead, back = states(model.forward, data), states(model.backward, data[::-1])[::-1]
+        for t, byte in enumerate(data):
+            if chr(byte).isascii() and not chr(byte).isalpha():
+                continue
+            both = [*ahead[t], *back[t], 1.0]
+            scores = [sum(v * float(w) for v, w in zip(both, model.out[:, c], strict=True)) for c in range(len(sums))]
+            parts = [np.exp(v - max(scores)) for v in scores]
+            sums = [s + p / sum(parts) for s, p in zip(sums, parts, strict=True)]
+    best = max(range(len(sums)), key=lambda c: sums[c])
+    return model.languages[best], sums[best] / sum(sums)
+
+
+def test_language_equals_scalar_network(spark, docs, odd):
+    model = langid.train([("a", b"the and of that with"), ("b", "über schön für".encode()), ("c", b"de la que los")], hidden=3, steps=15, batch=6)
+    texts = [r[0][:300] for r in docs.where("text is not null").orderBy("doc_id").limit(4).select("text").collect()] + ["a", "日本語 naïve", "x" * 129, "1 é 2"]
+    for t, (lang, score) in zip(texts, model.documents(texts), strict=True):
+        want = scalar_document(model, t)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-4)
+    got = langid.identify(odd, model).collect()
+    plain = {t: model.documents([t])[0] for t in {r[1] for r in rows(odd)}}
+    assert len(got) == odd.count() and sorted(((r["doc_id"], r["lang_pred"]) for r in got), key=repr) == sorted(((r["doc_id"], plain[r["text"]][0]) for r in odd.collect()), key=repr)
+    assert plain[None] == plain[""] == plain[" \n\t"] == ("und", 0.0)
+    assert langid.keep_languages(odd, model, 0.0).count() == sum(p[0] != "und" for p in [plain[r["text"]] for r in odd.collect()])
+
+
 def test_language_without_labels(odd, none):
     model = langid.fit(none)
     assert {r["lang_pred"] for r in langid.identify(odd, model).collect()} == {"und"}
