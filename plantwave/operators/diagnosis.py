@@ -16,14 +16,18 @@ CONTAMINATES = {"COMMUNICATION": ("INSTRUMENT", "VALVE", "PROCESS", "TUNING"), "
 FINDINGS = "operator string, detected boolean, confidence double, value double"
 
 
-def findings(window: pd.DataFrame, interval: float = 1.0, span: float = 100.0) -> list[tuple[str, bool, float, float | None]]:
+def findings(window: pd.DataFrame, interval: float = 1.0, span: float = 100.0, loop_type: str = "OTHER") -> list[tuple[str, bool, float, float | None]]:
     """All kernels on one window of one loop, ordered in time: (operator, detected, confidence, value)."""
     pv, sp, op, mode = (kernels.filled(window[c].to_numpy(float)) for c in ("pv", "sp", "op", "mode"))
     e, moves = pv - sp, np.diff(op)
     out: list[tuple[str, bool, float, float | None]] = []
     found, frequency, _, index = kernels.spectrum_oscillation(pv, interval)
     out.append(("oscillation_fft", found, min(1.0, index * 1.5) if found else 0.0, frequency))
-    minor = kernels.ellipse(op, pv, interval)
+    crossings, half, above, below = kernels.half_cycles(e)
+    alike = min(above, below) if crossings >= 4 and above is not None and below is not None else 0.0
+    swings = alike >= 0.4 and half >= 8
+    out.append(("oscillation_iae", swings, min(1.0, 1.5 * alike) if swings else 0.0, 2 * half * interval if alike else 0.0))
+    minor = kernels.ellipse(op, pv, interval) if kernels.limit_cycle(pv) else 0.0
     out.append(("stiction_ellipse", bool(minor is not None and minor >= 15), min(1.0, (minor or 0) / 50), minor))
     shape, pairs = kernels.gaussianity(moves), kernels.bicoherence(op)
     stuck = shape > 1 and pairs > 0.01
@@ -42,6 +46,8 @@ def findings(window: pd.DataFrame, interval: float = 1.0, span: float = 100.0) -
     worst = max(steps, default=(0.0, 0.0, 0.0))
     poor = sum((worst[0] > 0.25, worst[1] > 0.25, worst[2] > 0.05)) >= 2
     out.append(("overshoot", bool(poor), min(1.0, worst[0]) if poor else 0.0, worst[0]))
+    slow, sure, tau = kernels.slow_response(np.arange(len(pv)) * interval, pv, sp, loop_type)
+    out.append(("slow", slow, sure, tau))
     shifts = kernels.bias_shifts(e)
     rate = len(shifts) / max(len(e) * interval / 3600, 1e-9)
     out.append(("bias_shift", rate >= 5, min(0.95, rate / 20) if rate >= 5 else 0.0, float(len(shifts))))
@@ -107,7 +113,6 @@ def classify(families: DataFrame, windows: DataFrame, keys: list[str]) -> DataFr
     swings = F.col("oscillation").isNotNull() & F.col("stiction").isNull() & F.col("overshoot").isNull()
     causes = F.array_compact(
         F.array(
-            case("DATA_INSUFFICIENT", ~F.col("passed"), F.lit(1.0)),
             case("COMMUNICATION", ~F.col("linked"), F.lit(0.9)),
             case("INSTRUMENT", F.col("sensor").isNotNull(), conf("sensor")),
             case("VALVE", stuck, conf("stiction")),
@@ -118,6 +123,7 @@ def classify(families: DataFrame, windows: DataFrame, keys: list[str]) -> DataFr
             case("UTILIZATION", (F.col("auto_rate") > 0) & (F.col("auto_rate") < 0.5), F.lit(0.8)),
         )
     )
+    causes = F.when(F.col("passed"), causes).otherwise(F.slice(causes, 1, 0))  # poor data speak for no cause
     first = F.when(F.size("causes") > 0, F.element_at("causes", 1)).otherwise(F.struct(F.lit("DATA_INSUFFICIENT").alias("cause"), F.lit(0.0).alias("confidence")))
     doubtful = F.create_map(*(x for k, v in CONTAMINATES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     df = df.withColumn("causes", causes).withColumn("first", first)
@@ -133,8 +139,10 @@ def classify(families: DataFrame, windows: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def severity(score: Column, confidence: Column) -> Column:
-    return F.when((score < 40) & (confidence >= 0.8), "HIGH").when((score < 60) | (confidence >= 0.6), "MEDIUM").otherwise("LOW")
+def severity(score: Column, confidence: Column, primary: Column | None = None) -> Column:
+    """Null for windows without enough data."""
+    poor = F.lit(False) if primary is None else primary == "DATA_INSUFFICIENT"
+    return F.when(poor, None).when((score < 40) & (confidence >= 0.8), "HIGH").when((score < 60) | (confidence >= 0.6), "MEDIUM").otherwise("LOW")
 
 
 def merged_thresholds(rows: DataFrame, keys: list[str], name: str = "name") -> DataFrame:

@@ -60,7 +60,7 @@ def stiction_level(x: Column) -> Column:
 
 
 def oscillation(df: DataFrame, keys: list[str], by: list[str], e: str = "e", threshold: float = 0.4, low: float = 0.05, high: float = 15.0, least_crossings: int = 4) -> DataFrame:
-    """(keys, crossings, s_a, s_b, oscillation_rate, is_oscillating, period) of the error between set-point crossings.
+    """(keys, crossings, s_a, s_b, half_cycle, oscillation_rate, is_oscillating, period) of the error between set-point crossings.
 
     Zeros take the sign before them; half cycles cut off by the window's ends do not count. The medoid of the half
     cycles' areas is the value nearest their mean, the earliest of equals."""
@@ -91,12 +91,35 @@ def oscillation(df: DataFrame, keys: list[str], by: list[str], e: str = "e", thr
         "crossings",
         "s_a",
         "s_b",
+        F.col("_half").alias("half_cycle"),
         F.when(enough, F.least("s_a", "s_b") * 100).otherwise(0.0).alias("oscillation_rate"),
         F.coalesce(both, F.lit(False)).alias("is_oscillating"),
         F.when(both, 2 * F.col("_half")).otherwise(0.0).alias("period"),
     )
 
 
+#: Least half cycle in samples of a real oscillation, least likeness of the half cycles of a limit cycle.
+HALF_CYCLE, ALIKE = 8, 0.6
+
+
+def limit_cycle(df: DataFrame, keys: list[str], by: list[str], x: str = "pv", least_half: float = HALF_CYCLE) -> DataFrame:
+    """(keys, crossings, half_cycle, s_a, s_b, is_cycle): whether x swings about its mean in alike, long enough half cycles."""
+    centred = df.withColumn("_x", F.col(x) - F.avg(x).over(Window.partitionBy(*keys)))
+    found = oscillation(centred, keys, by, "_x")
+    cycle = (F.col("crossings") >= 4) & (F.col("half_cycle") >= least_half) & (F.col("s_a") >= ALIKE) & (F.col("s_b") >= ALIKE)
+    return found.select(*keys, "crossings", "half_cycle", "s_a", "s_b", F.coalesce(cycle, F.lit(False)).alias("is_cycle"))
+
+
+def oscillation_by_error(df: DataFrame, keys: list[str], by: list[str], e: str = "e", threshold: float = 0.4, least_half: float = HALF_CYCLE) -> DataFrame:
+    """(keys, detected, confidence, similarity, crossings, mean_period) by the likeness of integrated errors of half cycles."""
+    found = oscillation(df, keys, by, e, threshold)
+    alike = F.when(F.col("crossings") >= 4, F.least("s_a", "s_b"))
+    known = F.col("s_a").isNotNull() & F.col("s_b").isNotNull() & (F.col("crossings") >= 4)
+    detected = F.coalesce(F.col("is_oscillating") & (F.col("half_cycle") >= least_half), F.lit(False))
+    zero = F.lit(0.0)
+    return found.select(*keys, detected.alias("detected"), F.when(detected, F.least(F.lit(1.0), alike * 1.5)).otherwise(zero).alias("confidence"), F.when(known, alike).otherwise(zero).alias("similarity"), "crossings", F.when(known, 2 * F.col("half_cycle")).otherwise(zero).alias("mean_period"))
+
+
 def with_moves(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """e, |op change| and strict set-point crossings, from one window."""
     w = Window.partitionBy(*keys).orderBy(*by)

@@ -124,6 +124,14 @@ def contribution(name: str, slope: Column, forecast: Column) -> Column:
     return F.when(slope * sign > 0.01, points).otherwise(0.0)
 
 
+def metric_summary(kpis: DataFrame, found: DataFrame, keys: list[str], rates: dict[str, str]) -> DataFrame:
+    """Indicator means of a window; a rate without one comes from the operators' shares (times 100). rates: column → name of its <name>_source."""
+    both = kpis.alias("k").join(found.alias("f"), keys, "full")
+    own = [F.col(f"k.{c}").alias(c) for c in kpis.columns if c not in keys and c not in rates]
+    shown = [x for c, n in rates.items() for x in (F.coalesce(F.col(f"k.{c}"), F.col(f"f.{c}") * 100).alias(c), F.when(F.col(f"k.{c}").isNotNull(), "kpi").when(F.col(f"f.{c}").isNotNull(), "operator").otherwise("none").alias(f"{n}_source"))]
+    return both.select(*keys, *own, *shown)
+
+
 def before_after(df: DataFrame, keys: list[str], ts: str, at, days: int, values: list[str]) -> DataFrame:
     """Means of the windows before and after a time, and their difference."""
     span = F.expr(f"interval {days} days")

@@ -15,6 +15,7 @@ from .segments import seconds
 # Limits of the language, and the moves that states allow.
 MAX_TEXT, MAX_DEPTH = 4000, 3
 WINDOW, CHECK, BREACHES = (300, 86_400), (5, 1440), (1, 10)
+TRACKER_MOVES = {"PENDING": ("IN_PROGRESS", "IMPLEMENTED", "IGNORED"), "IN_PROGRESS": ("VERIFYING", "IMPLEMENTED", "IGNORED", "IN_PROGRESS"), "VERIFYING": ("CLOSED", "REOPENED", "VERIFYING", "IGNORED"), "REOPENED": ("IN_PROGRESS", "IMPLEMENTED", "IGNORED"), "IMPLEMENTED": ("CLOSED", "REOPENED", "VERIFYING", "IGNORED"), "CLOSED": (), "IGNORED": ()}
 OPERATORS = {">", ">=", "<", "<=", "==", "!=", "IN", "NOT_IN"}
 ORDER_MOVES = {"OPEN": ("ACKNOWLEDGED", "CANCELLED"), "ACKNOWLEDGED": ("IN_PROGRESS", "CANCELLED"), "IN_PROGRESS": ("VERIFYING", "CANCELLED"), "VERIFYING": ("CLOSED", "IN_PROGRESS"), "CLOSED": (), "CANCELLED": ()}
 
@@ -74,9 +75,20 @@ def _compile(node: dict) -> Column:
 
 
 def in_hours(ts: Column, start: int, end: int, zone: str = "Asia/Shanghai") -> Column:
-    """Whether the plant's hour lies in [start, end); ranges over midnight wrap."""
+    """Whether the plant's hour lies in [start, end)."""
     hour = F.hour(F.from_utc_timestamp(ts.cast("timestamp"), zone))
-    return (hour >= start) & (hour < end) if start <= end else (hour >= start) | (hour < end)
+    return (hour >= start) & (hour < end)
+
+
+def in_window(ts: Column, cron: str) -> Column:
+    """Whether the plant's hour fits the hour field of a cron text: *, a-b as [a, b), a list, or one hour; short texts fit always."""
+    parts = cron.split()
+    if len(parts) < 2 or parts[1] == "*":
+        return F.lit(True)
+    if "-" in parts[1]:
+        start, end = map(int, parts[1].split("-"))
+        return in_hours(ts, start, end)
+    return reduce(lambda a, b: a | b, (in_hours(ts, h, h + 1) for h in map(int, parts[1].split(","))))
 
 
 def consecutive(df: DataFrame, hit: str, keys: list[str], by: list[str], count: int) -> DataFrame:
@@ -103,12 +115,19 @@ def subscriptions(rules: DataFrame, loops: DataFrame) -> DataFrame:
     return every.unionByName(by("LOOP", "loop_id")).unionByName(by("PLANT", "unit_id")).unionByName(by("CONTROL_TYPE", "loop_type")).distinct()
 
 
-def allowed_moves(orders: DataFrame, state: str, to: str) -> Column:
+def allowed_moves(orders: DataFrame, state: str, to: str, moves: dict[str, tuple[str, ...]] = ORDER_MOVES) -> Column:
     """Whether an order may move from one state to the other."""
-    pairs = [f"{a}>{b}" for a, bs in ORDER_MOVES.items() for b in bs]
+    pairs = [f"{a}>{b}" for a, bs in moves.items() for b in bs]
     return F.concat_ws(">", state, to).isin(pairs)
 
 
+def tracker_error(state: str, to: str, moc: Column, pid: Column, reason: Column) -> Column:
+    """Why a tracker may not move: no such move, no change record or controller settings to verify, no reason to reopen; else null."""
+    wrong = ~allowed_moves(None, state, to, TRACKER_MOVES)
+    verifying, reopened = F.col(to) == "VERIFYING", F.col(to) == "REOPENED"
+    return F.when(wrong, "INVALID_TRANSITION").when(verifying & moc.isNull(), "MOC_REQUIRED").when(verifying & pid.isNull(), "PID_REQUIRED").when(reopened & reason.isNull(), "REASON_REQUIRED")
+
+
 def stale(ts: Column, now: Column, interval: float) -> Column:
     """Values older than twice their interval, two hours at least, are no basis for an alert."""
     return seconds(now) - seconds(ts) > max(2 * interval, 7200)

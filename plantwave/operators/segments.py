@@ -41,6 +41,21 @@ def seeded(rows: DataFrame, before: DataFrame, signals: list[str], keys: list[st
     return both.withColumns({s: carried(s, keys, [ts]) for s in signals}).where(~F.col("_seed")).drop("_seed")
 
 
+def carried_over(df: DataFrame, signals: list[str], keys: list[str], part: str, by: list[str], before: DataFrame | None = None) -> DataFrame:
+    """Carries signals stored on change forward from part to part (hours) of a key, first from values before them (keys, signals).
+
+    Within a part a window carries; from part to part only the last value of each part moves, so no task sees a key's
+    whole history."""
+    order = F.struct(*by)
+    lasts = df.groupBy(*keys, part).agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), order)).alias(f"_{s}") for s in signals))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    seeds = lasts.select(*keys, part, *(F.last(f"_{s}", ignorenulls=True).over(earlier).alias(f"_{s}") for s in signals))
+    if before is not None:
+        seeds = seeds.join(before.select(*keys, *(F.col(s).alias(f"_before_{s}") for s in signals)), keys, "left").select(*keys, part, *(F.coalesce(f"_{s}", f"_before_{s}").alias(f"_{s}") for s in signals))
+    out = df.join(seeds, [*keys, part], "left")
+    return out.withColumns({s: F.coalesce(carried(s, [*keys, part], by), F.col(f"_{s}")) for s in signals}).drop(*(f"_{s}" for s in signals))
+
+
 def last_before(df: DataFrame, keys: list[str], ts: str, signals: list[str], at) -> DataFrame:
     """The latest value of every signal before a time, each taken where it is not null."""
     return df.where(F.col(ts) < at).groupBy(*keys).agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), F.col(ts))).alias(s) for s in signals))

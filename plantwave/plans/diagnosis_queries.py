@@ -43,15 +43,6 @@ def grouped(df: DataFrame, kernel, schema: str) -> DataFrame:
     return segments.bounded(df, ["loop_id"], ["ts", "event_id"], SEGMENT).groupBy("loop_id", "segment").applyInPandas(run, f"{schema}, segment long")
 
 
-def grouped_whole(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """A kernel over each loop's whole history, which nothing bounds."""
-
-    def run(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
-        return kernel(key[0], window.sort_values(["ts", "event_id"]))
-
-    return df.groupBy("loop_id").applyInPandas(run, schema)
-
-
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples in percent of range; each loop's events are one window."""
     return samples(spark, sf_dir).withColumn("pv", normalise("pv", 0, 500)).withColumn("sp", F.lit(10.0)).withColumn("mode", F.col("mode").cast("double"))
@@ -66,25 +57,29 @@ def diagnosis_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diagnosis_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = windows(spark, sf_dir)
-    checked = outliers.detect(df.withColumn("quality", F.col("quality")), "pv", ["loop_id"], ["ts", "event_id"], 0, 100, "FC", "quality")
-    gate = diagnosis.gate(checked, ["loop_id"], 20)
-    auto = df.groupBy("loop_id").agg(F.avg((F.col("mode") > 0).cast("double")).alias("auto_rate"), F.lit(True).alias("linked"))
-    families = diagnosis.fuse_families(diagnosis.run_kernels(df, ["loop_id"], ["ts", "event_id"]), ["loop_id"])
-    out = diagnosis.classify(families, gate.join(auto, "loop_id"), ["loop_id"])
-    return out.withColumns({"confidence": F.round("confidence", 6), "secondary": F.array_join("secondary", ","), "pending": F.array_join("pending", ","), "severity": diagnosis.severity(F.lit(50.0), F.col("confidence"))})
+    """By loop and segment of at most SEGMENT samples. A loop whose operators send only nulls of the output is not linked."""
+    keys = ["loop_id", "segment"]
+    df = segments.bounded(windows(spark, sf_dir), ["loop_id"], ["ts", "event_id"], SEGMENT)
+    checked = outliers.detect(df, "pv", keys, ["ts", "event_id"], 0, 100, "FC", "quality")
+    gate = diagnosis.gate(checked, keys, 20)
+    auto = df.groupBy(*keys).agg(F.avg((F.col("mode") > 0).cast("double")).alias("auto_rate"), (F.count("op") > 0).alias("linked"))
+    families = diagnosis.fuse_families(diagnosis.run_kernels(df, keys, ["ts", "event_id"]), keys)
+    out = diagnosis.classify(families, gate.join(auto, keys), keys)
+    return out.withColumns({"severity": diagnosis.severity(F.lit(50.0), F.col("confidence"), F.col("primary")), "confidence": F.round("confidence", 6), "secondary": F.array_join("secondary", ","), "pending": F.array_join("pending", ",")})
+
+
+_FUSED = "with c as (select l_suppkey as loop_id, l_partkey % 6 as family, l_discount * 5 + 0.3 as c from lineitem) select loop_id, family, count(*)::int as hits, round(case when count(*) = 1 then max(c) else 1 / (1 + exp(-sum(ln(c) - ln(1 - c)))) end, 6) as confidence from c group by 1, 2"
 
 
-@query("with c as (select l_suppkey as loop_id, l_partkey % 6 as family, list(l_discount * 5 + 0.3 order by l_discount) as c from (select distinct l_suppkey, l_partkey, l_discount from lineitem where l_linenumber = 1 and l_partkey % 50 < 2) group by 1, 2) select loop_id, family, len(c)::int as hits, round(case when len(c) = 1 then c[1] else list_reduce(c, lambda a, b: a * b) / (list_reduce(c, lambda a, b: a * b) + list_reduce(list_transform(c, lambda x: 1 - x), lambda a, b: a * b)) end, 6) as confidence from c")
+@query(_FUSED)
 def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the lines that the SQL replays; evidence_fusion_all fuses the whole table."""
-    found = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_partkey % 50 < 2").select("l_suppkey", "l_partkey", "l_discount").distinct()
-    return fused_evidence(found)
+    """Every line is evidence for a loop and family, equal ones of different lines too."""
+    return fused_evidence(table(spark, sf_dir, "lineitem"))
 
 
-@query()
+@query(_FUSED)
 def evidence_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line is evidence, equal ones of different lines too."""
+    """The older name of evidence_fusion."""
     return fused_evidence(table(spark, sf_dir, "lineitem"))
 
 
@@ -120,10 +115,10 @@ def settling_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stiction_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(loop, w):
         op, pv = w["op"].to_numpy(float), w["pv"].to_numpy(float)
-        minor = kernels.ellipse(op, pv)
-        return pd.DataFrame([(loop, None if minor is None else round(minor, 4), round(kernels.bicoherence(op), 6), round(kernels.gaussianity(np.diff(op)), 6))])
+        outcome, index = kernels.stiction(op, pv)
+        return pd.DataFrame([(loop, outcome, None if index is None else round(index, 4), round(kernels.bicoherence(op), 6), round(kernels.gaussianity(np.diff(op)), 6))])
 
-    return grouped(windows(spark, sf_dir), kernel, "loop_id long, stiction double, bicoherence double, gaussianity double")
+    return grouped(windows(spark, sf_dir), kernel, "loop_id long, outcome string, stiction double, bicoherence double, gaussianity double")
 
 
 @query()
@@ -145,15 +140,24 @@ def downsampled_waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(windows(spark, sf_dir), kernel, "event_id long, loop_id long, pv double")
 
 
-@query()
-def uniform_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(loop, w):
-        t = w["ts"].astype("datetime64[us]").astype("int64").to_numpy(float) / 1e6
-        grid = np.arange(np.ceil(t[0] / 86_400), np.floor(t[-1] / 86_400) + 1) * 86_400
-        pv, mode = kernels.resample(t, w["pv"].to_numpy(float), grid), kernels.resample(t, w["mode"].to_numpy(float), grid, True)
-        return pd.DataFrame({"loop_id": loop, "at": grid.astype("int64"), "pv": pv.round(6), "mode": mode})
+_GRID_SQL = f"""with {SAMPLES_SQL}, t as (select loop_id, event_id, epoch(ts) as t, ts, pv / 500 * 100 as pv, mode::double as mode from s),
+ n as (select *, lead(t) over w as u, lead(pv) over w as q from t window w as (partition by loop_id order by ts, event_id)),
+ g as (select loop_id, pv, mode, t, u, q, unnest(generate_series(ceil(t / 86400)::bigint, case when u is null then floor(t / 86400)::bigint else ceil(u / 86400)::bigint - 1 end)) as k from n where u is null or u > t)
+ select loop_id, k * 86400 as at, round(pv + case when u > t then (q - pv) * (k * 86400 - t) / (u - t) else 0 end, 6) as pv, mode from g"""
+
 
-    return grouped_whole(windows(spark, sf_dir), kernel, "loop_id long, at long, pv double, mode double")
+@query(_GRID_SQL)
+def uniform_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples on a grid of days: values between the samples around it, modes as they hold. Each sample makes the grid's points up to the next."""
+    w = Window.partitionBy("loop_id").orderBy("ts", "event_id")
+    df = windows(spark, sf_dir).withColumn("t", segments.seconds("ts"))
+    df = df.select("loop_id", "pv", "mode", "t", F.lead("t").over(w).alias("u"), F.lead("pv").over(w).alias("q")).where("u is null or u > t")
+    last = F.when(F.col("u").isNull(), F.floor(F.col("t") / 86_400)).otherwise(F.ceil(F.col("u") / 86_400) - 1)
+    first = F.ceil(F.col("t") / 86_400)
+    points = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    made = df.select("*", F.explode(points).alias("k")).withColumn("at", F.col("k") * 86_400)
+    pv = F.col("pv") + F.coalesce((F.col("q") - F.col("pv")) * (F.col("at") - F.col("t")) / (F.col("u") - F.col("t")), F.lit(0.0))
+    return made.select("loop_id", "at", F.round(pv, 6).alias("pv"), "mode")
 
 
 @query()

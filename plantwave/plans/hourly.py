@@ -6,20 +6,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signals import control_type, grade, score_grade
-from ..operators import kernels, kpi, outliers, rollup, segments
+from ..functions.signals import THRESHOLDS, control_type, grade, score_grade
+from ..operators import events, kernels, kpi, outliers, rollup, segments
 
 #: Windows are loop and hour, so one hash partitioning serves every window, aggregate and kernel.
 KEYS = ["loop_id", "hour"]
 
 
-def prepare(samples: DataFrame, pv_range: tuple[float, float], control: str = "FC") -> DataFrame:
-    """Samples (loop_id, ts, pv, sp, op, mode, quality) with flags, hold times and moves."""
-    df = samples.withColumn("hour", F.date_trunc("hour", "ts")).repartition(*KEYS)
-    by = ["ts"]
-    df = outliers.preprocess(df.withColumn("sp", segments.carried("sp", KEYS, by)), KEYS, by, pv_range, control=control)
-    df = df.withColumn("d", segments.hold("ts", KEYS, by)).withColumn("faulty", F.arrays_overlap("pv_reasons", F.array(F.lit("JUMP"), F.lit("OUT_OF_RANGE"))))
-    return kpi.with_moves(df, KEYS, by)
+#: Signals that are stored on change.
+ON_CHANGE = ["sp", "mode"]
+
+
+def prepare(samples: DataFrame, pv_range: tuple[float, float], control: str = "FC", before: DataFrame | None = None, ties: tuple[str, ...] = (), frozen_minutes: float = 5.0) -> DataFrame:
+    """Samples (loop_id, ts, pv, sp, op, mode, quality) with flags, hold times and moves.
+
+    Set point and mode hold until they change, over the hours and from `before` (loop_id, sp, mode) on. Freezes count as
+    faults where they last for frozen_minutes while the output moves. ties: columns that order samples of one time."""
+    by = ["ts", *ties]
+    df = samples.withColumn("hour", F.date_trunc("hour", "ts"))
+    df = segments.carried_over(df, ON_CHANGE, ["loop_id"], "hour", by, before).repartition(*KEYS)
+    df = outliers.preprocess(df, KEYS, by, pv_range, control=control)
+    df = events.confirmed_frozen(df.withColumn("_frozen", F.array_contains("pv_reasons", "FROZEN")), KEYS, by, "_frozen", "op", frozen_minutes, THRESHOLDS[control]["frozen"] * 100).drop("_frozen")
+    faulty = F.arrays_overlap("pv_reasons", F.array(F.lit("JUMP"), F.lit("OUT_OF_RANGE"))) | F.col("confirmed")
+    return kpi.with_moves(df.withColumns({"d": segments.hold("ts", KEYS, by), "faulty": faulty}), KEYS, by)
+
+
+def indicators(df: DataFrame) -> DataFrame:
+    """The aggregate indicators by loop and hour, with the share of valid samples, from one grouping.
+
+    Quality and faults count over all samples, everything else over the valid ones."""
+    whole = {"quality_status", "faulty"}
+    masked = {c: F.when(F.col("all_valid"), F.col(c)) for c in ("pv", "sp", "op", "mode", "d", "e", "move", "crossed")}
+    made = {**kpi.aggregates(), "points": F.count_if("all_valid"), "valid_rate": F.avg(F.col("all_valid").cast("double"))}
+    return df.select(*KEYS, "all_valid", *whole, *(v.alias(k) for k, v in masked.items())).groupBy(*KEYS).agg(*(v.alias(k) for k, v in made.items()))
 
 
 def settling(df: DataFrame) -> DataFrame:
@@ -35,14 +54,11 @@ def settling(df: DataFrame) -> DataFrame:
     return df.where("all_valid").select(*KEYS, "ts", "e").groupBy(*KEYS).applyInPandas(run, f"loop_id {kind['loop_id']}, hour {kind['hour']}, settling_outcome string, settling_time double")
 
 
-def hourly(samples: DataFrame, loops: DataFrame, pv_range: tuple[float, float] = (0, 100)) -> DataFrame:
+def hourly(samples: DataFrame, loops: DataFrame, pv_range: tuple[float, float] = (0, 100), before: DataFrame | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """One snapshot a loop and hour. loops: (loop_id, loop_type, ...) is small against samples; Spark broadcasts it if its size allows."""
-    df = prepare(samples, pv_range)
-    shares = df.groupBy(*KEYS).agg(F.avg(F.col("all_valid").cast("double")).alias("valid_rate"))
-    valid = df.where("all_valid")
-    base = valid.groupBy(*KEYS).agg(*(v.alias(k) for k, v in kpi.aggregates().items()))
-    swings = kpi.oscillation(valid, KEYS, ["ts"])
-    out = shares.join(base, KEYS, "left").join(swings, KEYS, "left").join(settling(df), KEYS, "left").join(loops.select("loop_id", "loop_type"), "loop_id", "left")
+    df = prepare(samples, pv_range, before=before, ties=ties)
+    swings = kpi.oscillation(df.where("all_valid"), KEYS, ["ts", *ties])
+    out = indicators(df).join(swings, KEYS, "left").join(settling(df), KEYS, "left").join(loops.select("loop_id", "loop_type"), "loop_id", "left")
     ideal = kpi.ideal_settling(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), control_type("loop_type"))
     out = out.withColumns({"fast_rate": F.when(F.col("settling_time").isNotNull(), kpi.fast_rate(F.col("settling_time"), ideal)), "stability_rate": F.col("stability_base") * (1 - F.coalesce("oscillation_rate", F.lit(0.0)) / 100)})
     none = F.lit(None).cast("double")

@@ -133,7 +133,7 @@ z as (select t.loop_id, crossings, s_a, s_b, half, crossings >= 4 and s_a is not
 @query(_OSC_SQL + "select loop_id, crossings::bigint as crossings, round(s_a, 4) as s_a, round(s_b, 4) as s_b, round(case when enough then least(s_a, s_b) * 100 else 0 end, 4) as oscillation_rate, coalesce(enough and s_a >= 0.4 and s_b >= 0.4, false) as is_oscillating, round(case when enough and s_a >= 0.4 and s_b >= 0.4 then 2 * half else 0 end, 4) as period from z")
 def oscillation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kpi.oscillation(samples(spark, sf_dir).withColumn("e", F.col("pv") - F.col("sp")), KEYS, BY)
-    return out.withColumns({c: F.round(c, 4) for c in ("s_a", "s_b", "oscillation_rate", "period")})
+    return out.drop("half_cycle").withColumns({c: F.round(c, 4) for c in ("s_a", "s_b", "oscillation_rate", "period")})
 
 
 @query(

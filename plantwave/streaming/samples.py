@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -57,26 +58,60 @@ def last_known(stream: DataFrame, signals: list[str]) -> DataFrame:
     return stream.groupBy("loop_id").applyInPandasWithState(merge, schema, ", ".join(f"{s} double" for s in signals), "append", GroupStateTimeout.NoTimeout)
 
 
-def alerts(hits: DataFrame, cool_down: float = 3600, debounce: float = 0, throttle: float = 5, escalate_after: int = 3) -> DataFrame:
-    """Hits (loop_id, rule_id, ts) → alerts (loop_id, rule_id, ts, repeats, escalated).
+def alert_steps(rows: list[tuple[float, str, bool]], known: dict, cool_down: float, debounce: float, throttle: float) -> list[tuple[float, str, int]]:
+    """(time, rule, repeats) of the alerts from a loop's evaluations (time, rule, hit) in order; `known` is its state.
+
+    A loop is evaluated at most once in the throttle's time, all rules of one moment together. A hit must last for the
+    debounce time, and the condition's break begins it anew; after an alert its rule is quiet for the cool-down."""
+    out = []
+    for at, rule, hit in rows:
+        open_ = known.get("open")
+        if open_ is not None and open_ != at and at - open_ < throttle:
+            continue
+        known["open"] = at
+        first, last, repeats = known["rules"].get(rule, (None, None, 0))
+        if not hit:
+            first = None
+        else:
+            first = at if first is None else first
+            if at - first >= debounce and (last is None or at - last >= cool_down):
+                repeats, last = repeats + 1, at
+                out.append((at, rule, repeats))
+        known["rules"][rule] = (first, last, repeats)
+    return out
+
 
-    A hit must last for the debounce time; after an alert its key is quiet for the cool-down; a loop's alerts keep the
-    throttle's distance within a key. State: first hit, last alert, repeats."""
+def alerts(evaluations: DataFrame, cool_down: float = 3600, debounce: float = 0, throttle: float = 5, escalate_after: int = 3, forget_days: int = 7) -> DataFrame:
+    """Evaluations (loop_id, rule_id, ts, hit) → alerts (loop_id, rule_id, ts, repeats, escalated).
+
+    State by loop: the last evaluation, and of each rule first hit, last alert and repeats; loops without rows for
+    forget_days of processing time lose it."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, repeats = state.get if state.exists else (None, None, 0)
-        out = []
-        for ts in sorted(t for part in parts for t in part["ts"]):
-            at = ts.timestamp()
-            first = at if first is None else first
-            if at - first < debounce or (last is not None and at - last < max(cool_down, throttle)):
-                continue
-            repeats, last = repeats + 1, at
-            out.append((*key, ts, repeats, repeats >= escalate_after))
-        state.update((first, last, repeats))
-        yield pd.DataFrame(out, columns=["loop_id", "rule_id", "ts", "repeats", "escalated"])
-
-    return hits.groupBy("loop_id", "rule_id").applyInPandasWithState(run, "loop_id long, rule_id string, ts timestamp, repeats int, escalated boolean", "first double, last double, repeats int", "append", GroupStateTimeout.NoTimeout)
+        columns = ["loop_id", "rule_id", "ts", "repeats", "escalated"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        known = json.loads(state.get[0]) if state.exists else {"rules": {}}
+        rows = sorted((t.timestamp(), rule, bool(hit)) for part in parts for t, rule, hit in zip(part["ts"], part["rule_id"], part["hit"], strict=True))
+        found = alert_steps(rows, known, cool_down, debounce, throttle)
+        state.update((json.dumps(known),))
+        state.setTimeoutDuration(forget_days * 86_400_000)
+        yield pd.DataFrame([(key[0], rule, pd.Timestamp(at, unit="s"), n, n >= escalate_after) for at, rule, n in found], columns=columns)
+
+    return evaluations.groupBy("loop_id").applyInPandasWithState(run, "loop_id long, rule_id string, ts timestamp, repeats int, escalated boolean", "known string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def live_rows(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """Messages (keys, role, ts, value, quality) of one flush each as wide rows: the time is the process value's, else any role's.
+
+    Of several messages of a role the latest counts."""
+    roles = ("PV", "SP", "OP", "MODE", "PID_P", "PID_I", "PID_D")
+    latest = lambda role, x: F.max_by(x, F.when(F.col("role") == role, F.col("ts")))
+    value = lambda role: F.expr("try_cast(value as double)") if role != "MODE" else F.expr("try_cast(try_cast(value as double) as int)")
+    ts = F.coalesce(F.max(F.when(F.col("role") == "PV", F.col("ts"))), F.max("ts"))
+    return messages.groupBy(*keys).agg(ts.alias("ts"), *(latest(r, value(r)).alias(r.lower()) for r in roles), latest("PV", F.expr("try_cast(quality as int)")).alias("pv_quality")).where("ts is not null")
 
 
 def merge_late(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], version: str) -> Callable[[DataFrame, int], None]:

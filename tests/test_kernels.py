@@ -136,3 +136,24 @@ def test_degenerate_signals_raise_nothing(x):
     y = kernels.filled(x) if len(x) else x
     if len(y):
         kernels.bias_shifts(y), kernels.harris(y), kernels.gaussianity(y), kernels.bicoherence(y), kernels.ellipse(y, y)
+
+
+def test_stiction_needs_a_limit_cycle():
+    t, rng = np.arange(1200), np.random.default_rng(0)
+    op = 50 + 10 * (2 / np.pi) * np.arcsin(np.sin(t / 20))
+    assert kernels.stiction(op, 50 + rng.normal(size=1200)) == ("NO_LIMIT_CYCLE", 0.0)
+    outcome, index = kernels.stiction(op, 50 + 8 * np.sin(t / 20))
+    assert outcome == "CYCLE" and 0 <= index < 15
+    wave = 50 + 8 * np.sign(np.sin(t / 20 + 0.3))
+    assert kernels.stiction(op, wave)[0] == "CYCLE" and kernels.stiction(op, wave)[1] > index
+    assert kernels.stiction(50 + rng.normal(size=1200), wave) == ("LOW_CORRELATION", None) and kernels.stiction(op[:10], wave[:10]) == ("INSUFFICIENT", None)
+
+
+@pytest.mark.parametrize("tau, slow", [(15.0, False), (90.0, True)])
+def test_slow_response_to_a_step(tau, slow):
+    t = np.arange(1200.0)
+    sp = np.where(t < 100, 20.0, 40.0)
+    pv = np.where(t < 100, 20.0, 20 + 20 * (1 - np.exp(-(t - 100) / tau)))
+    found, sure, got = kernels.slow_response(t, pv, sp, "PRESSURE")
+    assert found == slow and got == pytest.approx(tau, rel=0.02) and (sure == pytest.approx(min(0.9, tau / 300), rel=0.05) if slow else sure == 0)
+    assert kernels.slow_response(t, np.full(1200, 20.0), sp, "FLOW") == (False, 0.0, None) and kernels.slow_response(t, pv, np.full(1200, 5.0)) == (False, 0.0, None)

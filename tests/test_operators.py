@@ -217,13 +217,149 @@ def test_last_known_merge(spark, tmp_path):
 
 
 def test_alert_state(spark, tmp_path):
-    hits = spark.createDataFrame([(1, "r", at(s)) for s in (0, 10, 100, 4000, 8000)], "loop_id long, rule_id string, ts timestamp")
+    hits = spark.createDataFrame([(1, "r", at(s), True) for s in (0, 10, 100, 4000, 8000)], "loop_id long, rule_id string, ts timestamp, hit boolean")
     rows = run_stream(spark, hits, tmp_path, lambda s: stream.alerts(s, 3600, 5), "fired")
     assert [(r["ts"], r["repeats"], r["escalated"]) for r in sorted(rows, key=lambda r: r["ts"])] == [(at(10), 1, False), (at(4000), 2, False), (at(8000), 3, True)]
 
 
+def test_alert_steps_by_hand():
+    step = lambda rows, **kw: [(int(t), r, n) for t, r, n in stream.alert_steps(rows, {"rules": {}}, **{"cool_down": 100, "debounce": 0, "throttle": 5, **kw})]
+    assert step([(0, "a", True), (0, "b", True), (3, "a", True), (6, "c", True)]) == [(0, "a", 1), (0, "b", 1), (6, "c", 1)]  # the throttle is the loop's
+    assert step([(0, "a", True), (10, "a", False), (20, "a", True), (35, "a", True)], debounce=15) == [(35, "a", 1)]  # the break begins the debounce anew
+    assert step([(0, "a", True), (50, "a", True), (100, "a", True)]) == [(0, "a", 1), (100, "a", 2)]
+    state = {"rules": {}}
+    assert stream.alert_steps([(0, "a", True)], state, 100, 10, 5) == [] and stream.alert_steps([(12, "a", True)], state, 100, 10, 5) == [(12, "a", 1)]
+
+
 def test_late_rows_win(spark, tmp_path):
     store = {"rows": spark.createDataFrame([(1, at(0), 1, 1.0)], "loop_id long, ts timestamp, version int, pv double")}
     sink = stream.merge_late(lambda: store["rows"], lambda df: store.update(rows=spark.createDataFrame(df.collect(), df.schema)), ["loop_id", "ts"], "version")
     sink(spark.createDataFrame([(1, at(0), 3, 7.0), (1, at(0), 2, 5.0)], store["rows"].schema), 0)
     assert [(r["version"], r["pv"]) for r in store["rows"].collect()] == [(3, 7.0)]
+
+
+def test_set_points_hold_over_hours(spark):
+    rows = [(1, at(i), 50.0 if i == 5 else None, 1) for i in range(0, 7300, 100)] + [(2, at(3700), None, None)] + [(1, at(5), 50.0, 1)]
+    df = spark.createDataFrame(rows, "loop_id int, ts timestamp, sp double, mode int").withColumn("hour", F.date_trunc("hour", "ts"))
+    before = spark.createDataFrame([(2, 7.0, 3), (1, 1.0, 0)], "loop_id int, sp double, mode int")
+    got = {(r["loop_id"], r["ts"]): (r["sp"], r["mode"]) for r in segments.carried_over(df, ["sp", "mode"], ["loop_id"], "hour", ["ts"], before).collect()}
+    assert got[1, at(0)] == (1.0, 1) and got[1, at(100)] == (50.0, 1) and got[1, at(3700)] == (50.0, 1) and got[1, at(7200)] == (50.0, 1) and got[2, at(3700)] == (7.0, 3)
+    assert len(got) == len(rows)
+
+
+def test_frozen_runs_count_as_faults_only_while_the_output_moves(spark):
+    rows = [(loop, at(i), 50.0, 40.0, float(i % 50) if loop == 1 else 20.0, 1, 192) for loop in (1, 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "loop_id long, ts timestamp, pv double, sp double, op double, mode int, quality int")
+    got = {r["loop_id"]: r for r in hourly.indicators(hourly.prepare(df, (0, 100))).collect()}
+    assert got[1]["instrument_fault_rate"] == 100.0 and got[2]["instrument_fault_rate"] == 0.0 and got[1]["sp_mean"] == 40.0 and got[1]["points"] == 600
+
+
+def test_stored_samples_keep_one_row_a_time(spark, tmp_path):
+    path, schema = str(tmp_path), "loop_id string, ts timestamp, pv double, version long"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    read = lambda: sorted((r["loop_id"], r["ts"], r["pv"]) for r in spark.read.parquet(f"{path}/by_day").collect())
+    tables.merge_samples(make([("a", at(0), 1.0, 1), ("b", at(0), 2.0, 1), ("a", at(90_000), 3.0, 1)]), path)
+    tables.merge_samples(make([("a", at(0), 9.0, 3), ("a", at(0), 8.0, 2), ("a", at(1), 5.0, 2)]), path)
+    assert read() == [("a", at(0), 9.0), ("a", at(1), 5.0), ("a", at(90_000), 3.0), ("b", at(0), 2.0)]
+    tables.replace_range(make([("a", at(2), 7.0, 4)]), path, ["a"], str(at(0)), str(at(10)))
+    assert read() == [("a", at(2), 7.0), ("a", at(90_000), 3.0), ("b", at(0), 2.0)]
+    tables.replace_range(make([]), path, ["a"], str(at(80_000)), str(at(99_000)))
+    assert read() == [("a", at(2), 7.0), ("b", at(0), 2.0)]
+
+
+def test_hot_rows_serve_loops_that_they_cover(spark):
+    hot = spark.createDataFrame([(1, at(s), "hot") for s in range(0, 3601, 30)] + [(2, at(s), "hot") for s in range(1800, 3601, 30)], "loop_id int, ts timestamp, store string")
+    cold = spark.createDataFrame([(i, at(s), "cold") for i in (1, 2) for s in range(0, 3601, 60)], "loop_id int, ts timestamp, store string")
+    out = tables.hot_or_cold(hot, cold, ["loop_id"], F.lit(at(30)), F.lit(at(3570)))
+    assert {(r["loop_id"], r["store"]) for r in out.collect()} == {(1, "hot"), (2, "cold")}
+
+
+def test_circuit_opens_after_failures_in_a_row():
+    import urllib.error
+
+    calls, pauses, plan = [], [], iter([OSError("a"), OSError("b"), b"x", OSError("c"), OSError("d"), OSError("e")])
+
+    def ask():
+        calls.append(1)
+        out = next(plan)
+        if isinstance(out, Exception):
+            raise out
+        return out
+
+    breaker = tables.Breaker(2, 30.0, pauses.append)
+    assert breaker.call(ask) == b"x" and pauses == [30.0] and len(calls) == 3
+    with pytest.raises(OSError, match="e"):
+        breaker.call(ask)
+    assert len(calls) == 6 and pauses == [30.0, 30.0]
+
+    def refuse():
+        raise urllib.error.HTTPError("u", 404, "no", None, None)
+
+    with pytest.raises(urllib.error.HTTPError):
+        tables.Breaker(2, 30.0, pauses.append).call(refuse)
+    assert [tables.reconnect_delay(n) for n in (0, 1, 3, 9)] == [1.0, 2.0, 8.0, 60.0]
+
+
+def test_history_and_hub_sources(spark, tmp_path):
+    import http.server
+    import json
+    import threading
+
+    class Hub(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            part = self.path.rsplit("/", 1)[1]
+            if "history" in self.path:
+                body = [{"ts": f"2024-01-01T00:00:0{part}", "pv": 1.5, "mode": 1}]
+            else:
+                body = [{"offset": n, "loop": "L", "role": r, "ts": f"2024-01-01T00:00:0{n}", "value": str(n), "quality": "192", "flush": 1} for n, r in ((1, "SP"), (2, "PV"), (3, "OP")) if n > int(part)]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Hub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        spark.dataSource.register(tables.HistorySource)
+        spark.dataSource.register(tables.HubSource)
+        df = spark.read.format("loop_history").option("url", base + "/history/{loop}/{chunk}").option("loops", "a,b,c").option("chunks", "2").option("concurrency", "2").load()
+        assert df.rdd.getNumPartitions() == 2 and sorted((r["loop_id"], r["ts"].second) for r in df.collect()) == [(i, s) for i in "abc" for s in (0, 1)]
+        live = spark.readStream.format("loop_hub").option("url", base + "/live/{after}").load()
+        query = live.writeStream.format("memory").queryName("hub").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(60) or not query.exception()
+        (row,) = stream.live_rows(spark.table("hub"), ["loop_id", "flush"]).collect()
+        assert (row["pv"], row["sp"], row["op"], row["ts"].second, row["pv_quality"], row["mode"]) == (2.0, 1.0, 3.0, 2, 192, None)
+    finally:
+        server.shutdown()
+
+
+def test_exports_have_the_sheets_headings(spark, tmp_path):
+    tables.export_csv(spark.createDataFrame([(1, None), (2, "x,y")], "loop_id int, tag string"), str(tmp_path / "out"), {"loop_id": "Loop", "tag": "Tag name"})
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns == ["Loop", "Tag name"] and sorted(map(tuple, back.collect())) == [("1", None), ("2", "x,y")]
+
+
+def test_poor_data_speak_for_no_cause(spark):
+    families = spark.createDataFrame([(1, "sensor", 1, 0.9), (2, "sensor", 1, 0.9)], "loop_id int, family string, hits int, confidence double")
+    windows = spark.createDataFrame([(1, False, True, 1.0), (2, True, True, 1.0)], "loop_id int, passed boolean, linked boolean, auto_rate double")
+    got = {r["loop_id"]: r for r in diagnosis.classify(families, windows, ["loop_id"]).withColumn("s", diagnosis.severity(F.lit(10.0), F.col("confidence"), F.col("primary"))).collect()}
+    assert (got[1]["primary"], got[1]["confidence"], got[1]["secondary"], got[1]["pending"], got[1]["s"]) == ("DATA_INSUFFICIENT", 0.0, [], [], None)
+    assert got[2]["primary"] == "INSTRUMENT" and got[2]["s"] == "HIGH"
+
+
+def test_half_cycles_equal_the_plan(spark):
+    import numpy as np
+
+    from plantwave.operators import kernels
+
+    rng = np.random.default_rng(4)
+    waves = [10 * np.sin(np.arange(400) / 8), rng.normal(size=300), np.round(rng.normal(size=200)), np.zeros(20), np.concatenate([np.zeros(5), np.sin(np.arange(90) / 5)])]
+    df = spark.createDataFrame([(n, i, float(v)) for n, w in enumerate(waves) for i, v in enumerate(w)], "loop_id int, i int, e double")
+    for r in kpi.oscillation(df, ["loop_id"], ["i"]).collect():
+        crossings, half, above, below = kernels.half_cycles(waves[r["loop_id"]])
+        assert crossings == r["crossings"] and (half or None) == pytest.approx(r["half_cycle"]) and above == pytest.approx(r["s_a"]) and below == pytest.approx(r["s_b"])
+    cycles = {r["loop_id"]: r["is_cycle"] for r in kpi.limit_cycle(df, ["loop_id"], ["i"], "e").collect()}
+    assert cycles == {n: kernels.limit_cycle(w) for n, w in enumerate(waves)} and cycles[0] and not cycles[1]
