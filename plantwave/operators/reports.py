@@ -124,6 +124,23 @@ def contribution(name: str, slope: Column, forecast: Column) -> Column:
     return F.when(slope * sign > 0.01, points).otherwise(0.0)
 
 
+def snapshot_filter(start: str | None = None, end: str | None = None, least: float | None = None, most: float | None = None, confidences: list[str] | None = None, statuses: list[str] | None = None, loop_types: list[str] | None = None, units: list[int] | None = None, active: bool | None = None) -> Column:
+    """The filters of snapshot lists as one predicate; absent ones let everything pass. Times are [start, end)."""
+    c = F.col
+    tests = [
+        start is not None and (c("ts") >= F.lit(start).cast("timestamp_ntz")),
+        end is not None and (c("ts") < F.lit(end).cast("timestamp_ntz")),
+        least is not None and (c("score") >= least),
+        most is not None and (c("score") <= most),
+        *(wanted is not None and c(name).isin(wanted) for name, wanted in (("confidence", confidences), ("status", statuses), ("loop_type", loop_types), ("unit_id", units))),
+        active is not None and (c("is_active") == active),
+    ]
+    out = F.lit(True)
+    for test in tests:
+        out = out if test is False else out & test
+    return out
+
+
 def metric_summary(kpis: DataFrame, found: DataFrame, keys: list[str], rates: dict[str, str]) -> DataFrame:
     """Indicator means of a window; a rate without one comes from the operators' shares (times 100). rates: column → name of its <name>_source."""
     both = kpis.alias("k").join(found.alias("f"), keys, "full")

@@ -99,11 +99,11 @@ def export_csv(df: DataFrame, path: str, columns: dict[str, str]) -> None:
 
 
 def tag_column(tag: Column | str) -> tuple[Column, Column]:
-    """(loop, signal) of a tag by its suffix: PV, SP, OP or CV or MV, MODE, P, I, D."""
+    """(loop, signal) of a tag by what follows its last separator: PV, SP, OP or CV or MV, MODE, P, I, D."""
     tag = F.col(tag) if isinstance(tag, str) else tag
-    suffix = F.lower(F.regexp_extract(tag, r"[._](\w+)$", 1))
+    suffix = F.lower(F.regexp_extract(tag, r"(?i)[._](?:pid_)?([^._]+)$", 1))
     signal = F.when(suffix.isin("cv", "mv", "out"), "op").when(suffix.isin("p", "i", "d"), F.concat(F.lit("pid_"), suffix)).when(suffix.isin("pv", "sp", "op", "mode"), suffix)
-    return F.regexp_extract(tag, r"^(.*)[._]\w+$", 1), signal
+    return F.regexp_replace(tag, r"(?i)[._](?:pid_)?[^._]+$", ""), signal
 
 
 def long_to_wide(df: DataFrame, tag: str = "tag", ts: str = "ts", value: str = "value") -> DataFrame:

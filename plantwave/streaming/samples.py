@@ -123,13 +123,13 @@ def merge_late(read: Callable[[], DataFrame], write: Callable[[DataFrame], None]
     return sink
 
 
-def last_hour(df: DataFrame, now: Column) -> DataFrame:
+def last_hour(df: DataFrame, now: Column, span: str = "1 hour", most: int = BUFFER_ROWS, ties: tuple[str, ...] = ()) -> DataFrame:
     """The rows of the last hour, at most BUFFER_ROWS a loop, newest first."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("loop_id").orderBy(F.desc("ts"))
-    recent = df.where(F.col("ts") > now - F.expr("interval 1 hour"))
-    return recent.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= BUFFER_ROWS).drop("_rn")
+    w = Window.partitionBy("loop_id").orderBy(F.desc("ts"), *map(F.desc, ties))
+    recent = df.where(F.col("ts") > now - F.expr(f"interval {span}"))
+    return recent.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
 
 
 def gaps(df: DataFrame, checkpoint: DataFrame, margin: float = 2.0, cap_hours: float = 24.0) -> DataFrame:
