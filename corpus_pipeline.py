@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plantwave.llm import jaccard, langid, packing, quality
-from plantwave.llm.common import materialize
+from plantwave.llm.common import discard, materialize
 from plantwave.llm.queries import TOKENIZER
 
 #: A document whose language is less sure than this is rejected, as are those without a letter.
@@ -51,5 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
