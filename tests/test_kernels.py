@@ -157,3 +157,24 @@ def test_slow_response_to_a_step(tau, slow):
     found, sure, got = kernels.slow_response(t, pv, sp, "PRESSURE")
     assert found == slow and got == pytest.approx(tau, rel=0.02) and (sure == pytest.approx(min(0.9, tau / 300), rel=0.05) if slow else sure == 0)
     assert kernels.slow_response(t, np.full(1200, 20.0), sp, "FLOW") == (False, 0.0, None) and kernels.slow_response(t, pv, np.full(1200, 5.0)) == (False, 0.0, None)
+
+
+# Inputs and results of published baselines, as they stand.
+def test_published_baselines():
+    t = np.linspace(0, 5, 50, endpoint=False)
+    found, frequency, amplitude, index = kernels.spectrum_oscillation(50 + 10 * np.sin(2 * np.pi * t), 0.1)
+    assert found and frequency == pytest.approx(1.0) and amplitude == pytest.approx(9.998393921123451) and index == pytest.approx(0.6531189414408392)
+    t = np.arange(600) * 0.5
+    gain, tau, theta = identify.step_fopdt(t, np.where(t < 3, 0.0, 10 * (1 - np.exp(-(t - 3) / 15))), 10.0)
+    assert gain == pytest.approx(1.0, abs=1e-6) and tau == pytest.approx(15.0072, abs=1e-4) and theta == pytest.approx(2.9879, abs=1e-4)
+
+
+def test_open_loop_history_finds_the_process():
+    rng = np.random.default_rng(123)
+    u = np.repeat(rng.choice([40.0, 60.0], 100), 10)
+    y = np.full(1000, 75.0)
+    a = np.exp(-1 / 20)
+    for i in range(4, 1000):
+        y[i] = a * y[i - 1] + 1.5 * (1 - a) * u[i - 4]
+    got = identify.from_history(y + rng.normal(0, 0.05, 1000), u)
+    assert got["structure"] == "FOPDT" and 1.45 <= got["K"] <= 1.55 and 18 <= got["tau"] <= 22 and 2 <= got["theta"] <= 4
