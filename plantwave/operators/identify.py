@@ -153,26 +153,44 @@ def excitation(u: np.ndarray, span: float = 100.0) -> tuple[bool, float]:
     return condition <= 1e6, min(40.0, width * 400) + min(30.0, turns * 3.0) + (30.0 if condition <= 1e4 else 10.0 if condition <= 1e6 else 0.0)
 
 
+def frequency_response(u: np.ndarray, y: np.ndarray, interval: float = 1.0, segment: int = 256) -> dict[str, np.ndarray]:
+    """{frequency, gain, phase in degrees, coherence} of y against u from half-overlapping tapered segments."""
+    segment = min(segment, len(u))
+    starts = range(0, len(u) - segment + 1, max(segment // 2, 1))
+    if segment < 16 or len(starts) < 2:
+        return {k: np.zeros(0) for k in ("frequency", "gain", "phase", "coherence")}
+    taper = np.hanning(segment)
+    a, b = (np.array([np.fft.rfft((x[s : s + segment] - x[s : s + segment].mean()) * taper) for s in starts]) for x in (u, y))
+    cross, own, other = (np.conj(a) * b).mean(0), (np.abs(a) ** 2).mean(0), (np.abs(b) ** 2).mean(0)
+    response = cross / np.maximum(own, 1e-12)
+    return {"frequency": np.fft.rfftfreq(segment, interval), "gain": np.abs(response), "phase": np.angle(response, deg=True), "coherence": np.abs(cross) ** 2 / np.maximum(own * other, 1e-30)}
+
+
 def coherence(u: np.ndarray, y: np.ndarray, segment: int = 64) -> float:
     """Mean coherence of half-overlapping tapered segments."""
-    starts = range(0, len(u) - segment + 1, segment // 2)
-    if len(starts) < 2:
+    if len(u) < segment:
         return 0.0
-    taper = np.hanning(segment)
-    a, b = (np.array([np.fft.rfft((x[s : s + segment] - x[s : s + segment].mean()) * taper) for s in starts]) for x in (u, y))
-    cross = np.abs((np.conj(a) * b).mean(0)) ** 2
-    return float((cross / np.maximum((np.abs(a) ** 2).mean(0) * (np.abs(b) ** 2).mean(0), 1e-30))[1:].mean())
+    found = frequency_response(u, y, segment=segment)["coherence"][1:]
+    return float(found.mean()) if len(found) else 0.0
+
+
+def feasibility(gain: float, b: np.ndarray) -> str:
+    """OK, NEGATIVE_GAIN, or NMP_ZERO: a zero of the input's polynomial outside the unit circle answers the wrong way first."""
+    if gain < 0:
+        return "NEGATIVE_GAIN"
+    zeros = np.roots(b) if len(b) > 1 and np.any(b) else np.zeros(0)
+    return "NMP_ZERO" if (np.abs(zeros) > 1 + 1e-9).any() else "OK"
 
 
 def from_history(y: np.ndarray, u: np.ndarray, interval: float = 1.0, r: np.ndarray | None = None, dead_time: float | None = None) -> dict:
-    """The best model of a segment: {structure, K, tau, theta, r2, grade}.
+    """The best model of a segment: {structure, K, tau, theta, r2, feasible, grade}; what can't be a process gets a C at best.
 
     Missing samples are cleaned first. The data are split in time order; delays are searched by BIC on the first part,
     candidates are judged by their free run on the next, and second order must beat first order by 5 % of fit and by
     BIC. An integrator (K is its slope by unit of input, tau None) leads where it explains the next part better than any lag."""
     y, u, *rest = clean([y, u] if r is None else [y, u, r])
     r = rest[0] if rest else None
-    nothing = {"structure": "NONE", "K": None, "tau": None, "theta": None, "r2": None, "grade": "E"}
+    nothing = {"structure": "NONE", "K": None, "tau": None, "theta": None, "r2": None, "feasible": None, "grade": "E"}
     enough, score = excitation(u)
     if not enough or len(y) < 60:
         return nothing
@@ -194,7 +212,7 @@ def from_history(y: np.ndarray, u: np.ndarray, interval: float = 1.0, r: np.ndar
             run = simulate(m, u[cut:end], y[cut:end])
             spread = float(((y[cut:end] - y[cut:end].mean()) ** 2).sum())
             fit = 1 - float(((run - y[cut:end]) ** 2).sum()) / spread if spread > 0 and np.isfinite(run).all() else -1.0
-            found.append({"structure": name, "K": params[0], "tau": params[1], "theta": params[-1], "r2": fit, "bic": m["bic"], "white": m["r2"] >= 0.999 or whiteness(m["residual"]) < 1})
+            found.append({"structure": name, "K": params[0], "tau": params[1], "theta": params[-1], "r2": fit, "bic": m["bic"], "feasible": feasibility(params[0], m["b"]), "white": m["r2"] >= 0.999 or whiteness(m["residual"]) < 1})
     tried = [m for d in range(most + 1) if (m := fit_ipdt(y[:cut], u[:cut], d))]
     if tried:
         m = min(tried, key=lambda m: (m["bic"], m["delay"]))
@@ -203,7 +221,7 @@ def from_history(y: np.ndarray, u: np.ndarray, interval: float = 1.0, r: np.ndar
         run = simulate_ipdt(m, u[cut - before : end], 0.0)[before:]
         fit = 1 - float(((run - run[0] + y[cut] - y[cut:end]) ** 2).sum()) / spread if spread > 0 else -1.0
         if m["b"][0] and fit > 0:
-            found.append({"structure": "IPDT", "K": float(m["b"][0]) / interval, "tau": None, "theta": m["delay"] * interval, "r2": fit, "bic": m["bic"], "white": m["r2"] >= 0.999 or whiteness(m["residual"]) < 1})
+            found.append({"structure": "IPDT", "K": float(m["b"][0]) / interval, "tau": None, "theta": m["delay"] * interval, "r2": fit, "bic": m["bic"], "feasible": feasibility(float(m["b"][0]), m["b"]), "white": m["r2"] >= 0.999 or whiteness(m["residual"]) < 1})
     if not found:
         return nothing
     best = {n: max((f for f in found if f["structure"] == n), key=lambda f: f["r2"], default=None) for n in ("FOPDT", "SOPDT", "IPDT")}
@@ -212,9 +230,9 @@ def from_history(y: np.ndarray, u: np.ndarray, interval: float = 1.0, r: np.ndar
     pick = integrator if integrator is not None and (pick is None or integrator["r2"] > pick["r2"]) else pick
     limits = [("A", 0.90, pick["white"] and score >= 60), ("B", 0.80, pick["white"]), ("C", 0.70, True), ("D", 0.50, True)]
     grade = next((g for g, least, ok in limits if pick["r2"] >= least and ok), "E")
-    if grade in "AB" and coherence(u, y) < 0.3:
+    if grade in "AB" and (coherence(u, y) < 0.3 or pick["feasible"] != "OK"):
         grade = "C"
-    return {k: pick[k] for k in ("structure", "K", "tau", "theta", "r2")} | {"grade": grade}
+    return {k: pick[k] for k in ("structure", "K", "tau", "theta", "r2", "feasible")} | {"grade": grade}
 
 
 def uncertainty(y: np.ndarray, u: np.ndarray, model: dict, interval: float = 1.0, rounds: int = 50, seed: int = 0) -> dict[str, float]:

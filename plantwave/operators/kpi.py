@@ -51,6 +51,11 @@ def aggregates(span: float = 100.0, op_low: float = 0.0, op_high: float = 100.0,
     }
 
 
+def stability(base: Column, oscillation_rate: Column) -> Column:
+    """Steadiness less the share of oscillation."""
+    return base * (1 - F.coalesce(oscillation_rate, F.lit(0.0)) / 100)
+
+
 def trip_level(x: Column) -> Column:
     return F.when(x < 0.01, "INACTIVE").when(x < 0.1, "NORMAL").when(x < 1, "FREQUENT").when(x.isNotNull(), "EXCESSIVE")
 

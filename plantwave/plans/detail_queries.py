@@ -59,15 +59,15 @@ def history_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_rows(payload).select("loop_id", F.col("sp").cast("long").alias("event_id"), "pv", "op", "mode", "pv_quality")
 
 
-_CONFLICT = f"with {SAMPLES_SQL}, o as (select loop_id, event_id // 3 as slot, 'old' as source from s where event_id % 3 = 0), n as (select loop_id, event_id // 3 as slot, 'new' as source from s where event_id % 3 = 1), od as (select distinct * from o), nd as (select distinct * from n) "
+_CONFLICT = f"with {SAMPLES_SQL}, o as (select loop_id, event_id // 3 as slot, 'old' as source from s where mode < 2), n as (select loop_id, event_id // 3 as slot, 'new' as source from s where mode >= 2), od as (select distinct * from o), nd as (select distinct * from n) "
 
 
 @query(_CONFLICT + "select 'overwrite' as strategy, * from nd union all select 'overwrite', * from od where not exists (select 1 from nd where nd.loop_id = od.loop_id and nd.slot = od.slot) union all select 'keep', * from od union all select 'keep', * from nd where not exists (select 1 from od where od.loop_id = nd.loop_id and od.slot = nd.slot)")
 def import_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports over stored rows: new ones replace the old ones, or fill gaps only."""
-    df = samples(spark, sf_dir).withColumns({"ts": F.floor(F.col("event_id") / 3), "rest": F.col("event_id") % 3})
-    part = lambda rest, name: df.where(F.col("rest") == rest).select("loop_id", "ts", F.lit(name).alias("source")).distinct()
-    out = [keep_or_overwrite(part(0, "old"), part(1, "new"), over).select(F.lit(name).alias("strategy"), "loop_id", F.col("ts").alias("slot"), "source") for name, over in (("overwrite", True), ("keep", False))]
+    df = samples(spark, sf_dir).withColumn("ts", F.floor(F.col("event_id") / 3))
+    part = lambda new, name: df.where((F.col("mode") >= 2) == new).select("loop_id", "ts", F.lit(name).alias("source")).distinct()
+    out = [keep_or_overwrite(part(False, "old"), part(True, "new"), over).select(F.lit(name).alias("strategy"), "loop_id", F.col("ts").alias("slot"), "source") for name, over in (("overwrite", True), ("keep", False))]
     return out[0].unionByName(out[1])
 
 

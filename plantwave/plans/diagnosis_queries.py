@@ -168,10 +168,10 @@ def process_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = w.sort_values(["ts", "event_id"])
         found = identify.from_history(w["pv"].to_numpy(float), w["op"].to_numpy(float), r=w["sp"].to_numpy(float))
         n = lambda x: None if x is None else round(float(x), 4)
-        return pd.DataFrame([(*key, len(w), found["structure"], n(found["K"]), n(found["tau"]), n(found["theta"]), n(found["r2"]), found["grade"])])
+        return pd.DataFrame([(*key, len(w), found["structure"], n(found["K"]), n(found["tau"]), n(found["theta"]), n(found["r2"]), found["feasible"], found["grade"])])
 
     df = segments.bounded(windows(spark, sf_dir).select("loop_id", "ts", "event_id", "pv", "sp", "op"), ["loop_id"], ["ts", "event_id"], SEGMENT)
-    return df.groupBy("loop_id", "segment").applyInPandas(run, "loop_id long, segment long, points long, structure string, gain double, tau double, theta double, fit double, grade string")
+    return df.groupBy("loop_id", "segment").applyInPandas(run, "loop_id long, segment long, points long, structure string, gain double, tau double, theta double, fit double, feasible string, grade string")
 
 
 _MODELS = f"with {LEDGER_SQL}, m as (select loop_id, (0.5 + level * 0.5)::double as k, (10.0 + loop_id % 50)::double as tau, (1.0 + loop_id % 9)::double as theta from l) "

@@ -60,7 +60,7 @@ def hourly(samples: DataFrame, loops: DataFrame, pv_range: tuple[float, float] =
     swings = kpi.oscillation(df.where("all_valid"), KEYS, ["ts", *ties])
     out = indicators(df).join(swings, KEYS, "left").join(settling(df), KEYS, "left").join(loops.select("loop_id", "loop_type"), "loop_id", "left")
     ideal = kpi.ideal_settling(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), control_type("loop_type"))
-    out = out.withColumns({"fast_rate": F.when(F.col("settling_time").isNotNull(), kpi.fast_rate(F.col("settling_time"), ideal)), "stability_rate": F.col("stability_base") * (1 - F.coalesce("oscillation_rate", F.lit(0.0)) / 100)})
+    out = out.withColumns({"fast_rate": F.when(F.col("settling_time").isNotNull(), kpi.fast_rate(F.col("settling_time"), ideal)), "stability_rate": kpi.stability(F.col("stability_base"), F.col("oscillation_rate"))})
     none = F.lit(None).cast("double")
     inconclusive = F.col("valid_rate") < kpi.LEAST_SHARE
     score = kpi.composite(F.col("accuracy_rate"), F.col("fast_rate"), F.col("stability_rate"), F.col("effective_auto_rate"), kpi.weights((none, none, none), F.col("loop_type")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import kpi, reports, rules, segments
-from ..sources.stand_ins import LEDGER_SQL, SAMPLES_SQL, SNAPSHOTS_SQL, WORK_SQL, ledger, orders_of_work, samples, snapshots
+from ..operators import diagnosis, kpi, reports, rules, segments
+from ..sources.stand_ins import LEDGER_SQL, SAMPLES_SQL, SNAPSHOTS_SQL, WORK_SQL, ledger, orders_of_work, samples, snapshots, table
 from ..sources.tables import hot_or_cold
 from ..streaming import samples as stream
 from . import hourly
@@ -199,19 +199,20 @@ def live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.live_rows(messages, ["loop_id", "flush"]).select("loop_id", "flush", F.col("ts").cast("timestamp_ntz").alias("ts"), "pv", "sp", "op", "mode", "pv_quality")
 
 
-@query(f"with {SNAPSHOTS_SQL}, a as (select snapshot_id % 20 as task_id, loop_id, ts, snapshot_id, score from k), old as (select * from a where snapshot_id % 3 = 0), new as (select * from a where snapshot_id % 3 = 1), o as (select *, row_number() over (partition by task_id, loop_id order by ts desc, snapshot_id desc) as rn from old), n as (select *, row_number() over (partition by task_id, loop_id order by ts desc, snapshot_id desc) as rn from new) select task_id, loop_id, snapshot_id, score, 'new' as written from n where rn = 1 union all select task_id, loop_id, snapshot_id, score, 'old' from o where rn = 1 and not exists (select 1 from n where n.task_id = o.task_id and n.loop_id = o.loop_id)")
+@query(f"with {SNAPSHOTS_SQL}, a as (select snapshot_id % 20 as task_id, loop_id, ts, snapshot_id, score from k), old as (select * from a where snapshot_id % 2 = 0), new as (select * from a where snapshot_id % 2 = 1), o as (select *, row_number() over (partition by task_id, loop_id order by ts desc, snapshot_id desc) as rn from old), n as (select *, row_number() over (partition by task_id, loop_id order by ts desc, snapshot_id desc) as rn from new) select task_id, loop_id, snapshot_id, score, 'new' as written from n where rn = 1 union all select task_id, loop_id, snapshot_id, score, 'old' from o where rn = 1 and not exists (select 1 from n where n.task_id = o.task_id and n.loop_id = o.loop_id)")
 def custom_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of custom tasks: one row a (task, loop), written anew by a later run."""
     df = snapshots(spark, sf_dir).withColumn("task_id", F.col("snapshot_id") % 20).withColumn("at", F.struct("ts", "snapshot_id"))
     key = ["task_id", "loop_id"]
-    part = lambda rest, name: segments.last_write(df.where(F.col("snapshot_id") % 3 == rest).withColumn("written", F.lit(name)), key, [F.desc("at")])
+    part = lambda rest, name: segments.last_write(df.where(F.col("snapshot_id") % 2 == rest).withColumn("written", F.lit(name)), key, [F.desc("at")])
     return segments.upsert(part(0, "old"), part(1, "new"), key, "at").select(*key, "snapshot_id", "score", "written")
 
 
-@query(f"with {SNAPSHOTS_SQL}, {SAMPLES_SQL}, a as (select loop_id, avg(score) as score, avg(auto_rate) as auto from k where snapshot_id % 4 <> 0 group by 1), o as (select loop_id, avg(coalesce((quality = 0)::int, 0)) as bad, avg((op >= 98 or op <= 2)::int) as sat from s group by 1) select loop_id, round(a.score, 8) as score, round(coalesce(100 - a.auto, o.bad * 100), 8) as bad_value_rate, case when a.auto is not null then 'kpi' when o.bad is not null then 'operator' else 'none' end as bad_value_source, round(coalesce(a.score * 0.1, o.sat * 100), 8) as saturation_rate, case when a.score is not null then 'kpi' when o.sat is not null then 'operator' else 'none' end as saturation_source from a full join o using (loop_id)")
+@query(f"with {SNAPSHOTS_SQL}, {SAMPLES_SQL}, a as (select loop_id, avg(case when snapshot_id % 4 <> 0 then score end) as score, avg(case when snapshot_id % 4 <> 0 then auto_rate end) as auto from k group by 1), o as (select loop_id, avg(coalesce((quality = 0)::int, 0)) as bad, avg((op >= 98 or op <= 2)::int) as sat from s group by 1) select loop_id, round(a.score, 8) as score, round(coalesce(100 - a.auto, o.bad * 100), 8) as bad_value_rate, case when a.auto is not null then 'kpi' when o.bad is not null then 'operator' else 'none' end as bad_value_source, round(coalesce(a.score * 0.1, o.sat * 100), 8) as saturation_rate, case when a.score is not null then 'kpi' when o.sat is not null then 'operator' else 'none' end as saturation_source from a full join o using (loop_id)")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of a diagnosis: means of the window's indicators, the operators' features where there are none, and which it was."""
-    kpis = snapshots(spark, sf_dir).where("snapshot_id % 4 <> 0").groupBy("loop_id").agg(F.avg("score").alias("score"), (100 - F.avg("auto_rate")).alias("bad_value_rate"), (F.avg("score") * 0.1).alias("saturation_rate"))
+    known = lambda c: F.avg(F.when(F.col("snapshot_id") % 4 != 0, F.col(c)))
+    kpis = snapshots(spark, sf_dir).groupBy("loop_id").agg(known("score").alias("score"), (100 - known("auto_rate")).alias("bad_value_rate"), (known("score") * 0.1).alias("saturation_rate"))
     found = samples(spark, sf_dir).groupBy("loop_id").agg(F.avg(F.coalesce((F.col("quality") == 0).cast("double"), F.lit(0.0))).alias("bad_value_rate"), F.avg(((F.col("op") >= 98) | (F.col("op") <= 2)).cast("double")).alias("saturation_rate"))
     out = reports.metric_summary(kpis, found, KEYS, {"bad_value_rate": "bad_value", "saturation_rate": "saturation"})
     return out.select("loop_id", F.round("score", 8).alias("score"), *(c for n in ("bad_value", "saturation") for c in (F.round(f"{n}_rate", 8).alias(f"{n}_rate"), f"{n}_source")))
@@ -225,3 +226,38 @@ def rule_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of all loops beside rules of a type."""
     made = spark.createDataFrame([("every", "ALL", None), ("levels", "CONTROL_TYPE", "LEVEL")], "rule_id string, scope string, target string")
     return rules.subscriptions(made, ledger(spark, sf_dir))
+
+
+@query(_CYCLES_SQL.format(e="pv / 5 - sp / 5") + ", b as (select loop_id, stddev_samp(pv / 5 - sp / 5) as dev from s group by 1), z as (select t.loop_id, case when crossings >= 4 and s_a is not null and s_b is not null then least(s_a, s_b) * 100 else 0 end as osc from t left join v using (loop_id)) select b.loop_id, round(100 * exp(-dev / 5) * (1 - coalesce(osc, 0) / 100), 6) as stability_rate from b left join z using (loop_id)")
+def stability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steadiness of the error, less the share of oscillation."""
+    df = samples(spark, sf_dir).withColumn("e", F.col("pv") / 5 - F.col("sp") / 5)
+    base = df.groupBy("loop_id").agg((100 * F.exp(-F.stddev_samp("e") / 5)).alias("base"))
+    swings = kpi.oscillation(df, KEYS, BY).select("loop_id", "oscillation_rate")
+    return base.join(swings, "loop_id", "left").select("loop_id", F.round(kpi.stability(F.col("base"), F.col("oscillation_rate")), 6).alias("stability_rate"))
+
+
+_FAMILIES = ("oscillation", "stiction", "sensor", "saturation", "overshoot", "slow", "bias_shift")
+_CAUSES_SQL = f"""with f as (select l_suppkey as loop_id, {list(_FAMILIES)}[(l_partkey % 7)::int + 1] as family, max(l_discount * 10) as c, count(*) as hits from lineitem where l_discount >= 0.08 and l_tax >= 0.07 group by 1, 2),
+ p as (select loop_id, {', '.join(f"max(case when family = '{x}' then c end) as {x}, max(case when family = '{x}' then hits end) as {x}_n" for x in _FAMILIES)} from f group by 1),
+ w as (select loop_id, loop_id % 10 <> 0 as passed, loop_id % 7 <> 0 as linked, (loop_id % 100) / 100.0 as auto from (select s_suppkey as loop_id from supplier)),
+ j as (select w.*, p.* exclude (loop_id) from w left join p using (loop_id)),
+ k as (select loop_id, case when passed then list_filter([case when not linked then struct_pack(cause := 'COMMUNICATION', c := 0.9::double) end, case when sensor is not null then struct_pack(cause := 'INSTRUMENT', c := sensor) end,
+  case when coalesce(stiction, 0) >= 0.7 or coalesce(stiction_n, 0) >= 2 then struct_pack(cause := 'VALVE', c := coalesce(stiction, 0)) end, case when coalesce(saturation, 0) > 0.8 then struct_pack(cause := 'VALVE', c := saturation) end,
+  case when bias_shift is not null then struct_pack(cause := 'PROCESS', c := bias_shift) end, case when oscillation is not null and stiction is null and overshoot is null then struct_pack(cause := 'PROCESS', c := 0.5::double) end,
+  case when overshoot is not null or slow is not null then struct_pack(cause := 'TUNING', c := greatest(coalesce(overshoot, 0), coalesce(slow, 0))) end, case when auto > 0 and auto < 0.5 then struct_pack(cause := 'UTILIZATION', c := 0.8::double) end], lambda x: x is not null) else [] end as causes from j),
+ a as (select loop_id, causes, case when len(causes) > 0 then causes[1] else struct_pack(cause := 'DATA_INSUFFICIENT', c := 0.0::double) end as lead_ from k),
+ b as (select *, case lead_.cause when 'COMMUNICATION' then ['INSTRUMENT', 'VALVE', 'PROCESS', 'TUNING'] when 'INSTRUMENT' then ['VALVE', 'PROCESS', 'TUNING'] when 'VALVE' then ['TUNING'] when 'PROCESS' then ['TUNING'] else [] end as doubtful, list_filter(causes, lambda x: x.cause <> lead_.cause) as rest from a)
+ select loop_id, lead_.cause as primary_, round(lead_.c, 6) as confidence, array_to_string(list_sort(list_distinct(list_transform(list_filter(rest, lambda x: not list_contains(doubtful, x.cause) and x.c >= 0.6), lambda x: x.cause))), ',') as secondary, array_to_string(list_sort(list_distinct(list_transform(list_filter(rest, lambda x: list_contains(doubtful, x.cause)), lambda x: x.cause))), ',') as pending from b"""
+
+
+@query(_CAUSES_SQL)
+def cause_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered table of causes over findings of every kind, with windows that fail the gate and loops that are not linked."""
+    lines = table(spark, sf_dir, "lineitem").where("l_discount >= 0.08 and l_tax >= 0.07")  # where an operator found something
+    found = lines.groupBy(F.col("l_suppkey").alias("loop_id"), F.element_at(F.array(*map(F.lit, _FAMILIES)), (F.col("l_partkey") % 7).cast("int") + 1).alias("family")).agg(F.max(F.col("l_discount") * 10).alias("confidence"), F.count(F.lit(1)).alias("hits"))
+    i = F.col("loop_id")
+    windows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("loop_id")).select("loop_id", (i % 10 != 0).alias("passed"), (i % 7 != 0).alias("linked"), ((i % 100) / 100.0).alias("auto_rate"))
+    out = diagnosis.classify(found, windows, KEYS)
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    return out.select("loop_id", F.col("primary").alias("primary_"), F.round("confidence", 6).alias("confidence"), listed("secondary").alias("secondary"), listed("pending").alias("pending"))

@@ -178,3 +178,17 @@ def test_open_loop_history_finds_the_process():
         y[i] = a * y[i - 1] + 1.5 * (1 - a) * u[i - 4]
     got = identify.from_history(y + rng.normal(0, 0.05, 1000), u)
     assert got["structure"] == "FOPDT" and 1.45 <= got["K"] <= 1.55 and 18 <= got["tau"] <= 22 and 2 <= got["theta"] <= 4
+
+
+def test_frequency_response_and_feasibility():
+    rng = np.random.default_rng(6)
+    u = rng.normal(size=4000)
+    y = np.zeros(4000)
+    for i in range(1, 4000):
+        y[i] = 0.8 * y[i - 1] + 0.4 * u[i - 1]
+    got = identify.frequency_response(u, y)
+    z = np.exp(2j * np.pi * got["frequency"])
+    true = 0.4 / (z - 0.8)
+    assert np.abs(got["gain"] - np.abs(true))[1:].max() < 0.25 and got["coherence"][1:].min() > 0.85 and got["phase"][3] < 0
+    assert identify.coherence(u, y) > 0.9 and identify.coherence(u, rng.normal(size=4000)) < 0.2 and not len(identify.frequency_response(u[:10], y[:10])["gain"])
+    assert [identify.feasibility(*x) for x in ((1.0, np.array([1.0])), (-1.0, np.array([-1.0])), (1.0, np.array([-0.5, 1.5])), (1.0, np.array([1.5, -0.5])))] == ["OK", "NEGATIVE_GAIN", "NMP_ZERO", "OK"]
