@@ -33,7 +33,7 @@ from .shingles import mix, shingle_sets
 #: log2 of the counters, and of the counters in a row; partial tables of a block that one task sums.
 COUNTER_BITS, ROW_BITS, FAN_IN = 20, 14, 512
 #: Members compared with one head in a task, members of a block of a posting list, sets that a task remembers, parts of a group of equal sets.
-MEMBERS, BLOCK, REMEMBERED, SALTS = 512, 256, 1 << 17, 256
+MEMBERS, BLOCK, REMEMBERED, SALTS = 64, 256, 1 << 17, 256
 
 
 def occurrences(docs: DataFrame, words: int) -> np.ndarray:
