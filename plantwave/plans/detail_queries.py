@@ -219,8 +219,8 @@ def attention_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.when(F.col("state") == "OPEN", 0).when(F.col("state") == "ACKNOWLEDGED", 1).otherwise(2)
     item = F.concat_ws("-", "order_id", "line", "l_partkey")
     queue = df.groupBy("loop_id").agg(F.min(stage).alias("stage"), F.max("started").alias("newest"), F.count(F.lit(1)).alias("items"), F.array_join(F.array_sort(F.collect_list(item)), " ").alias("listed"))
-    total = queue.select("loop_id").limit(21).agg((F.count(F.lit(1)) > 20).alias("truncated"))
-    return queue.orderBy("stage", F.desc("newest"), "loop_id").offset(10).limit(10).crossJoin(total)  # one row
+    truncated = queue.select("loop_id").limit(21).count() > 20
+    return queue.orderBy("stage", F.desc("newest"), "loop_id").offset(10).limit(10).withColumn("truncated", F.lit(truncated))
 
 
 @query(f"with {WORK_SQL}, g as (select loop_id, count(*) as orders, count_if(state = 'CLOSED') as closed, round(avg(delta), 6) as delta from w group by 1) select row_number() over (order by orders desc, loop_id) as place, loop_id, orders, closed, delta from g order by place limit 10")
