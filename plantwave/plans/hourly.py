@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import THRESHOLDS, control_type, grade, score_grade
@@ -41,17 +41,22 @@ def indicators(df: DataFrame) -> DataFrame:
     return df.select(*KEYS, "all_valid", *whole, *(v.alias(k) for k, v in masked.items())).groupBy(*KEYS).agg(*(v.alias(k) for k, v in made.items()))
 
 
+#: Valid samples from which a settling time is sought.
+LEAST_SETTLING = 100
+
+
 def settling(df: DataFrame) -> DataFrame:
-    """Settling time by loop and hour; an hour of one loop bounds a group."""
+    """Settling time by loop and hour of hours with enough valid samples; an hour of one loop bounds a group."""
 
     def run(key: tuple, w: pd.DataFrame) -> pd.DataFrame:
         e = w.sort_values("ts")["e"].to_numpy(float)
-        outcome, value = kernels.settling_time(e)
+        outcome, value = kernels.settling_time(e, least=LEAST_SETTLING)
         window = float(len(e)) if outcome == "NEVER_SETTLES" else value
         return pd.DataFrame([(key[0], key[1], outcome, window)], columns=["loop_id", "hour", "settling_outcome", "settling_time"])
 
     kind = dict(df.dtypes)
-    return df.where("all_valid").select(*KEYS, "ts", "e").groupBy(*KEYS).applyInPandas(run, f"loop_id {kind['loop_id']}, hour {kind['hour']}, settling_outcome string, settling_time double")
+    counted = df.where("all_valid").select(*KEYS, "ts", "e", F.count("e").over(Window.partitionBy(*KEYS)).alias("_n"))
+    return counted.where(F.col("_n") >= LEAST_SETTLING).drop("_n").groupBy(*KEYS).applyInPandas(run, f"loop_id {kind['loop_id']}, hour {kind['hour']}, settling_outcome string, settling_time double")
 
 
 def hourly(samples: DataFrame, loops: DataFrame, pv_range: tuple[float, float] = (0, 100), before: DataFrame | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -61,6 +66,7 @@ def hourly(samples: DataFrame, loops: DataFrame, pv_range: tuple[float, float] =
     out = indicators(df).join(swings, KEYS, "left").join(settling(df), KEYS, "left").join(loops.select("loop_id", "loop_type"), "loop_id", "left")
     ideal = kpi.ideal_settling(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), control_type("loop_type"))
     out = out.withColumns({"fast_rate": F.when(F.col("settling_time").isNotNull(), kpi.fast_rate(F.col("settling_time"), ideal)), "stability_rate": kpi.stability(F.col("stability_base"), F.col("oscillation_rate"))})
+    out = out.withColumn("settling_outcome", F.coalesce("settling_outcome", F.when(F.col("points") > 0, "IDENTIFICATION_FAILED")))
     none = F.lit(None).cast("double")
     inconclusive = F.col("valid_rate") < kpi.LEAST_SHARE
     score = kpi.composite(F.col("accuracy_rate"), F.col("fast_rate"), F.col("stability_rate"), F.col("effective_auto_rate"), kpi.weights((none, none, none), F.col("loop_type")))
