@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, langid, packing, pages, quality, url_filter, warc
+from . import ann, bpe, chat, jaccard, langid, packing, pages, quality, url_filter, variants, warc
 from .common import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -130,6 +130,29 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.word_counts(table(spark, sf_dir, "documents"), damage=31)
+    return variants.variants(materialize(words, "counts"))
+
+
+#: CRC-32 by half bytes, as DuckDB has none; near words share what is left when one letter is struck out.
+OP11_SQL = r"""with recursive r as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) as w from documents),
+d as (select w, count(*) as k, hex(encode(id || ':' || w)) as x from r group by w, id),
+t as (select w, k, list_prepend(4294967295::bigint, flatten(list_transform(range(1, len(x), 2), lambda i: [strpos('0123456789ABCDEF', x[i + 1]) - 1, strpos('0123456789ABCDEF', x[i]) - 1]))) as nibbles from d),
+h as (select w, k, xor(list_reduce(nibbles, lambda a, b: xor((a >> 4), case xor(a, b) & 15 when 0 then 0 when 1 then 498536548 when 2 then 997073096 when 3 then 651767980 when 4 then 1994146192 when 5 then 1802195444 when 6 then 1303535960 when 7 then 1342533948 when 8 then 3988292384 when 9 then 4027552580 when 10 then 3604390888 when 11 then 3412177804 when 12 then 2607071920 when 13 then 2262029012 when 14 then 2685067896 else 3183342108 end)), 4294967295) as crc from t),
+c as (select case when crc % 31 = 0 then substring(w, 1, (crc % length(w))::int) || substring(w, (crc % length(w))::int + 2) else w end as word, k from h),
+v as (select word, sum(k)::bigint as n from c where length(word) >= 7 group by word having sum(k) >= 2),
+z as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+s as (select word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) as rest from z),
+p as (select a.word, b.word as near, b.n as near_n from s a join s b on a.rest = b.rest and a.i = b.i and a.word <> b.word and length(a.word) = length(b.word)
+union select s.word, v.word, v.n from s join v on v.word = s.rest union select v.word, s.word, s.n from s join v on v.word = s.rest),
+b as (select v.word, v.n, count(p.near) as n_near, first(p.near order by p.near_n desc, p.near) as best, max(p.near_n) as best_n from v left join p on p.word = v.word group by 1, 2),
+f as (select word, n, n_near, case when best_n >= 10 * n then best end as form, case when best_n >= 10 * n then best_n end as form_n from b),
+g(word, root) as (select word, word from f union all select g.word, f.form from g join f on f.word = g.root where f.form is not null),
+l as (select g.word, g.root from g join f on f.word = g.root where f.form is null)
+select f.word, f.form, l.root, f.n::bigint as n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from f join l on l.word = f.word"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -143,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_windows,
         op9_ngram_jaccard_join,
         op10_main_text,
+        op11_spelling_variants,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_spelling_variants": OP11_SQL}
