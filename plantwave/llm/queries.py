@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, langid, packing, pages, quality, url_filter, variants, warc
+from . import ann, bottomk, bpe, chat, jaccard, langid, negatives, packing, pages, quality, url_filter, variants, warc
 from .common import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -153,6 +153,30 @@ l as (select g.word, g.root from g join f on f.word = g.root where f.form is nul
 select f.word, f.form, l.root, f.n::bigint as n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from f join l on l.word = f.word"""
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, label, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256.0)
+
+
+OP12_SQL = """
+with v as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r as ar, a.vec_id as anchor_id, a.label as al, b.r as br, b.vec_id as other, b.label as bl, list_inner_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.r <> b.r),
+p as (select *, row_number() over (partition by ar order by score desc, other, br) as k from s where al = bl),
+n as (select p.anchor_id, p.other as positive_id, p.score as positive_score, s.other as negative_id, s.score as negative_score, row_number() over (partition by p.ar, p.k order by s.score desc, s.other, s.br) as "rank"
+  from p join s on p.ar = s.ar and p.k <= 5 and s.al <> s.bl and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, "rank"::int as "rank", negative_id, positive_score, negative_score from n where "rank" <= 3"""
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottomk.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP13_SQL = OP9_SQL.replace("100 * c >= 90 *", "100 * c >= 85 *").replace("min(r.c) as component_id from", "min(r.c) as component_id, min(r.c) = n.doc_id as kept from")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -167,6 +191,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ngram_jaccard_join,
         op10_main_text,
         op11_spelling_variants,
+        op12_hard_negatives,
+        op13_minhash_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_spelling_variants": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_fixity_audit": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_minhash_near_dedup": OP13_SQL}
