@@ -53,8 +53,10 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
 
 
-def normalise(x: Column | str, low: float, high: float) -> Column:
-    """Engineering range to 0..100; a range without span leaves the value."""
+def normalise(x: Column | str, low: Column | float, high: Column | float) -> Column:
+    """Engineering range to 0..100; a range without span leaves the value, as does one that is not known."""
+    if isinstance(low, Column) or isinstance(high, Column):
+        return F.when((high - low) != 0, (col(x) - low) / (high - low) * 100).otherwise(col(x))
     return col(x) if high == low else (col(x) - low) / (high - low) * 100
 
 
@@ -84,7 +86,7 @@ def rank_of(x: Column | str, order: tuple[str, ...]) -> Column:
 def lookup(x: Column | str, table: dict, default=None) -> Column:
     out = F.lit(default)
     for k, v in table.items():
-        out = F.when(col(x) == k, F.lit(v)).otherwise(out)
+        out = F.when(col(x) == k, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
     return out
 
 

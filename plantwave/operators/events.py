@@ -27,13 +27,13 @@ def disturbances(df: DataFrame, keys: list[str], by: list[str], band: float = 2.
     return out.where(F.col("points") >= least_points).withColumn("censored", F.col("_rows") - F.col("end") < recovery).drop("_event", "_rows")
 
 
-def confirmed_frozen(df: DataFrame, keys: list[str], by: list[str], frozen: str, op: str, minutes: float, op_sigma: float) -> DataFrame:
-    """Adds confirmed: a frozen run that lasts for the minutes while the output moves by more than the deviation."""
+def confirmed_frozen(df: DataFrame, keys: list[str], by: list[str], frozen: str, op: str, minutes: float, op_sigma: Column | float, interval: Column | float = 0.0) -> DataFrame:
+    """Adds confirmed: a frozen run that lasts for the minutes (its last sample for an interval) while the output moves by more than the deviation."""
     w = Window.partitionBy(*keys).orderBy(*by)
     flagged = Window.partitionBy(*keys, frozen).orderBy(*by)
     df = df.withColumn("_run", F.row_number().over(w) - F.row_number().over(flagged))
     run = Window.partitionBy(*keys, frozen, "_run")
-    lasts = (F.max(seconds(by[0])).over(run) - F.min(seconds(by[0])).over(run)) >= 60 * minutes
+    lasts = (F.max(seconds(by[0])).over(run) - F.min(seconds(by[0])).over(run)) + interval >= 60 * minutes
     moves = F.stddev_pop(op).over(run) > op_sigma
     return df.withColumn("confirmed", F.col(frozen) & lasts & F.coalesce(moves, F.lit(False))).drop("_run")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.signals import THRESHOLDS, missing, normalise, present, quality
+from ..functions.signals import THRESHOLDS, lookup, missing, normalise, present, quality
 
 #: Reasons that mark a sample without making it invalid.
 MARK_ONLY = ("TS_ANOMALY", "HF_NOISE", "FROZEN")
@@ -19,17 +19,24 @@ def out_of_range(x: Column, low: float, high: float) -> Column:
     return ~missing(x) & ((x < low) | (x > high))
 
 
-def jump(x: Column, w: WindowSpec, limit: float) -> Column:
+def threshold(control: str | Column, name: str) -> Column:
+    """A limit of a control type, which may be a column: one pass serves loops of all types."""
+    if isinstance(control, str):
+        return F.lit(THRESHOLDS[control][name])
+    return lookup(control, {k: t[name] for k, t in THRESHOLDS.items()}, THRESHOLDS["FC"][name])
+
+
+def jump(x: Column, w: WindowSpec, limit: Column | float) -> Column:
     """The later of two neighbours that differ by more than the limit."""
     return F.coalesce(F.abs(x - F.lag(x).over(w)) > limit, F.lit(False))
 
 
-def spike(x: Column, w: WindowSpec, limit: float) -> Column:
+def spike(x: Column, w: WindowSpec, limit: Column | float) -> Column:
     """Both neighbours differ by more than the limit."""
     return F.coalesce((F.abs(x - F.lag(x).over(w)) > limit) & (F.abs(x - F.lead(x).over(w)) > limit), F.lit(False))
 
 
-def with_frozen(df: DataFrame, x: str, keys: list[str], by: list[str], points: int, limit: float, out: str) -> DataFrame:
+def with_frozen(df: DataFrame, x: str, keys: list[str], by: list[str], points: int, limit: Column | float, out: str) -> DataFrame:
     """A sample is frozen if any full window of `points` samples over it has a population deviation below the limit."""
     w = order(keys, by)
     ahead = w.rowsBetween(0, points - 1)
@@ -39,28 +46,40 @@ def with_frozen(df: DataFrame, x: str, keys: list[str], by: list[str], points: i
     return df.withColumn(out, F.max("_still").over(w.rowsBetween(-(points - 1), 0))).drop("_still")
 
 
-def ts_anomaly(ts: str, keys: list[str], by: list[str], interval: float) -> Column:
+def ts_anomaly(ts: str, keys: list[str], by: list[str], interval: Column | float) -> Column:
     """Duplicate times, and gaps of more than twice the interval."""
     w = order(keys, by)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     step = (micros - F.lag(micros).over(w)) / 1e6
-    return F.coalesce((step <= 0) | (step > 2 * interval), F.lit(False)) | (F.count(F.lit(1)).over(Window.partitionBy(*keys, ts)) > 1)
+    return F.coalesce((step <= 0) | (step > interval * 2), F.lit(False)) | (F.count(F.lit(1)).over(Window.partitionBy(*keys, ts)) > 1)
+
+
+def frozen(df: DataFrame, x: str, keys: list[str], by: list[str], span: float, control: str | Column, out: str) -> DataFrame:
+    """with_frozen by control type: each window size that some type has, and of them the row's own."""
+    if isinstance(control, str):
+        return with_frozen(df, x, keys, by, THRESHOLDS[control]["frozen_window"], THRESHOLDS[control]["frozen"] * span, out)
+    sizes = sorted({t["frozen_window"] for t in THRESHOLDS.values()})
+    for n in sizes:
+        df = with_frozen(df, x, keys, by, n, threshold(control, "frozen") * span, f"_frozen{n}")
+    return df.withColumn(out, lookup(threshold(control, "frozen_window"), {n: F.col(f"_frozen{n}") for n in sizes}, False)).drop(*(f"_frozen{n}" for n in sizes))
+
 
+def detect(df: DataFrame, signal: str, keys: list[str], by: list[str], low: float, high: float, control: str | Column = "FC", quality_code: str | None = None, ts: str | None = None, interval: float | None = None, freezes: bool = True) -> DataFrame:
+    """Adds <signal>_reasons and <signal>_valid; reasons in fixed order. All windows share keys and order, so one shuffle and one sort.
 
-def detect(df: DataFrame, signal: str, keys: list[str], by: list[str], low: float, high: float, control: str = "FC", quality_code: str | None = None, ts: str | None = None, interval: float | None = None) -> DataFrame:
-    """Adds <signal>_reasons and <signal>_valid; reasons in fixed order. All windows share keys and order, so one shuffle and one sort."""
-    t, span = THRESHOLDS[control], high - low
+    The control type may be a column; freezes: whether the signal is checked for standing still."""
+    span = high - low
     w, x = order(keys, by), present(signal)  # NaN is above every number in comparisons
-    df = with_frozen(df, signal, keys, by, t["frozen_window"], t["frozen"] * span, "_frozen")
+    df = frozen(df, signal, keys, by, span, control, "_frozen") if freezes else df.withColumn("_frozen", F.lit(False))
     named = [
         ("NAN", x.isNull()),
         ("OUT_OF_RANGE", out_of_range(x, low, high)),
         ("FROZEN", F.col("_frozen") & x.isNotNull()),
-        ("JUMP", jump(x, w, t["jump"] * span)),
-        ("SPIKE", spike(x, w, t["spike"] * span)),
+        ("JUMP", jump(x, w, threshold(control, "jump") * span)),
+        ("SPIKE", spike(x, w, threshold(control, "spike") * span)),
     ]
     if ts:
-        named.append(("TS_ANOMALY", ts_anomaly(ts, keys, by, interval or t["interval"])))
+        named.append(("TS_ANOMALY", ts_anomaly(ts, keys, by, threshold(control, "interval") if interval is None else interval)))
     if quality_code:
         named.append(("QC_BAD", quality(quality_code) != "Good"))
     reasons = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in named)))
@@ -69,12 +88,12 @@ def detect(df: DataFrame, signal: str, keys: list[str], by: list[str], low: floa
     return df.withColumn(f"{signal}_valid", F.size(hard) == 0)
 
 
-def preprocess(df: DataFrame, keys: list[str], by: list[str], pv_range: tuple[float, float], op_range: tuple[float, float] = (0, 100), control: str = "FC", ts: str = "ts") -> DataFrame:
-    """quality → normalise → detect → validity, in that order, for pv, sp and op."""
+def preprocess(df: DataFrame, keys: list[str], by: list[str], pv_range: tuple, op_range: tuple = (0, 100), control: str | Column = "FC", ts: str = "ts") -> DataFrame:
+    """quality → normalise → detect → validity, in that order, for pv, sp and op. Ranges and control type may be columns; only pv is checked for standing still."""
     df = df.withColumns({"quality_status": quality("quality"), "pv": normalise("pv", *pv_range), "sp": normalise("sp", *pv_range), "op": normalise("op", *op_range)})
     df = detect(df, "pv", keys, by, 0, 100, control, "quality", ts)
     for signal in ("sp", "op"):
-        df = detect(df, signal, keys, by, 0, 100, control)
+        df = detect(df, signal, keys, by, 0, 100, control, freezes=False)
     return df.withColumns({"mode_valid": F.col("mode").isNotNull(), "all_valid": F.col("pv_valid") & F.col("sp_valid") & F.col("op_valid") & F.col("mode").isNotNull()})
 
 

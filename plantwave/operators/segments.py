@@ -35,6 +35,12 @@ def carried(x: str, keys: list[str], by: list[str]) -> Column:
     return F.last(x, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def adjacent(x: str, keys: list[str], by: list[str], step: int) -> Column:
+    """The step-th known value of a column after the row (before it, if negative); Spark walks the window once."""
+    quoted = lambda names: ", ".join(f"`{n}`" for n in names)
+    return F.expr(f"{'lead' if step > 0 else 'lag'}(`{x}`, {abs(step)}) ignore nulls over (partition by {quoted(keys)} order by {quoted(by)})")
+
+
 def seeded(rows: DataFrame, before: DataFrame, signals: list[str], keys: list[str], ts: str) -> DataFrame:
     """Carries signals forward in rows from the last values before their window (a table keys, ts, signals)."""
     both = rows.withColumn("_seed", F.lit(False)).unionByName(before.withColumn("_seed", F.lit(True)), allowMissingColumns=True)

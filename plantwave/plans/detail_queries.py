@@ -102,12 +102,10 @@ def _typed_sql() -> str:
 @query(_typed_sql())
 def detectors_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each loop's samples by the thresholds of its control type: flow, pressure, temperature, level, composition."""
-    df = samples(spark, sf_dir).withColumn("pv", normalise("pv", 0, 500))
-    parts = [outliers.detect(df.where(F.col("loop_id") % 5 == i), "pv", KEYS, BY, 0, 100, kind, "quality").select("event_id", F.lit(kind).alias("kind"), F.array_join("pv_reasons", ",").alias("reasons")) for i, kind in enumerate(THRESHOLDS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = F.element_at(F.array(*map(F.lit, THRESHOLDS)), (F.col("loop_id") % 5).cast("int") + 1)
+    df = samples(spark, sf_dir).withColumns({"pv": normalise("pv", 0, 500), "kind": kinds})
+    out = outliers.detect(df, "pv", KEYS, BY, 0, 100, F.col("kind"), "quality")
+    return out.select("event_id", "kind", F.array_join("pv_reasons", ",").alias("reasons"))
 
 
 @query(f"with {SAMPLES_SQL}, a as (select *, epoch_us(ts) - epoch_us(lag(ts) over w) as step, count(*) over (partition by loop_id, ts) as same from s window w as (partition by loop_id order by ts, event_id)) select event_id, coalesce(step <= 0 or step > 2 * 43200000000, false) or same > 1 as anomaly from a")

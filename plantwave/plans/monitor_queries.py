@@ -32,42 +32,57 @@ START = "2024-01-01 01:00:00"
 
 
 def dense_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples whose set point and mode are stored on change only."""
+    """Samples whose set point and mode are stored on change only; some outputs, and all of some loops, are missing."""
     ts = F.timestamp_micros(F.expr(f"{BASE} + (unix_micros(cast(ts as timestamp)) - {BASE}) div 100"))
     df = samples(spark, sf_dir).withColumn("ts", ts)
     changed = F.col("event_id") % 5 == 0
-    return df.withColumns({"sp": F.when(changed, 100.0 + F.col("event_id") % 200), "mode": F.when(changed | (F.col("event_id") % 7 == 0), F.col("mode"))})
+    known = (F.col("loop_id") % 13 != 0) & (F.col("event_id") % 11 != 0)
+    return df.withColumns({"sp": F.when(changed, 100.0 + F.col("event_id") % 200), "mode": F.when(changed | (F.col("event_id") % 7 == 0), F.col("mode")), "op": F.when(known, F.col("op"))})
 
 
-_DENSE = f"""{SAMPLES_SQL}, t as (select event_id, loop_id, make_timestamp({BASE} + (epoch_us(ts) - {BASE}) // 100) as ts, pv / 500 * 100 as pv, op / 100 * 100 as op, quality,
- case when event_id % 5 = 0 then (100.0 + event_id % 200) / 500 * 100 end as sp, case when event_id % 5 = 0 or event_id % 7 = 0 then mode end as mode from s),
+_DENSE = f"""{SAMPLES_SQL}, {LEDGER_SQL}, t as (select event_id, loop_id, make_timestamp({BASE} + (epoch_us(ts) - {BASE}) // 100) as ts, pv, case when loop_id % 13 <> 0 and event_id % 11 <> 0 then op / 100 * 100 end as op, quality,
+ case when event_id % 5 = 0 then 100.0 + event_id % 200 end as sp, case when event_id % 5 = 0 or event_id % 7 = 0 then mode end as mode from s),
  c as (select event_id, loop_id, ts, date_trunc('hour', ts) as hour, pv, op, quality, last_value(sp ignore nulls) over v as sp, last_value(mode ignore nulls) over v as mode from t window v as (partition by loop_id order by ts, event_id rows unbounded preceding)),
- k as (select * from c where ts >= timestamp '{START}')"""
+ dims as (select loop_id, case loop_type when 'PRESSURE' then 'PC' when 'TEMPERATURE' then 'TC' when 'LEVEL' then 'LC' when 'ANALYSIS' then 'CC' else 'FC' end as control, loop_id % 4 * -10.0 as low, 500.0 - loop_id % 3 * 50 as high, case when loop_id % 6 = 0 then 20.0 else 0 end as op_low from (select * replace (case when loop_id % 5 = 4 then 'ANALYSIS' else loop_type end as loop_type) from l)),
+ k as (select event_id, c.loop_id, hour, ts, (pv - coalesce(low, 0)) / (coalesce(high, 100) - coalesce(low, 0)) * 100 as pv, (sp - coalesce(low, 0)) / (coalesce(high, 100) - coalesce(low, 0)) * 100 as sp, op, mode, quality, coalesce(op_low, 0) as op_low, coalesce(control, 'FC') as control,
+  case control when 'PC' then 50 when 'TC' then 30 when 'LC' then 30 when 'CC' then 20 else 80 end as jump, case control when 'PC' then 30 when 'TC' then 20 when 'LC' then 20 when 'CC' then 10 else 50 end as spike,
+  case when control in ('TC', 'CC') then 0.05 else 0.1 end as still, case when control in ('TC', 'LC', 'CC') then 6 else 5 end as width, case control when 'PC' then 2 when 'TC' then 5 when 'LC' then 5 when 'CC' then 10 else 1 end as every,
+  case control when 'PC' then 20 when 'TC' then 15 when 'LC' then 15 when 'CC' then 10 else 30 end as least from c left join dims on dims.loop_id = c.loop_id where ts >= timestamp '{START}')"""
 
 
 def _detect_sql(x: str) -> str:
     return (
-        f"{x} is not null and {x} >= 0 and {x} <= 100 and not coalesce(abs({x} - lag({x}) over w) > 80, false) and not coalesce(abs({x} - lag({x}) over w) > 50 and abs({x} - lead({x}) over w) > 50, false) as {x}_valid, "
-        f"coalesce(abs({x} - lag({x}) over w) > 80, false) or coalesce({x} < 0 or {x} > 100, false) as {x}_fault"
+        f"coalesce({x} >= 0 and {x} <= 100 and not coalesce(abs({x} - lag({x}) over w) > jump, false) and not coalesce(abs({x} - lag({x}) over w) > spike and abs({x} - lead({x}) over w) > spike, false), false) as {x}_sound, "
+        f"coalesce(abs({x} - lag({x}) over w) > jump, false) or coalesce({x} < 0 or {x} > 100, false) as {x}_fault"
     )
 
 
-_HOURLY_SQL = f"""with {_DENSE},
- f0 as (select *, {_detect_sql('pv')}, {_detect_sql('sp')}, {_detect_sql('op')}, coalesce(epoch(lead(ts) over w) - epoch(ts), epoch(ts) - epoch(lag(ts) over w), 0) as d, pv - sp as e,
-  coalesce(abs(op - lag(op) over w), 0) as move, coalesce((pv - sp) * lag(pv - sp) over w < 0, false) as crossed, coalesce(quality <> 0, true) as good,
-  count(*) over y = 5 and count(pv) over y >= 2 and coalesce(stddev_pop(pv) over y < 0.1, false) as still from k window w as (partition by loop_id, hour order by ts, event_id), y as (partition by loop_id, hour order by ts, event_id rows between current row and 4 following)),
- f1 as (select *, bool_or(still) over (partition by loop_id, hour order by ts, event_id rows between 4 preceding and current row) and pv is not null as frozen from f0),
- f2 as (select *, row_number() over (partition by loop_id, hour order by ts, event_id) - row_number() over (partition by loop_id, hour, frozen order by ts, event_id) as run from f1),
- f3 as (select *, frozen and epoch(max(ts) over r) - epoch(min(ts) over r) >= 300 and coalesce(stddev_pop(op) over r > 0.1, false) as confirmed, pv_valid and good and sp_valid and op_valid and mode is not null as ok from f2 window r as (partition by loop_id, hour, frozen, run)),
- g as (select loop_id, hour, count(*) as n, count_if(ok) as points, avg(ok::int) as valid, avg(good::int) * 100 as good, avg((pv_fault or confirmed)::int) * 100 as fault,
-  avg(abs(e)) filter (where ok) as m, max(abs(e)) filter (where ok) - avg(abs(e)) filter (where ok) as b, stddev_samp(e) filter (where ok) as dev, sum(d) filter (where ok) as d,
-  sum(case when mode in (1, 2, 3, 4) then d else 0 end) filter (where ok) as d_auto, sum(case when mode in (1, 2, 3, 4) and op > 2 and op < 98 and abs(e) < 5 then d else 0 end) filter (where ok) as d_eff,
-  sum(case when mode in (1, 2, 3, 4) and (op >= 98 or op <= 2) then d else 0 end) filter (where ok) as d_sat, sum(move) filter (where ok) as trip, avg(pv) filter (where ok) as pv_mean, avg(sp) filter (where ok) as sp_mean, stddev_pop(sp) filter (where ok) as sp_std,
-  avg(op) filter (where ok) as op_mean, avg(e) filter (where ok) as e_mean, count_if(crossed and ok) as crossings from f3 group by 1, 2)
- select loop_id, hour::timestamp as hour, points::bigint as points, round(valid, 7) as valid_rate, case when valid >= 0.95 then 'A' when valid >= 0.8 then 'B' when valid >= 0.6 then 'C' when valid >= 0.2 then 'D' else 'E' end as confidence,
- round(good, 7) as good_value_rate, round(fault, 7) as instrument_fault_rate, round(case when b > 0 then greatest(least(100 * (1 - m / b * (1 - exp(-m / b))), 100), 0) when m > 0 then greatest(100 * (1 - m / 5), 0) when m = 0 then 100 end, 7) as accuracy_rate,
- round(100 * exp(-dev / 5), 7) as stability_base, round(case when d <> 0 then d_auto / d * 100 end, 7) as auto_mode_rate, round(case when d <> 0 then d_eff / d * 100 end, 7) as effective_auto_rate, round(case when d <> 0 then d_sat / d * 100 end, 7) as saturation_rate,
- round(case when d <> 0 then trip / (d * 100) end, 11) as output_trip_index, round(pv_mean, 7) as pv_mean, round(sp_mean, 7) as sp_mean, round(sp_std, 7) as sp_std, round(op_mean, 7) as op_mean, round(e_mean, 7) as error_mean, case when points > 0 then crossings::bigint end as setpoint_crossing_count from g"""
+def _still_sql(n: int) -> str:
+    return f"count(*) over y{n} = {n} and count(pv) over y{n} >= 2 and coalesce(stddev_pop(pv) over y{n} < still, false) as still{n}"
+
+
+#: Written from the contracts: each indicator under its own mask, limits by control type, neighbours within the mask.
+_FLAGS = f"""{_DENSE},
+ f0 as (select *, {_detect_sql('pv')}, {_detect_sql('sp')}, {_detect_sql('op')}, coalesce(quality <> 0, true) as good, {_still_sql(5)}, {_still_sql(6)} from k window w as (partition by loop_id, hour order by ts, event_id),
+  y5 as (partition by loop_id, hour order by ts, event_id rows between current row and 4 following), y6 as (partition by loop_id, hour order by ts, event_id rows between current row and 5 following)),
+ f1 as (select *, pv_sound and good as pv_valid, sp_sound as sp_valid, op_sound as op_valid, mode is not null as mode_valid, pv is not null and case when width = 5 then bool_or(still5) over (partition by loop_id, hour order by ts, event_id rows between 4 preceding and current row) else bool_or(still6) over (partition by loop_id, hour order by ts, event_id rows between 5 preceding and current row) end as frozen from f0),
+ f2 as (select *, row_number() over (partition by loop_id, hour order by ts, event_id) - row_number() over (partition by loop_id, hour, frozen order by ts, event_id) as run, row_number() over (partition by loop_id, hour order by ts, event_id) - row_number() over (partition by loop_id, hour, op_valid order by ts, event_id) as op_run from f1),
+ f3 as (select *, frozen and epoch(max(ts) over r) - epoch(min(ts) over r) + every >= 300 and coalesce(stddev_pop(op) over r > still, false) as confirmed, op_valid and count(*) over (partition by loop_id, hour, op_valid, op_run) >= least as in_run from f2 window r as (partition by loop_id, hour, frozen, run)),
+ m as (select *, case when pv_valid and sp_valid then pv - sp end as e, case when mode_valid then epoch(ts) end as m_at, case when mode_valid and op_valid then epoch(ts) end as b_at, case when in_run then op end as trip_op, case when in_run then epoch(ts) end as trip_at,
+  mode in (1, 2, 3, 4) as auto from f3),
+ o as (select *, coalesce(lead(m_at ignore nulls) over w - m_at, m_at - lag(m_at ignore nulls) over w, case when mode_valid then 0 end) as m_d, coalesce(lead(b_at ignore nulls) over w - b_at, b_at - lag(b_at ignore nulls) over w, case when b_at is not null then 0 end) as b_d,
+  abs(trip_op - lag(trip_op ignore nulls) over w) as move, coalesce(e * lag(e ignore nulls) over w < 0, false) as crossed, e - avg(e) over (partition by loop_id, hour) as y from m window w as (partition by loop_id, hour order by ts, event_id))"""
+_HOURLY_SQL = f"""with {_FLAGS},
+ g as (select loop_id, hour, count(*) as n, count_if(pv_valid and sp_valid and op_valid and mode_valid) as points, count(e) as n_e, count_if(mode_valid) as n_m, count(b_at) as n_b, count(trip_at) as n_t, count_if(pv_valid) as n_pv, count_if(sp_valid) as n_sp, count_if(op_valid) as n_op, count_if(pv_valid and op_valid) as n_v,
+  avg(good::int) * 100 as good, avg((pv_fault or confirmed)::int) * 100 as fault, avg(abs(e)) as a, max(abs(e)) - avg(abs(e)) as b, stddev_samp(e) as dev, sum(m_d) as md, sum(case when auto then m_d else 0 end) as md_auto, sum(b_d) as bd,
+  sum(case when auto and op > op_low + 2 and op < 98 then b_d else 0 end) as bd_eff, sum(case when auto and (op >= 98 or op <= op_low + 2) then b_d else 0 end) as bd_sat, coalesce(sum(move), 0) / nullif(max(trip_at) - min(trip_at), 0) / 100 as trip,
+  avg(pv) filter (where pv_valid) as pv_mean, avg(sp) filter (where sp_valid) as sp_mean, stddev_pop(sp) filter (where sp_valid) as sp_std, avg(op) filter (where op_valid) as op_mean, avg(e) as e_mean, count_if(crossed) as crossings,
+  covar_pop(pv, op) filter (where pv_valid and op_valid) as cov, stddev_pop(pv) filter (where pv_valid and op_valid) * stddev_pop(op) filter (where pv_valid and op_valid) as devs from o group by 1, 2)
+ select loop_id, hour::timestamp as hour, n::bigint as samples, points::bigint as points, case when points / n >= 0.95 then 'A' when points / n >= 0.8 then 'B' when points / n >= 0.6 then 'C' when points / n >= 0.2 then 'D' else 'E' end as confidence,
+ round(case when good >= 20 then good end, 7) as good_value_rate, round(case when n_pv >= n * 0.2 then fault end, 7) as instrument_fault_rate, round(case when n_e >= n * 0.2 then case when b > 0 then greatest(least(100 * (1 - a / b * (1 - exp(-a / b))), 100), 0) when a > 0 then greatest(100 * (1 - a / 5), 0) when a = 0 then 100 end end, 7) as accuracy_rate,
+ round(case when n_e >= n * 0.2 then 100 * exp(-dev / 5) end, 7) as stability_base, round(case when n_m >= n * 0.2 and md <> 0 then md_auto / md * 100 end, 7) as auto_mode_rate, round(case when n_b >= n * 0.2 and bd <> 0 then bd_eff / bd * 100 end, 7) as effective_auto_rate,
+ round(case when n_b >= n * 0.2 and bd <> 0 then bd_sat / bd * 100 end, 7) as saturation_rate, round(case when n_t >= n * 0.2 then trip end, 11) as output_trip_index, round(case when n_pv >= n * 0.2 then pv_mean end, 7) as pv_mean, round(case when n_sp >= n * 0.2 then sp_mean end, 7) as sp_mean, round(case when n_sp >= n * 0.2 then sp_std end, 7) as sp_std,
+ round(case when n_op >= n * 0.2 then op_mean end, 7) as op_mean, round(case when n_e >= n * 0.2 then e_mean end, 7) as error_mean, case when n_e >= n * 0.2 and n_e > 0 then crossings::bigint end as setpoint_crossing_count, round(case when n_v >= n * 0.2 and n_v > 0 then case when devs > 1e-9 then abs(cov / devs) else 0 end end, 6) as valve_linearity from g"""
 
 
 def _window(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -77,22 +92,32 @@ def _window(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("ts") >= start), segments.last_before(df, KEYS, "ts", ["sp", "mode"], start)
 
 
+def hourly_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with ranges, output limits, ideal settling times, models and weights for some loops; five control types."""
+    i = F.col("loop_id")
+    return ledger(spark, sf_dir).withColumns({
+        "loop_type": F.when(i % 5 == 4, "ANALYSIS").otherwise(F.col("loop_type")), "pv_low": i % 4 * -10.0, "pv_high": 500.0 - i % 3 * 50, "op_low": F.when(i % 6 == 0, 20.0),
+        "ideal_settling": F.when(i % 7 == 0, 45.0), "tau": F.when(i % 2 == 0, 10.0 + i % 50), "theta": F.when(i % 2 == 0, 1.0 + i % 9),
+        "weight_accuracy": F.when(i % 3 == 0, 50.0), "weight_fast": F.when(i % 3 == 0, 20.0), "weight_steady": F.when(i % 3 == 0, 30.0),
+    })
+
+
 @query(_HOURLY_SQL)
 def hourly_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly job without its kernels: set points from before the window, confirmed freezes among the faults."""
+    """The hourly job's indicators, each under its contract's mask; set points from before the window, limits by control type."""
     rows, before = _window(spark, sf_dir)
-    out = hourly.indicators(hourly.prepare(rows, (0, 500), before=before, ties=("event_id",)))
-    places = {"output_trip_index": 11}
-    rounded = ("valid_rate", "good_value_rate", "instrument_fault_rate", "accuracy_rate", "stability_base", "auto_mode_rate", "effective_auto_rate", "saturation_rate", "output_trip_index", "pv_mean", "sp_mean", "sp_std", "op_mean", "error_mean")
-    return out.select("loop_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "points", hourly.grade("valid_rate").alias("confidence"), *(F.round(c, places.get(c, 7)).alias(c) for c in rounded), F.when(F.col("points") > 0, F.col("setpoint_crossing_count")).alias("setpoint_crossing_count"))
+    out = hourly.indicators(hourly.prepare(rows, hourly_loops(spark, sf_dir), before, ("event_id",)))
+    places = {"output_trip_index": 11, "valve_linearity": 6}
+    rounded = ("good_value_rate", "instrument_fault_rate", "accuracy_rate", "stability_base", "auto_mode_rate", "effective_auto_rate", "saturation_rate", "output_trip_index", "pv_mean", "sp_mean", "sp_std", "op_mean", "error_mean", "valve_linearity")
+    return out.select("loop_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "samples", "points", hourly.grade("valid_rate").alias("confidence"), *(F.round(c, places.get(c, 7)).alias(c) for c in rounded), "setpoint_crossing_count")
 
 
 @query()
 def hourly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole hourly job: kernels, scores and status by loop and hour."""
+    """The whole hourly job: settling, oscillation, scores and status by loop and hour."""
     rows, before = _window(spark, sf_dir)
-    out = hourly.hourly(rows, ledger(spark, sf_dir), (0, 500), before, ("event_id",))
-    return out.select("loop_id", "hour", "points", F.round("valid_rate", 6).alias("valid_rate"), "settling_outcome", *(F.round(c, 4).alias(c) for c in ("settling_time", "fast_rate", "oscillation_rate", "stability_rate", "score")), "confidence", "score_grade", "status")
+    out = hourly.hourly(rows, hourly_loops(spark, sf_dir), before, ("event_id",))
+    return out.select("loop_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "points", F.round("valid_rate", 6).alias("valid_rate"), "settling_outcome", *(F.round(c, 4).alias(c) for c in ("settling_time", "fast_rate", "oscillation_rate", "stability_rate", "score")), "confidence", "score_grade", "status")
 
 
 _CYCLES_SQL = f"""with {SAMPLES_SQL},

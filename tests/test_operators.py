@@ -250,7 +250,7 @@ def test_set_points_hold_over_hours(spark):
 def test_frozen_runs_count_as_faults_only_while_the_output_moves(spark):
     rows = [(loop, at(i), 50.0, 40.0, float(i % 50) if loop == 1 else 20.0, 1, 192) for loop in (1, 2) for i in range(600)]
     df = spark.createDataFrame(rows, "loop_id long, ts timestamp, pv double, sp double, op double, mode int, quality int")
-    got = {r["loop_id"]: r for r in hourly.indicators(hourly.prepare(df, (0, 100))).collect()}
+    got = {r["loop_id"]: r for r in hourly.indicators(hourly.prepare(df, spark.createDataFrame([(1,), (2,)], "loop_id long"))).collect()}
     assert got[1]["instrument_fault_rate"] == 100.0 and got[2]["instrument_fault_rate"] == 0.0 and got[1]["sp_mean"] == 40.0 and got[1]["points"] == 600
 
 
