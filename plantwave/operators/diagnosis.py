@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .segments import seconds
 
 # Causes, and the causes that each makes doubtful.
 FAMILIES = {"oscillation_fft": "oscillation", "oscillation_iae": "oscillation", "stiction_ellipse": "stiction", "stiction_higher_order": "stiction", "stiction_statistical": "stiction", "sensor": "sensor", "saturation": "saturation", "overshoot": "overshoot", "slow": "slow", "bias_shift": "bias_shift"}
@@ -74,12 +75,20 @@ def run_kernels(df: DataFrame, keys: list[str], by: list[str], interval: float =
     return df.select(*keys, *by, "pv", "sp", "op", "mode").groupBy(*keys).applyInPandas(run, schema)
 
 
-def gate(df: DataFrame, keys: list[str], least: int = 60) -> DataFrame:
-    """Windows with enough points, a valid share of 0.20 and at most 30 % gaps: (keys, points, passed)."""
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.avg(F.col("pv_valid").cast("double")).alias("valid"), F.avg(F.col("pv").isNull().cast("double")).alias("gaps"))
+def gate(df: DataFrame, keys: list[str], expected: Column, least: int = 32) -> DataFrame:
+    """(keys, points, valid, gaps, passed): enough points, a valid share of 0.20, and at most 30 % of the expected points
+    missing; expected: an aggregate, such as the window's length over the sampling interval."""
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.avg(F.col("pv_valid").cast("double")).alias("valid"), expected.alias("_expected"))
+    gaps = F.when(F.col("_expected") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("points") / F.col("_expected")))).otherwise(1.0)
+    out = out.withColumn("gaps", gaps).drop("_expected")
     return out.withColumn("passed", (F.col("points") >= least) & (F.col("valid") >= 0.20) & (F.col("gaps") <= 0.30))
 
 
+def expected_points(ts: str, interval: float) -> Column:
+    """Aggregate: the points that a window's span and interval let expect."""
+    return F.floor((F.max(seconds(ts)) - F.min(seconds(ts))) / interval) + 1
+
+
 def fused(confidences: Column) -> Column:
     """Evidence of an array of confidences: product of beliefs over that plus the product of doubts; one alone is unchanged."""
     belief = F.aggregate(confidences, F.lit(1.0), lambda a, x: a * x)
@@ -151,11 +160,20 @@ def merged_thresholds(rows: DataFrame, keys: list[str], name: str = "name") -> D
     return rows.groupBy(*keys, name).agg(F.max_by("value", rank).alias("value"))
 
 
-def distinct_labels(found: DataFrame, keys: list[str]) -> DataFrame:
-    """The surest finding of each label; labels that exclude each other keep the surer one."""
-    best = found.groupBy(*keys, "label").agg(F.max("confidence").alias("confidence"))
-    exclusive = F.when(F.col("label").isin("OVERSHOOT", "SLOW"), "speed").when(F.col("label").isin("STICTION", "OSCILLATION"), "cycle").otherwise(F.col("label"))
-    return best.groupBy(*keys, exclusive.alias("_group")).agg(F.max_by("label", F.struct("confidence", "label")).alias("label"), F.max("confidence").alias("confidence")).drop("_group")
+def distinct_labels(found: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """(keys, label, confidence, fused, features, others) of findings (keys, label, confidence, features map, tie): one record a label.
+
+    The surest finding leads (ties: the larger `tie`); features that it lacks come from the next surer one that has them; the
+    other findings stay as evidence, surest first; fused joins all confidences of the label. A label's findings are
+    as many as there are operators."""
+    by_rank = lambda a, b: F.when(F.struct(a["confidence"], a["tie"]) > F.struct(b["confidence"], b["tie"]), -1).when(F.struct(a["confidence"], a["tie"]) < F.struct(b["confidence"], b["tie"]), 1).otherwise(0)
+    out = found.groupBy(*keys, "label").agg(F.collect_list(F.struct(F.col("confidence"), F.col(tie).alias("tie"), F.map_keys("features").alias("k"), F.map_values("features").alias("v"))).alias("_all"), fusion(F.col("confidence")).alias("fused"))
+    out = out.withColumn("_all", F.array_sort("_all", by_rank))
+    empty = F.map_from_arrays(F.get("_all", F.lit(0))["k"], F.get("_all", F.lit(0))["v"])
+    merged = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), empty, lambda m, x: F.map_zip_with(m, F.map_from_arrays(x["k"], x["v"]), lambda k, a, b: F.coalesce(a, b)))
+    first = F.get("_all", F.lit(0))
+    others = F.transform(F.slice("_all", F.lit(2), F.size("_all")), lambda x: F.struct(x["confidence"].alias("confidence"), x["tie"].alias(tie)))
+    return out.select(*keys, "label", first["confidence"].alias("confidence"), "fused", merged.alias("features"), others.alias("others"))
 
 
 # Order of labels in a report.
@@ -182,11 +200,3 @@ def expert_rules(found: DataFrame, keys: list[str], bad_rate: str = "bad_rate")
     for i, name in enumerate(LABELS):
         place = F.when(F.col("label") == name, i + 1).otherwise(place)
     return out.withColumn("place", place)
-
-
-def quality_rules(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Q001 to Q005 by shares of a window's points, the most important one that applies: bad, absent, frozen, jumping, out of range."""
-    share = lambda reason: F.avg(F.array_contains("pv_reasons", reason).cast("double"))
-    out = df.groupBy(*keys).agg(*(share(r).alias(q) for q, r in (("Q001", "QC_BAD"), ("Q002", "FROZEN"), ("Q003", "JUMP"), ("Q004", "NAN"), ("Q005", "OUT_OF_RANGE"))))
-    rule = F.when(F.col("Q001") > 0.1, "Q001").when(F.col("Q004") > 0.1, "Q004").when(F.col("Q002") > 0.2, "Q002").when(F.col("Q003") > 0.05, "Q003").when(F.col("Q005") > 0.1, "Q005")
-    return out.withColumn("rule", rule)

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import seconds
+from .segments import adjacent, hold, seconds
 
 
-def disturbances(df: DataFrame, keys: list[str], by: list[str], band: float = 2.0, recovery: int = 5, step_sigma: float = 3.0, least_points: int = 3) -> DataFrame:
-    """(keys, start, end, points, censored) of excursions of e beyond band sigmas that no set-point step explains.
+def disturbances(df: DataFrame, keys: list[str], by: list[str], ideal: Column | None = None, interval: Column | float = 1.0, band: float = 2.0, recovery: int = 5, step_sigma: float = 3.0, least_seconds: float = 3.0) -> DataFrame:
+    """(keys, start, end, recovered, seconds, censored) of runs of rows, counted from 0, in which the error pv - sp is beyond
+    `band` of its deviations and no step of the set point explains it.
 
-    An excursion ends with `recovery` points in the band; one that the window cuts off is censored. Rows in which
-    the set point has just moved by more than step_sigma deviations of the error are tracking, not disturbance."""
+    A set point that moves by more than step_sigma deviations of its moves is tracked for the ideal settling time
+    (five rows at least, 60 where none is known). A run counts if it holds for least_seconds; it has recovered at the last
+    of the first `recovery` rows in a row within the band after it, or else is censored at the window's end. seconds: from
+    the run's first row to the recovery."""
     whole, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*by)
-    df = df.withColumns({"_sd": F.stddev_pop("e").over(whole), "_n": F.row_number().over(w), "_rows": F.count(F.lit(1)).over(whole)})
-    stepped = F.coalesce(F.abs(F.col("sp") - F.lag("sp").over(w)) > step_sigma * F.col("_sd"), F.lit(False))
-    df = df.withColumn("_stepped", stepped)
-    df = df.withColumn("_tracking", F.max("_stepped").over(w.rowsBetween(-recovery, 0)))
-    df = df.withColumn("_out", (F.abs("e") > band * F.col("_sd")) & ~F.col("_tracking"))
-    last_out = F.last(F.when(F.col("_out"), F.col("_n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.col("_out") & F.coalesce(F.col("_n") - last_out > recovery, F.lit(True))
-    df = df.withColumn("_fresh", fresh.cast("int"))
-    df = df.withColumn("_event", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_out")
-    out = df.groupBy(*keys, "_event").agg(F.min("_n").alias("start"), F.max("_n").alias("end"), F.count(F.lit(1)).alias("points"), F.max("_rows").alias("_rows"))
-    return out.where(F.col("points") >= least_points).withColumn("censored", F.col("_rows") - F.col("end") < recovery).drop("_event", "_rows")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.where(F.col("pv").isNotNull() & F.col("sp").isNotNull())
+    df = df.withColumns({"_e": F.abs(F.col("pv") - F.col("sp")), "_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole), "_move": F.col("sp") - F.lag("sp").over(w), "_d": hold(by[0], keys, by)})
+    df = df.withColumns({"_sd": F.stddev_pop(F.col("pv") - F.col("sp")).over(whole), "_moves": F.stddev_pop("_move").over(whole), "_spent": F.sum("_d").over(running)})
+    stepped = (F.col("_moves") > 0) & (F.abs("_move") > step_sigma * F.col("_moves"))
+    length = F.lit(60) if ideal is None else F.when((ideal > 0) & (F.lit(1) * interval > 0), F.greatest(F.lit(5), F.floor(ideal / interval))).otherwise(60)
+    df = df.withColumns({"_step": F.max(F.when(stepped, F.col("_i"))).over(running), "_beyond": (F.col("_sd") > 0) & (F.col("_e") > band * F.col("_sd"))})
+    df = df.withColumns({"_out": F.col("_beyond") & F.coalesce(F.col("_i") - F.col("_step") >= length, F.lit(True)), "_last": F.max(F.when(F.col("_beyond"), F.col("_i"))).over(running)})
+    settled = F.when(~F.col("_beyond") & (F.col("_i") - F.coalesce("_last", F.lit(-1)) >= recovery), F.struct("_i", "_spent"))
+    df = df.withColumns({"_settled": settled, "_fresh": (F.col("_out") & ~F.coalesce(F.lag("_out").over(w), F.lit(False))).cast("int"), "_total": F.sum("_d").over(whole)})
+    df = df.withColumns({"_event": F.sum("_fresh").over(running), "_next": adjacent("_settled", keys, by, 1)}).where((F.col("_out")) & (F.col("_n") >= 3))
+    out = df.groupBy(*keys, "_event").agg(F.min("_i").alias("start"), F.max("_i").alias("end"), F.sum("_d").alias("_held"), F.min(F.col("_spent") - F.col("_d")).alias("_before"), F.max_by("_next", "_i").alias("_next"), F.max("_n").alias("_n"), F.max("_total").alias("_total"))
+    out = out.where(F.col("_held") >= least_seconds)
+    return out.select(*keys, "start", "end", F.coalesce(F.col("_next._i"), F.col("_n") - 1).alias("recovered"), (F.coalesce(F.col("_next._spent"), F.col("_total")) - F.col("_before")).alias("seconds"), F.col("_next").isNull().alias("censored"))
 
 
 def confirmed_frozen(df: DataFrame, keys: list[str], by: list[str], frozen: str, op: str, minutes: float, op_sigma: Column | float, interval: Column | float = 0.0) -> DataFrame:

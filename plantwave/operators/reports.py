@@ -115,13 +115,15 @@ def regression(x: Column, y: Column) -> tuple[Column, Column]:
     return slope, F.avg(F.when(x.isNotNull(), y)) - slope * F.avg(paired)
 
 
-def contribution(name: str, slope: Column, forecast: Column) -> Column:
-    """Share of a trend in the risk score: slope times proximity to the limit, capped."""
+def contribution(name: str, slope: Column, current: Column) -> Column:
+    """Share of a trend in the risk score: slope times how near the last known value is to the limit, capped.
+
+    Beyond the limit counts 1.5; a trend without a known value counts 1."""
     sign, cap, limit = RISKS[name]
-    past = forecast <= limit if sign < 0 else forecast >= limit
-    to_limit = {"score": F.greatest(F.lit(0.5), 100 - forecast) / 40, "steady": F.greatest(F.lit(0.5), (100 - forecast) / 20)}.get(name, F.greatest(F.lit(0.5), forecast / 20))
-    points = F.least(F.lit(float(cap)), F.abs(slope) * 20 * F.when(past, 1.5).otherwise(to_limit))
-    return F.when(slope * sign > 0.01, points).otherwise(0.0)
+    past = current < limit if sign < 0 else current > limit
+    to_limit = {"score": F.greatest(F.lit(0.5), 100 - current) / 40, "steady": F.greatest(F.lit(0.5), (100 - current) / 20)}.get(name, F.greatest(F.lit(0.5), current / limit))
+    near = F.when(current.isNull(), 1.0).when(past, 1.5).otherwise(to_limit)
+    return F.when(slope * sign > 0.01, F.least(F.lit(float(cap)), F.abs(slope) * 20 * near)).otherwise(0.0)
 
 
 def snapshot_filter(start: str | None = None, end: str | None = None, least: float | None = None, most: float | None = None, confidences: list[str] | None = None, statuses: list[str] | None = None, loop_types: list[str] | None = None, units: list[int] | None = None, active: bool | None = None) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.signals import THRESHOLDS, control_type, normalise
-from ..operators import diagnosis, kpi, outliers, reports, rollup, rules, segments
+from ..functions.signals import THRESHOLDS, control_type, normalise, quality
+from ..operators import diagnosis, kpi, outliers, reports, rollup, rules, segments, sensors
 from ..sources.stand_ins import LEDGER_SQL, NODES_SQL, SAMPLES_SQL, SNAPSHOTS_SQL, WORK_SQL, ledger, orders_of_work, plant_nodes, samples, snapshots, table
 from ..sources.tables import keep_or_overwrite, payload_rows, tag_column, validated
 from ..streaming import samples as stream
@@ -131,21 +131,62 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_summary(df, KEYS, "pv", "ts", 43_200)
 
 
-_REASONS = f"with {SAMPLES_SQL}, a as (select loop_id, pv / 500 * 100 as x, quality, lag(pv / 500 * 100) over w as p, count(*) over (w rows between current row and 4 following) = 5 and stddev_pop(pv / 500 * 100) over (w rows between current row and 4 following) < 0.1 as still, ts, event_id from s window w as (partition by loop_id order by ts, event_id)), b as (select *, bool_or(still) over (partition by loop_id order by ts, event_id rows between 4 preceding and current row) as frozen from a)"
+_CODES = f"with {SAMPLES_SQL}, c as (select loop_id, case when event_id % 9 = 0 then 'U' when quality = 0 then 'B' else 'G' end as code, row_number() over (partition by loop_id order by ts, event_id) as i from s), r as (select *, i - row_number() over (partition by loop_id, code order by i) as run from c), l as (select loop_id, count(*) as length from r where code = 'B' group by loop_id, run), m as (select loop_id, max(length) as longest, bool_or(length > 3) as lasting, bool_or(length between 2 and 3) as brief from l group by 1), g as (select c.loop_id, count(*) as points, count_if(code = 'B') as bad, avg((code = 'B')::int) as share, avg((code = 'U')::int) as unsure, coalesce(max(longest), 0) as longest, coalesce(bool_or(lasting), false) as lasting, coalesce(bool_or(brief), false) as brief from c left join m on m.loop_id = c.loop_id group by 1), q as (select *, case when longest > 5 then 'Q001' when lasting then 'Q004' when share > 0.1 then 'Q002' when unsure > 0.2 then 'Q003' when brief then 'Q005' else 'NORMAL' end as rule from g)"
 
 
-@query(_REASONS + ", g as (select loop_id, avg(coalesce((quality = 0)::int, 0)) as q1, avg(frozen::int) as q2, avg(coalesce((abs(x - p) > 80)::int, 0)) as q3, avg((x is null)::int) as q4, avg(coalesce((x < 0 or x > 100)::int, 0)) as q5 from b group by 1) select loop_id, round(q1, 6) as bad, round(q3, 6) as jumping, case when q1 > 0.1 then 'Q001' when q4 > 0.1 then 'Q004' when q2 > 0.2 then 'Q002' when q3 > 0.05 then 'Q003' when q5 > 0.1 then 'Q005' end as rule from g")
+@query(_CODES + " select loop_id, points, bad, longest, round(share, 6) as bad_share, round(unsure, 6) as uncertain_share, rule, case when rule = 'Q001' then case when longest * 10 > 600 then 0.9 when longest * 10 > 60 then 0.75 else 0.6 end when rule = 'Q004' then 0.8 when rule in ('Q002', 'Q003') then 0.6 when rule = 'Q005' then 0.4 else 0 end::double as confidence from q")
 def quality_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most important quality rule that a loop's samples break."""
-    df = outliers.detect(samples(spark, sf_dir).withColumn("pv", normalise("pv", 0, 500)), "pv", KEYS, BY, 0, 100, "FC", "quality")
-    return diagnosis.quality_rules(df, KEYS).select("loop_id", F.round("Q001", 6).alias("bad"), F.round("Q003", 6).alias("jumping"), "rule")
+    """The quality rule that a loop's codes break, by runs of Bad; shorter runs than the rules' own, as loops have few samples here."""
+    status = F.when(F.col("event_id") % 9 == 0, "Unknown").otherwise(quality("quality"))
+    out = sensors.quality_rules(samples(spark, sf_dir).withColumn("quality_status", status), KEYS, BY, interval=10.0, long_run=5, run=3, short=(2, 3))
+    return out.withColumns({c: F.round(c, 6) for c in ("bad_share", "uncertain_share")})
 
 
-@query(_VALID + " select loop_id, count(*) as points, count(*) >= 20 and avg(pv_valid::int) >= 0.2 and avg((x is null)::int) <= 0.3 as passed from v group by 1")
+@query(_VALID + ", g as (select loop_id, count(*) as points, avg(pv_valid::int) as valid, 1 - count(*) / (floor((epoch(max(ts)) - epoch(min(ts))) / 28000) + 1) as gaps from v group by 1) select loop_id, points, round(greatest(0, least(1, gaps)), 6) as gaps, points >= 32 and valid >= 0.2 and gaps <= 0.3 as passed from g")
 def data_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that are fit for a diagnosis."""
+    """Windows that are fit for a diagnosis: points, valid share, and points missing against the expected ones."""
     df = outliers.detect(samples(spark, sf_dir).withColumn("pv", normalise("pv", 0, 500)), "pv", KEYS, BY, 0, 100, "FC", "quality")
-    return diagnosis.gate(df, KEYS, 20).select("loop_id", "points", "passed")
+    return diagnosis.gate(df, KEYS, diagnosis.expected_points("ts", 28_000)).select("loop_id", "points", F.round("gaps", 6).alias("gaps"), "passed")
+
+
+def _sensor_sql(window: int, x: str, sp: str) -> str:
+    return f"""with {SAMPLES_SQL}, a as (select loop_id, ts, event_id, {x} as x, {sp} as sp from s), b as (select *, row_number() over w - 1 as i, count(*) over (partition by loop_id) as n, count(*) over y = {window} and stddev_pop(x) over y < 0.0001 as still from a where x is not null
+  window w as (partition by loop_id order by ts, event_id), y as (partition by loop_id order by ts, event_id rows between current row and {window - 1} following)),
+ r as (select loop_id, max(len) as run from (select loop_id, count(*) as len from (select *, i - row_number() over (partition by loop_id, still order by i) as g from b) where still group by loop_id, g) group by 1),
+ h as (select *, n // 2 as split, greatest(10, least(30, (n // 2) // 4, (n - n // 2) // 4)) as win from b),
+ z as (select p.loop_id, p.i, p.i < p.split as early, case when stddev_pop(q.x) < 1e-6 * any_value(d.sd) then 0 else stddev_pop(q.x) end as sd from h p join (select loop_id, stddev_pop(x) as sd from b group by 1) d on d.loop_id = p.loop_id join h q on q.loop_id = p.loop_id and q.i between p.i - p.win + 1 and p.i and (q.i < q.split) = (p.i < p.split)
+  where p.split >= 16 and (case when p.i < p.split then p.i else p.i - p.split end) >= p.win - 1 group by p.loop_id, p.i, p.split),
+ m as (select loop_id, median(sd) filter (where early) as m1, median(sd) filter (where not early) as m2 from z group by 1),
+ d as (select loop_id, count(*) as n, stddev_pop(x) as sd, {', '.join(f'avg(case when i // (n // 5) = {k} then {c} end) as {v}{k}' for v, c in (('x', 'x'), ('s', 'sp')) for k in range(5))} from b group by 1),
+ f as (select d.*, case when run > 0 then run + {window - 1} else 0 end as frozen, case when m1 is null or m2 is null then 1 when least(m1, m2) > 1e-12 then greatest(m1, m2) / least(m1, m2) when greatest(m1, m2) > 1e-12 then 999 else 1 end as noise, case when n // 5 >= 4 then x4 - x0 else 0 end as drift from d left join r on r.loop_id = d.loop_id left join m on m.loop_id = d.loop_id),
+ t as (select *, case when n < 32 then null when frozen / n > 0.2 then 'frozen' when noise > 3 then 'noisy' when n // 5 >= 4 and ((x1 > x0 and x2 > x1 and x3 > x2 and x4 > x3) or (x1 < x0 and x2 < x1 and x3 < x2 and x4 < x3)) and abs(drift) > 2 * sd and not ((s4 - s0) * drift > 0 and abs(s4 - s0) >= 0.5 * abs(drift)) then 'drift' end as subtype from f)
+ select loop_id, n as points, frozen::bigint as frozen_segment, round(noise, 5) as noise_ratio, round(drift, 5) as drift, subtype, case subtype when 'frozen' then 0.85 when 'noisy' then 0.7 when 'drift' then 0.65 else 0 end::double as confidence from t"""
+
+
+def _sensors(spark: SparkSession, sf_dir: str, window: int, x: Column, sp: Column) -> DataFrame:
+    df = samples(spark, sf_dir).select("loop_id", "ts", "event_id", x.alias("x"), sp.alias("sp"))
+    out = sensors.sensor_faults(df, "x", "sp", KEYS, BY, frozen_window=window)
+    return out.select("loop_id", "points", F.col("frozen_segment").cast("long").alias("frozen_segment"), F.round("noise_ratio", 5).alias("noise_ratio"), F.round("drift", 5).alias("drift"), "subtype", "confidence")
+
+
+@query(_sensor_sql(12, "case when loop_id % 3 = 0 and event_id % 4000 < 2000 then 7.0 else pv end", "sp"))
+def sensor_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensors of which a third stands still for a time; windows of 12 samples, as loops have at most 99 here."""
+    return _sensors(spark, sf_dir, 12, F.when((F.col("loop_id") % 3 == 0) & (F.col("event_id") % 4000 < 2000), 7.0).otherwise(F.col("pv")), F.col("sp"))
+
+
+@query(_sensor_sql(300, "case when epoch(ts) < 1705276800 and loop_id % 2 = 0 then pv / 20 else pv end", "sp"))
+def sensor_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensors that grow noisy: half of them much quieter before a time."""
+    quiet = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 < 1_705_276_800) & (F.col("loop_id") % 2 == 0)
+    return _sensors(spark, sf_dir, 300, F.when(quiet, F.col("pv") / 20).otherwise(F.col("pv")), F.col("sp"))
+
+
+@query(_sensor_sql(300, "pv / 1000 + epoch(ts) / 50000 * (1 + loop_id % 3)", "case when loop_id % 4 = 0 then epoch(ts) / 50000 else sp end"))
+def sensor_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensors that drift, of a fourth the set point moves along."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return _sensors(spark, sf_dir, 300, F.col("pv") / 1000 + at / 50_000 * (1 + F.col("loop_id") % 3), F.when(F.col("loop_id") % 4 == 0, at / 50_000).otherwise(F.col("sp")))
 
 
 # --- indicators and labels
@@ -163,11 +204,15 @@ def fast_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = ("OVERSHOOT", "SLOW", "STICTION", "OSCILLATION", "SATURATION")
 
 
-@query(f"with f as (select l_suppkey as loop_id, {list(_LABELS)}[(l_partkey % 5)::int + 1] as label, l_discount * 5 + (l_quantity / 1000) as confidence from lineitem), b as (select loop_id, label, max(confidence) as confidence from f group by 1, 2), g as (select *, case when label in ('OVERSHOOT', 'SLOW') then 'speed' when label in ('STICTION', 'OSCILLATION') then 'cycle' else label end as kind from b), r as (select *, row_number() over (partition by loop_id, kind order by confidence desc, label desc) as rn from g) select loop_id, label, round(confidence, 6) as confidence from r where rn = 1")
+@query(f"with f as (select l_suppkey as loop_id, {list(_LABELS)}[(l_partkey % 5)::int + 1] as label, l_discount * 5 + l_quantity / 1000 + 0.2 as confidence, l_orderkey * 10 + l_linenumber as finding, l_tax as tax, case when l_linenumber % 2 = 0 then l_quantity end as quantity from lineitem), r as (select *, row_number() over (partition by loop_id, label order by confidence desc, finding desc) as rn from f), p as (select loop_id, label, max(confidence) as confidence, 1 / (1 + exp(-sum(ln(confidence) - ln(1 - confidence)))) as fused, count(*) as n, first(tax order by rn) as tax, first(quantity order by rn) filter (where quantity is not null) as quantity, string_agg(finding::varchar, ',' order by rn) filter (where rn between 2 and 4) as others from r group by 1, 2) select loop_id, label, round(confidence, 6) as confidence, round(case when n = 1 then confidence else fused end, 6) as fused, tax, quantity, n - 1 as n_others, coalesce(others, '') as others from p")
 def label_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surest finding of each label; of labels that exclude each other the surer."""
-    df = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("loop_id"), F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("l_partkey") % 5).cast("int") + 1).alias("label"), (F.col("l_discount") * 5 + F.col("l_quantity") / 1000).alias("confidence"))
-    return diagnosis.distinct_labels(df, KEYS).select("loop_id", "label", F.round("confidence", 6).alias("confidence"))
+    """One record of each label: the surest finding's, features filled from the others, which stay as evidence."""
+    c = F.col
+    features = F.map_filter(F.create_map(F.lit("tax"), c("l_tax"), F.lit("quantity"), F.when(c("l_linenumber") % 2 == 0, c("l_quantity"))), lambda k, v: v.isNotNull())
+    df = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("loop_id"), F.element_at(F.array(*map(F.lit, _LABELS)), (c("l_partkey") % 5).cast("int") + 1).alias("label"), (c("l_discount") * 5 + c("l_quantity") / 1000 + 0.2).alias("confidence"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("finding"), features.alias("features"))
+    out = diagnosis.distinct_labels(df, KEYS, "finding")
+    told = F.array_join(F.transform(F.slice("others", 1, 3), lambda o: o["finding"].cast("string")), ",")
+    return out.select("loop_id", "label", F.round("confidence", 6).alias("confidence"), F.round("fused", 6).alias("fused"), c("features")["tax"].alias("tax"), c("features")["quantity"].alias("quantity"), F.size("others").cast("long").alias("n_others"), told.alias("others"))
 
 
 @query(f"with {SNAPSHOTS_SQL}, c as (select snapshot_id, score, auto_rate / 37 as confidence, snapshot_id % 9 = 0 as poor from k) select snapshot_id, case when poor then null when score < 40 and confidence >= 0.8 then 'HIGH' when score < 60 or confidence >= 0.6 then 'MEDIUM' else 'LOW' end as severity from c")

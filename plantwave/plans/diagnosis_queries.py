@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import normalise, quality
-from ..operators import diagnosis, identify, kernels, outliers, rules, segments, tuning
+from ..operators import diagnosis, folds, identify, kernels, moments, outliers, rules, segments, tuning
 from ..operators.reports import escalated
 from ..sources.stand_ins import LEDGER_SQL, SAMPLES_SQL, SNAPSHOTS_SQL, WORK_SQL, ledger, orders_of_work, samples, snapshots, table
 from ..streaming import samples as stream
@@ -61,7 +61,7 @@ def diagnosis_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["loop_id", "segment"]
     df = segments.bounded(windows(spark, sf_dir), ["loop_id"], ["ts", "event_id"], SEGMENT)
     checked = outliers.detect(df, "pv", keys, ["ts", "event_id"], 0, 100, "FC", "quality")
-    gate = diagnosis.gate(checked, keys, 20)
+    gate = diagnosis.gate(checked, keys, diagnosis.expected_points("ts", 43_200), 20)
     auto = df.groupBy(*keys).agg(F.avg((F.col("mode") > 0).cast("double")).alias("auto_rate"), (F.count("op") > 0).alias("linked"))
     families = diagnosis.fuse_families(diagnosis.run_kernels(df, keys, ["ts", "event_id"]), keys)
     out = diagnosis.classify(families, gate.join(auto, keys), keys)
@@ -77,12 +77,6 @@ def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_evidence(table(spark, sf_dir, "lineitem"))
 
 
-@query(_FUSED)
-def evidence_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The older name of evidence_fusion."""
-    return fused_evidence(table(spark, sf_dir, "lineitem"))
-
-
 def fused_evidence(lines: DataFrame) -> DataFrame:
     c = F.col("l_discount") * 5 + 0.3
     out = lines.groupBy(F.col("l_suppkey").alias("loop_id"), (F.col("l_partkey") % 6).alias("family")).agg(F.count(c).alias("n"), diagnosis.fusion(c).alias("confidence"))
@@ -100,15 +94,30 @@ def noise_and_oscillation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(windows(spark, sf_dir), kernel, "loop_id long, noise double, oscillating boolean, frequency double, amplitude double, index double")
 
 
-@query()
-def settling_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(loop, w):
-        e = (w["pv"] - w["sp"]).to_numpy(float)
-        outcome, value = kernels.settling_time(e, least=30)
-        tau, h = kernels.time_constant(e), kernels.harris(e)
-        return pd.DataFrame([(loop, outcome, value, None if tau is None else round(tau, 4), None if h is None else round(h, 4))])
+_SEGMENTS = f"{SAMPLES_SQL}, n as (select loop_id, ts, event_id, pv / 500 * 100 as pv, row_number() over (partition by loop_id order by ts, event_id) as i, count(*) over (partition by loop_id) as c from s), g as (select loop_id, (i - 1) * ((c + {SEGMENT - 1}) // {SEGMENT}) // c as segment, ts, event_id, pv from n)"
+_LAGS = range(1, 11)
+_SETTLING_SQL = f"""with recursive {_SEGMENTS}, y as (select loop_id, segment, ts, event_id, pv - avg(pv) over (partition by loop_id, segment) as y from g where pv is not null),
+ l as (select loop_id, segment, y, {', '.join(f'lag(y, {k}) over w as y{k}' for k in _LAGS)} from y window w as (partition by loop_id, segment order by ts, event_id)),
+ m as (select loop_id, segment, count(*) as n, [sum(y * y) / count(*), {', '.join(f'coalesce(sum(y * y{k}), 0) / count(*)' for k in _LAGS)}] as r from l group by 1, 2),
+ c as (select *, case when r[1] * r[1] - r[2] * r[2] > 1e-12 * r[1] * r[1] then r[2] * (r[3] - r[1]) / (r[1] * r[1] - r[2] * r[2]) else -r[2] / nullif(r[1], 0) end as a1, case when r[1] * r[1] - r[2] * r[2] > 1e-12 * r[1] * r[1] then (r[2] * r[2] - r[1] * r[3]) / (r[1] * r[1] - r[2] * r[2]) else 0 end as a2 from m),
+ e(loop_id, segment, a1, a2, k, g, h, low, hit, total, moment) as (select loop_id, segment, a1, a2, 0, 1.0::double, 0.0::double, 0, -1, 1.0::double, 0.0::double from c where n >= 30 and sqrt(r[1]) >= 1e-9 union all
+  select loop_id, segment, a1, a2, k + 1, -a1 * g - a2 * h, g, case when abs(-a1 * g - a2 * h) < 0.05 then low + 1 else 0 end, case when hit < 0 and abs(-a1 * g - a2 * h) < 0.05 and low + 1 >= 10 then k + 1 - 9 else hit end,
+   total + case when k + 1 < 500 then abs(-a1 * g - a2 * h) else 0 end, moment + case when k + 1 < 500 then (k + 1) * abs(-a1 * g - a2 * h) else 0 end from e where k < 999),
+ v(loop_id, segment, r, a, v, k) as (select loop_id, segment, r, [1.0::double], r[1], 1 from c where n >= 50 union all
+  select loop_id, segment, r, list_transform(range(1, k + 2), lambda i: (a || [0.0::double])[i] + turn * (a || [0.0::double])[k + 2 - i]), v * (1 - turn * turn), k + 1 from (select *, -list_sum(list_transform(range(1, k + 1), lambda i: a[i] * r[k - i + 2])) / nullif(v, 0) as turn from v where k <= 10))
+ select c.loop_id, c.segment, c.n as points, case when c.n < 30 then 'IDENTIFICATION_FAILED' when sqrt(c.r[1]) < 1e-9 then 'ALREADY_STABLE' when e.hit > 0 then 'SETTLED' else 'NEVER_SETTLES' end as outcome, case when c.n < 30 then null when sqrt(c.r[1]) < 1e-9 then 0 when e.hit > 0 then e.hit else 1000 end::double as settling,
+  round(e.moment / e.total, 4) as tau, round(case when v.v > 0 then c.r[1] / v.v end, 4) as harris from c left join (from e where k = 999) e on e.loop_id = c.loop_id and e.segment = c.segment left join (from v where k = 11) v on v.loop_id = c.loop_id and v.segment = c.segment"""
 
-    return grouped(windows(spark, sf_dir), kernel, "loop_id long, outcome string, settling double, tau double, harris double")
+
+@query(_SETTLING_SQL)
+def settling_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settling time, time constant and Harris index of the error from its moments; 30 samples are enough here."""
+    keys, by, one = ["loop_id", "segment"], ["ts", "event_id"], F.lit(1.0)
+    df = segments.bounded(windows(spark, sf_dir), ["loop_id"], by, SEGMENT).withColumn("e", F.col("pv") - F.col("sp"))
+    df = moments.lagged(df, "e", keys, by, 10).groupBy(*keys).agg(*(c.alias(n) for n, c in moments.sums("e", 10).items()))
+    df = moments.time_constant(moments.settling(df.where("e_n > 0"), "e", one, 30), "e", one, 30)
+    harris = F.when(F.col("e_n") >= 50, moments.harris("e", 10))
+    return df.select(*keys, F.col("e_n").alias("points"), F.col("settling_outcome").alias("outcome"), F.col("settling_time").alias("settling"), F.round("time_constant", 4).alias("tau"), F.round(harris, 4).alias("harris"))
 
 
 @query()
@@ -121,23 +130,48 @@ def stiction_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(windows(spark, sf_dir), kernel, "loop_id long, outcome string, stiction double, bicoherence double, gaussianity double")
 
 
-@query()
-def bias_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(loop, w):
-        found = kernels.bias_shifts((w["pv"] - w["sp"]).to_numpy(float), 10)
-        return pd.DataFrame([(loop, len(found), ",".join(map(str, found)))])
-
-    return grouped(windows(spark, sf_dir), kernel, "loop_id long, shifts int, places string")
+_SHIFTS_SQL = f"""with recursive {_SEGMENTS}, z as (select loop_id, segment, row_number() over (partition by loop_id, segment order by ts, event_id) - 1 as i, pv - avg(pv) over q as x, stddev_pop(pv) over q as sd, count(*) over q as n, epoch(max(ts) over q) - epoch(min(ts) over q) as span from g where pv is not null window q as (partition by loop_id, segment)),
+ c(loop_id, segment, i, up, down, side) as (select loop_id, segment, i, 0.0::double, 0.0::double, 0 from z where i = 0 and n >= 16 and sd >= 1e-9 union all
+  select loop_id, segment, i, case when u > 2 * sd or -d > 2 * sd then 0 else u end, case when u > 2 * sd or -d > 2 * sd then 0 else d end, case when u > 2 * sd then 1 when -d > 2 * sd then -1 else 0 end from (select z.loop_id, z.segment, z.i, z.sd, greatest(0, c.up + z.x - 0.5 * z.sd) as u, least(0, c.down + z.x + 0.5 * z.sd) as d from c join z on z.loop_id = c.loop_id and z.segment = c.segment and z.i = c.i + 1)),
+ f as (select c.loop_id, c.segment, c.i, c.side, any_value(z.sd) as sd, avg(z.x) filter (where z.i >= c.i) - avg(z.x) filter (where z.i < c.i) as change, count(*) filter (where z.i >= c.i) as after, count(*) filter (where z.i < c.i) as before from c join z on z.loop_id = c.loop_id and z.segment = c.segment and z.i between c.i - 10 and c.i + 9 where c.side <> 0 group by 1, 2, 3, 4),
+ t as (select loop_id, segment, count(*) as shifts, string_agg(i::varchar, ',' order by i) as places, avg(abs(change)) as magnitude from f where before >= 5 and after >= 5 and change * side > sd group by 1, 2),
+ w as (select distinct loop_id, segment, span, n >= 16 and sd >= 1e-9 as fit from z), o as (select w.*, coalesce(shifts, 0) as shifts, coalesce(places, '') as places, coalesce(magnitude, 0) as magnitude, coalesce(shifts, 0) / case when span > 0 then span / 3600 else 1 end as rate from w left join t on t.loop_id = w.loop_id and t.segment = w.segment)
+ select loop_id, segment, shifts::int as shifts, places, round(magnitude, 6) as magnitude, round(case when fit then rate else 0 end, 9) as frequency, fit and rate >= 0.002 as detected from o"""
 
 
-@query()
+@query(_SHIFTS_SQL)
+def bias_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed level shifts of the error by a two-sided cumulative sum; a lower limit and a shorter window, as loops have few samples here."""
+    df = segments.bounded(windows(spark, sf_dir), ["loop_id"], ["ts", "event_id"], SEGMENT).withColumn("e", F.col("pv") - F.col("sp")).where("e is not null")
+    out = folds.bias_shifts(df, "e", ["loop_id", "segment"], ["ts", "event_id"], window=10, h=2.0, frequent=0.002)
+    return out.select("loop_id", "segment", F.col("shift_count").alias("shifts"), F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places"), F.round("shift_magnitude", 6).alias("magnitude"), F.round("shift_frequency", 9).alias("frequency"), "detected")
+
+
+def _triangles_sql(series: list[str]) -> str:
+    scale = lambda v: f"case when list_max({v}) > list_min({v}) then list_max({v}) - list_min({v}) else 1 end" if len(series) > 1 else "1.0"
+    names = [f"y{i}" for i in range(len(series))]
+    area = [f"abs((x[last + 1] - mx) * ({y}[j + 1] - {y}[last + 1]) - (x[last + 1] - x[j + 1]) * (m{y} - {y}[last + 1])) * 0.5 / u{y}" for y in names]
+    return f"""with recursive {SAMPLES_SQL}, n as (select loop_id, list(event_id order by ts, event_id) as ids, list(epoch(ts) order by ts, event_id) as x, {', '.join(f'list(coalesce({c}, 0) order by ts, event_id) as {y}' for c, y in zip(series, names, strict=True))}, count(*) as n from s group by 1),
+ b as (select *, (n - 2) / 18.0 as size, {', '.join(f'{scale(y)} as u{y}' for y in names)} from n),
+ t as (select 0 as i, loop_id, 0::bigint as last from b where n > 20 union all
+  select i + 1, loop_id, case when stop > begin then begin + list_position(areas, list_max(areas)) - 1 else begin end from (select *, list_transform(range(begin, stop), lambda j: {'greatest(' + ', '.join(area) + ')' if len(area) > 1 else area[0]}) as areas from (select *, coalesce(list_avg(x[stop + 1:after]), 0) as mx, {', '.join(f'coalesce(list_avg({y}[stop + 1:after]), 0) as m{y}' for y in names)}
+   from (select b.*, t.i, t.last, floor((t.i + 1) * size)::bigint + 1 as begin, least(floor((t.i + 2) * size)::bigint + 1, n) as stop, least(floor((t.i + 3) * size)::bigint + 1, n) as after from t join b on b.loop_id = t.loop_id where t.i < 18)))),
+ k as (select loop_id, i as place, last from t union all select loop_id, 19, n - 1 from b where n > 20 union all select loop_id, j, j from (select loop_id, unnest(range(n)) as j from b where n <= 20))
+ select k.loop_id, k.place::int as place, ids[k.last + 1] as event_id from k join b on b.loop_id = k.loop_id"""
+
+
+@query(_triangles_sql(["pv"]))
 def downsampled_waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(loop, w):
-        x = w["ts"].astype("int64").to_numpy(float)
-        keep = kernels.largest_triangles(x, w["pv"].to_numpy(float), 20)
-        return w.iloc[keep][["event_id", "loop_id", "pv"]]
+    """Twenty samples of each loop's waveform, by largest triangles."""
+    out = folds.largest_triangles(samples(spark, sf_dir), "pv", ["loop_id"], ["ts", "event_id"], [], threshold=20, target=20)
+    return out.select("loop_id", "place", "event_id")
+
 
-    return grouped(windows(spark, sf_dir), kernel, "event_id long, loop_id long, pv double")
+@query(_triangles_sql(["pv", "op"]))
+def downsampled_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty samples for process value and output on one axis, each scaled to its spread."""
+    out = folds.largest_triangles(samples(spark, sf_dir), ["pv", "op"], ["loop_id"], ["ts", "event_id"], [], threshold=20, target=20)
+    return out.select("loop_id", "place", "event_id")
 
 
 _GRID_SQL = f"""with {SAMPLES_SQL}, t as (select loop_id, event_id, epoch(ts) as t, ts, pv / 500 * 100 as pv, mode::double as mode from s),

@@ -24,14 +24,24 @@ def query(sql: str):
 
 
 @query(
-    f"""with {SAMPLES_SQL}, a as (select *, pv - sp as e, stddev_pop(pv - sp) over (partition by loop_id) as sd, row_number() over w as n, count(*) over (partition by loop_id) as rows from s {W}),
- b as (select *, abs(e) > sd as out_ from a), c as (select *, max(case when out_ then n end) over (w rows between unbounded preceding and 1 preceding) as last_ from b {W}),
- d as (select *, sum((out_ and coalesce(n - last_ > 2, true))::int) over (w rows unbounded preceding) as ev from c {W})
- select loop_id, min(n)::int as "start", max(n)::int as "end", count(*) as points, max(rows) - max(n) < 2 as censored from d where out_ group by loop_id, ev having count(*) >= 2"""
+    f"""with {SAMPLES_SQL}, s2 as (select * replace (case when ts < timestamp '2024-01-12' then 50.0 when ts < timestamp '2024-01-20' then 90.0 + loop_id % 7 else 60.0 end as sp) from s),
+ a as (select *, abs(pv - sp) as e, row_number() over w - 1 as i, count(*) over (partition by loop_id) as n, sp - lag(sp) over w as move, coalesce(epoch(lead(ts) over w) - epoch(ts), epoch(ts) - epoch(lag(ts) over w), 0) as d from s2 where pv is not null {W}),
+ b as (select *, e > 1.2 * stddev_pop(pv - sp) over (partition by loop_id) as beyond, abs(move) > 3 * stddev_pop(move) over (partition by loop_id) as step from a),
+ t as (select distinct q.loop_id, q.i from b p join b q on q.loop_id = p.loop_id and p.step and q.i >= p.i and q.i < p.i + case when p.loop_id % 3 = 0 then 60 else greatest(5, (20000 + p.loop_id % 5 * 40000) // 20000) end),
+ c as (select b.*, b.beyond and t.i is null as out_ from b left join t on t.loop_id = b.loop_id and t.i = b.i),
+ r as (select *, i - row_number() over (partition by loop_id, out_ order by i) as run, sum(d) over (partition by loop_id order by i) as spent from c),
+ v as (select loop_id, min(i) as start_, max(i) as end_, sum(d) as held from r where out_ and n >= 3 group by loop_id, run having sum(d) >= 40000),
+ k as (select loop_id, i, spent, bool_and(not beyond) over (partition by loop_id order by i rows 1 preceding) and i > 0 as calm from r),
+ m as (select v.*, min(k.i) as back from v left join k on k.loop_id = v.loop_id and k.i > v.end_ and k.calm group by all)
+ select m.loop_id, start_ as "start", end_ as "end", coalesce(back, (select max(i) from r where r.loop_id = m.loop_id)) as recovered, round((select sum(d) from r where r.loop_id = m.loop_id and r.i between start_ and coalesce(back, 1000000)), 3) as seconds, back is null as censored from m"""
 )
 def disturbance_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = samples(spark, sf_dir).withColumn("e", F.col("pv") - F.col("sp"))
-    return events.disturbances(df, KEYS, BY, band=1.0, recovery=2, least_points=2)
+    """Runs of the error beyond its band that no step of the set point explains; a step is tracked for the loop's ideal settling time."""
+    ts, i = F.col("ts"), F.col("loop_id")
+    sp = F.when(ts < F.lit("2024-01-12").cast("timestamp_ntz"), 50.0).when(ts < F.lit("2024-01-20").cast("timestamp_ntz"), 90.0 + i % 7).otherwise(60.0)
+    ideal = F.when(i % 3 != 0, 20_000.0 + i % 5 * 40_000)
+    out = events.disturbances(samples(spark, sf_dir).withColumn("sp", sp), KEYS, BY, ideal, 20_000.0, band=1.2, recovery=2, least_seconds=40_000.0)
+    return out.select("loop_id", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "recovered")), F.round("seconds", 3).alias("seconds"), "censored")
 
 
 @query(

@@ -170,27 +170,26 @@ def tracker_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RISK = {"score": "score", "oscillation": "auto_rate", "saturation": "loop_count * 5.0", "steady": "100 - auto_rate * 2"}
 _RISK_SQL = {
-    "score": "case when {s} < -0.01 then least(35, abs({s}) * 20 * case when {f} <= 60 then 1.5 else greatest(0.5, 100 - {f}) / 40 end) else 0 end",
-    "oscillation": "case when {s} > 0.01 then least(25, abs({s}) * 20 * case when {f} >= 20 then 1.5 else greatest(0.5, {f} / 20) end) else 0 end",
-    "saturation": "case when {s} > 0.01 then least(15, abs({s}) * 20 * case when {f} >= 20 then 1.5 else greatest(0.5, {f} / 20) end) else 0 end",
-    "steady": "case when {s} < -0.01 then least(25, abs({s}) * 20 * case when {f} <= 80 then 1.5 else greatest(0.5, (100 - {f}) / 20) end) else 0 end",
+    "score": "case when {s} < -0.01 then least(35, abs({s}) * 20 * case when {f} < 60 then 1.5 else greatest(0.5, 100 - {f}) / 40 end) else 0 end",
+    "oscillation": "case when {s} > 0.01 then least(25, abs({s}) * 20 * case when {f} > 20 then 1.5 else greatest(0.5, {f} / 20) end) else 0 end",
+    "saturation": "case when {s} > 0.01 then least(15, abs({s}) * 20 * case when {f} > 20 then 1.5 else greatest(0.5, {f} / 20) end) else 0 end",
+    "steady": "case when {s} < -0.01 then least(25, abs({s}) * 20 * case when {f} < 80 then 1.5 else greatest(0.5, (100 - {f}) / 20) end) else 0 end",
 }
 
 
 @query(
     f"with {SNAPSHOTS_SQL}, x as (select loop_id, {', '.join(f'{e} as {n}_' for n, e in _RISK.items())}, row_number() over (partition by loop_id order by ts, snapshot_id) - 1 as i from k), "
-    f"g as (select loop_id, count(*) as n, {', '.join(f'regr_slope({n}_, i) as {n}_s, regr_intercept({n}_, i) as {n}_c' for n in _RISK)} from x group by loop_id having count(*) >= 12 and count(score_) >= 3), "
-    f"r as (select loop_id, {', '.join('coalesce(' + _RISK_SQL[n].format(s=f'{n}_s', f=f'({n}_c + {n}_s * (n - 1 + 24))') + ', 0) as ' + n for n in _RISK)} from g), z as (select *, least(100, score + oscillation + saturation + steady) as risk from r) "
+    f"g as (select loop_id, count(*) as n, {', '.join(f'regr_slope({n}_, i) as {n}_s, last({n}_ order by i) filter (where {n}_ is not null) as {n}_c' for n in _RISK)} from x group by loop_id having count(*) >= 12 and count(score_) >= 3), "
+    f"r as (select loop_id, {', '.join('coalesce(' + _RISK_SQL[n].format(s=f'{n}_s', f=f'{n}_c') + ', 0) as ' + n for n in _RISK)} from g), z as (select *, least(100, score + oscillation + saturation + steady) as risk from r) "
     f"select loop_id, {', '.join(f'round({n}, 4) as {n}' for n in _RISK)}, round(risk, 4) as risk, case when risk >= 60 then 'HIGH' when risk >= 30 then 'MEDIUM' else 'LOW' end as band from z"
 )
 def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four trends' shares of a loop's risk: falling score and steadiness, rising oscillation and saturation."""
     w = Window.partitionBy("loop_id").orderBy("ts", "snapshot_id")
     df = snapshots(spark, sf_dir).select("loop_id", (F.row_number().over(w) - 1).cast("double").alias("i"), *(F.expr(e).cast("double").alias(n) for n, e in _RISK.items()))
-    trends = {f"{n}_{part}": c for n in _RISK for part, c in zip("sc", reports.regression(F.col("i"), F.col(n)), strict=True)}
+    trends = {f"{n}_s": reports.regression(F.col("i"), F.col(n))[0] for n in _RISK} | {f"{n}_c": F.max_by(n, F.when(F.col(n).isNotNull(), F.col("i"))) for n in _RISK}
     g = df.groupBy("loop_id").agg(F.count(F.lit(1)).alias("_n"), F.count("score").alias("_have"), *(c.alias(n) for n, c in trends.items())).where("_n >= 12 and _have >= 3")
-    ahead = F.col("_n") - 1 + 24
-    shares = {n: F.coalesce(reports.contribution(n, F.col(f"{n}_s"), F.col(f"{n}_c") + F.col(f"{n}_s") * ahead), F.lit(0.0)) for n in _RISK}
+    shares = {n: F.coalesce(reports.contribution(n, F.col(f"{n}_s"), F.col(f"{n}_c")), F.lit(0.0)) for n in _RISK}
     g = g.withColumns(shares).withColumn("risk", F.least(F.lit(100.0), F.col("score") + F.col("oscillation") + F.col("saturation") + F.col("steady")))
     band = F.when(F.col("risk") >= 60, "HIGH").when(F.col("risk") >= 30, "MEDIUM").otherwise("LOW")
     return g.select("loop_id", *(F.round(n, 4).alias(n) for n in (*_RISK, "risk")), band.alias("band"))
