@@ -3,12 +3,13 @@
 Every rule carries literal tokens that any URL it fits must contain as whole tokens. The corpus is counted once
 for these tokens, and each rule is filed under its rarest one in a hash table that lies in the plan as one constant: an
 array of buckets of rules. The tokens of a URL open their buckets and fetch the rules filed under them; only these
-candidates run their regular expression. A URL costs its own tokens and candidates, however many rules there
-are. All of it is DataFrame expressions, without a shuffle.
+candidates run their regular expression. The counting pass looks tokens up in a table of the same kind. So a URL costs
+its own tokens and candidates in both passes, however many rules there are. All of it is DataFrame expressions; only
+the counts, one a rule token, are shuffled.
 
 Defined cases: a null URL and a URL without `://` have an empty host and path, fit no rule and get the default
-verdict. Repeated rows are judged alike, an empty table gives an empty result, further columns are kept; columns
-named host, path, rule, verdict in the input are replaced.
+verdict. Repeated rows are judged alike, an empty table gives an empty result, further columns are kept whatever their
+names; columns named host, path, rule, verdict in the input are replaced.
 """
 
 from __future__ import annotations
@@ -56,23 +57,44 @@ def _quoted(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9/])", r"\\\1", text)
 
 
-def split_url(df: DataFrame, url: str = "url") -> DataFrame:
-    """host (A-Z lower-cased), path and _target (host + path + rest) of a URL column."""
+def free(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many underscores before it as make it new."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
+def url_parts(url: str) -> tuple[Column, Column, Column]:
+    """host (A-Z lower-cased), path, and host + path + rest of a URL column."""
     part = lambda i: F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _URL, i)
-    out = df.withColumns({"host": F.translate(part(1), _UPPER, _LOWER), "path": part(2), "_rest": part(3)})
-    return out.withColumn("_target", F.concat("host", "path", "_rest")).drop("_rest")
+    host = F.translate(part(1), _UPPER, _LOWER)
+    return host, part(2), F.concat(host, part(2), part(3))
 
 
-def url_tokens() -> Column:
-    return F.array_distinct(F.regexp_extract_all("_target", F.lit("([A-Za-z0-9]+)"), 1))
+def url_tokens(target: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(target, F.lit("([A-Za-z0-9]+)"), 1))
 
 
-def index_rules(urls: DataFrame, rules: Sequence[UrlRule]) -> dict[str, list[UrlRule]]:
-    """File each rule under its rarest token in the corpus (ties: first in order); "" holds rules without tokens."""
+def token_bucket(token: Column, size: int) -> Column:
+    return (F.crc32(token.cast("binary")) % size).cast("int")
+
+
+def known_tokens(rules: Sequence[UrlRule]) -> tuple[list[list[str]], int]:
+    """The rules' tokens in buckets by CRC-32, and how many buckets."""
     known = sorted({t for r in rules for t in r.tokens})
-    if known:
-        hits = urls.select(F.explode(F.array_intersect(url_tokens(), F.array(*map(F.lit, known)))).alias("token"))
-        counts = {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count("*").alias("n")).collect()}  # one row a rule token at most
+    size = max(1, BUCKETS * len(known))
+    buckets: list[list[str]] = [[] for _ in range(size)]
+    for t in known:
+        buckets[zlib.crc32(t.encode()) % size].append(t)
+    return buckets, size
+
+
+def index_rules(urls: DataFrame, rules: Sequence[UrlRule], target: str) -> dict[str, list[UrlRule]]:
+    """File each rule under its rarest token in the corpus (ties: first in order); "" holds rules without tokens."""
+    buckets, size = known_tokens(rules)
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
+    wanted = F.filter(url_tokens(target), lambda t: F.array_contains(F.get(table, token_bucket(t, size)), t))
+    counts = {r["token"]: r["n"] for r in urls.select(F.explode(wanted).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()} if any(buckets) else {}  # one row a rule token at most
     index: dict[str, list[UrlRule]] = {}
     for r in rules:
         index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else "", []).append(r)
@@ -89,17 +111,20 @@ def index_column(index: dict[str, list[UrlRule]], rules: Sequence[UrlRule]) -> t
     return F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<{', '.join(c.replace(' ', ':') for c in _RULE.split(', '))}>>>"), size
 
 
-def candidates(index: dict[str, list[UrlRule]], rules: Sequence[UrlRule]) -> Column:
-    """The rules that the tokens of _target fetch; those without a token are fetched by every URL."""
+def candidates(index: dict[str, list[UrlRule]], rules: Sequence[UrlRule], target: str) -> Column:
+    """The rules that the tokens of the target fetch; those without a token are fetched by every URL."""
     table, size = index_column(index, rules)
-    fetch = lambda t: F.filter(F.get(table, (F.crc32(t.cast("binary")) % size).cast("int")), lambda r: r["token"] == t)
-    return F.flatten(F.transform(F.array_append(url_tokens(), ""), fetch))
+    fetch = lambda t: F.filter(F.get(table, token_bucket(t, size)), lambda r: r["token"] == t)
+    return F.flatten(F.transform(F.array_append(url_tokens(target), ""), fetch))
 
 
 def filter_urls(df: DataFrame, rules: Sequence[UrlRule], url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule (text of the best fitting rule or null) and verdict (its verdict or the default)."""
-    clean = df.drop("host", "path", "rule", "verdict", "_best", "_target") if url not in ("host", "path", "rule", "verdict") else df
-    urls = split_url(clean, url)
-    fits = F.filter(candidates(index_rules(urls, rules), rules), lambda r: F.rlike("_target", r["pattern"]))
-    out = urls.withColumn("_best", F.array_max(fits))
-    return out.withColumns({"rule": F.col("_best.text"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best", "_target")
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict") or c == url]
+    target, best = free("_target", kept), free("_best", kept)
+    host, path, whole = url_parts(url)
+    urls = df.select(*(F.col(f"`{c}`") for c in kept), host.alias(free("_host", kept)), path.alias(free("_path", kept)), whole.alias(target))
+    fits = F.filter(candidates(index_rules(urls, rules, target), rules, target), lambda r: F.rlike(F.col(target), r["pattern"]))
+    out = urls.withColumn(best, F.array_max(fits))
+    left = [c for c in kept if c.lower() not in ("host", "path", "rule", "verdict")]
+    return out.select(*(F.col(f"`{c}`") for c in left), F.col(free("_host", kept)).alias("host"), F.col(free("_path", kept)).alias("path"), F.col(f"{best}.text").alias("rule"), F.coalesce(F.col(f"{best}.verdict"), F.lit(default)).alias("verdict"))
