@@ -9,9 +9,13 @@ subtrees that hold an article, prose inside an article (paragraphs, headings, li
 passages may be quoted on many pages, and what makes half or more of an article's text; by shape, nothing inside an article
 and nothing that holds paragraphs.
 
-Counts can't tell what a host shows on few pages, so after them elements go that markup itself names as no text (scripts,
-menus, headers, footers, sidebars, forms, adverts, notices, comments). What is left of the article, or of the body
-of pages that have none, is the text: one line a block.
+On a host with enough different pages for counts, what they leave of the whole page (less what no browser shows:
+scripts, styles, the head) is the text, one line a block. Counts can't tell what a host shows on few pages. So beside it
+stands the reading by markup: the article, or the body of pages that have none, without what markup names as no text
+(menus, headers, footers, sidebars, forms, adverts, notices, comments). It is the text of pages of small hosts, and where
+the counts leave something that it does not have; the column `source` says which one a page's text is: counts or markup.
+
+Templates meet their pages by host and one of SALTS shares of its pages, so no task has a large host whole.
 
 Defined cases: a null or empty page has an empty text; rows are judged one by one, repeated ones alike; a null URL
 belongs to the empty host; broken markup is read as far as its tags go; an empty table gives an empty result; columns
@@ -35,6 +39,8 @@ from .common import batches_of, materialize, rows_of
 MIN_PAGES, MIN_SHARE = 10, 0.1
 #: By its shape: from this share of the pages on, if it makes at most this share of their text on average.
 SHAPE_SHARE, SHAPE_TEXT = 0.9, 0.2
+#: Shares of a host's pages that meet its templates apart.
+SALTS = 64
 
 # Element names and name parts of the HTML standard and of common page markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +56,7 @@ NAMES = re.compile(
     re.IGNORECASE,
 )
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|related|teaser|sponsor\w*|ads?)(?:$|[\s_-])", re.IGNORECASE)
+UNSEEN = frozenset("head script style noscript template noembed noframes".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = PROSE - {"tr", "tbody", "thead", "td", "th", "caption", "figcaption"} | frozenset("address article aside div fieldset figure footer form header hr main menu nav section details summary".split())
 SCOPES = frozenset("table ul ol dl div section article main aside nav body td th".split())
@@ -243,9 +250,15 @@ def main_text(html: str | None, template: Iterable[int] = ()) -> str:
     return text_of(parse(html), set(template))
 
 
-def text_of(root: Element, template: set[int]) -> str:
-    gone = lambda e: recurs(e, template) or e.dropped
-    roots = _outermost(root, "article", gone) or _outermost(root, "main", gone) or [root]
+def text_of(root: Element, template: set[int], frame: bool = True) -> str:
+    """One line a block of what templates leave: of the article without what markup names as no text, or, without the frame,
+    of all that a browser shows."""
+    if frame:
+        gone = lambda e: recurs(e, template) or e.dropped
+        roots = _outermost(root, "article", gone) or _outermost(root, "main", gone) or [root]
+    else:
+        gone = lambda e: e.tag in UNSEEN or recurs(e, template)
+        roots = [root]
     blocks: list[str] = []
     for top in roots:
         line: list[str] = []
@@ -267,6 +280,12 @@ def text_of(root: Element, template: set[int]) -> str:
     return "\n".join(t for t in texts if t)
 
 
+def read(root: Element, template: set[int], counted: bool) -> tuple[str, str]:
+    """(text, source): what counts leave on hosts that were counted, unless markup knows more of it to be no text."""
+    by_markup = text_of(root, template)
+    return (by_markup, "counts") if counted and text_of(root, template, frame=False) == by_markup else (by_markup, "markup")
+
+
 def _outermost(root: Element, tag: str, gone) -> list[Element]:
     found, stack = [], [root]
     while stack:
@@ -282,29 +301,33 @@ HOST = r"(?s)^.*?://([^/?#]*)"
 
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(page_id, url, text, n_chars, template_chars, markup_chars) of pages (page_id, url, html).
+    """(page_id, url, text, n_chars, source, template_chars, markup_chars) of pages (page_id, url, html).
 
     The last two: characters deleted as counted template, and by their markup's names alone."""
-    pages = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
+    pages = pages.select("page_id", "url", "html", host.alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
     templates = materialize(site_templates(pages, min_pages, min_share), "templates")
     by_host = templates.groupBy("host").agg(F.collect_set("hash").alias("template"))  # at most 1 / min_share times the elements of a page
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("template_chars", pa.int64()), ("markup_chars", pa.int64())])
+    by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("source", pa.string()), ("template_chars", pa.int64()), ("markup_chars", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read() -> Iterator[tuple]:
+        def judged() -> Iterator[tuple]:
             for page_id, url, html, found in rows_of(batches):
                 root, template = parse(html or ""), set(found or ())
-                yield page_id, url, text_of(root, template), *removed(root, template)
+                yield page_id, url, *read(root, template, found is not None), *removed(root, template)
 
-        yield from batches_of(read(), schema, 500)
+        yield from batches_of(judged(), schema, 500)
 
-    joined = pages.join(by_host, "host", "left").select("page_id", "url", "html", "template")
-    out = joined.mapInArrow(run, "page_id long, url string, text string, template_chars long, markup_chars long")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_chars", "markup_chars")
+    joined = pages.join(by_host, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    out = joined.mapInArrow(run, "page_id long, url string, text string, source string, template_chars long, markup_chars long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "source", "template_chars", "markup_chars")
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur, as they stand or by shape, on many different pages of their host."""
+    """(host, hash) of the subtrees that recur, as they stand or by shape, on many different pages of their host.
+
+    A host with enough pages for counts but without any such subtree has one row, whose hash is null."""
     schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("shape", pa.bool_()), ("page", pa.int64()), ("share", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,4 +352,5 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     counts = materialize(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtrees")
     of_host = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     often = F.when(F.col("shape"), (F.col("n") >= F.col("pages") * SHAPE_SHARE) & (F.col("share") <= SHAPE_TEXT)).otherwise(F.col("n") >= F.col("pages") * min_share)
-    return counts.where("hash is not null").join(of_host, "host").where(often).select("host", "hash").distinct()
+    found = counts.where("hash is not null").join(of_host, "host").where(often).select("host", "hash").distinct()
+    return found.unionByName(of_host.where(F.col("pages") >= min_pages).select("host", F.lit(None).cast("long").alias("hash")))

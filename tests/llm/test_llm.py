@@ -105,10 +105,11 @@ URLS = [None, "", "no scheme/en/", "http://EXAMPLE.com/en/x", "http://www.exampl
 
 def test_urls_fetch_only_rules_of_their_tokens(spark):
     rules = [url_filter.host_path_rule("block", f"site{i}.com", f"/p{i % 7}/") for i in range(2000)] + [url_filter.pattern_rule("block", "x{40}", [])]
-    urls = url_filter.split_url(spark.createDataFrame([(f"http://a.site{i}.com/p{i % 5}/",) for i in range(30)] + [("http://" + "long/" * 30_000 + "site3.com",)], "url string"))
-    index = url_filter.index_rules(urls, rules)
+    urls = spark.createDataFrame([(f"http://a.site{i}.com/p{i % 5}/",) for i in range(30)] + [("http://" + "long/" * 30_000 + "site3.com",)], "url string")
+    urls = urls.withColumn("_target", url_filter.url_parts("url")[2])
+    index = url_filter.index_rules(urls, rules, "_target")
     assert {t for t, part in index.items() for r in part} >= {"site3", ""} and len(index) > 1000
-    for r in urls.withColumn("c", url_filter.candidates(index, rules)).collect():
+    for r in urls.withColumn("c", url_filter.candidates(index, rules, "_target")).collect():
         tokens = {*re.findall("[A-Za-z0-9]+", r["_target"]), ""}
         assert sorted(c["text"] for c in r["c"]) == sorted(x.text for t in tokens for x in index.get(t, []))
         assert len(r["c"]) <= 2
@@ -117,6 +118,27 @@ def test_urls_fetch_only_rules_of_their_tokens(spark):
     assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_urls_are_counted_through_buckets(spark):
+    """What a URL's token is compared with does not grow with the rules, and the rarest token is the one brute force counts."""
+    for n in (10, 1000, 4000):
+        rules = [url_filter.host_path_rule("block", f"site{i}.com", f"/p{i % 7}/") for i in range(n)]
+        buckets, size = url_filter.known_tokens(rules)
+        assert sum(map(len, buckets)) == len({t for r in rules for t in r.tokens}) and max(map(len, buckets)) <= 7 and size == len(buckets)
+    texts = [f"http://a.site{i % 9}.com/p{i % 5}/com" for i in range(60)]
+    urls = spark.createDataFrame([(t,) for t in texts], "url string").withColumn("t", url_filter.url_parts("url")[2])
+    index = url_filter.index_rules(urls, rules[:40], "t")
+    count = lambda t: sum(t in re.findall("[A-Za-z0-9]+", u.split("://")[1]) for u in texts)
+    for token, part in index.items():
+        assert all(token == min(r.tokens, key=lambda t: (count(t), t)) for r in part)
+
+
+def test_urls_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([("http://a.com/x", 1, 2, 3, 4, "h")], "url string, _target int, _best int, _rest int, `a.b` int, Host string")
+    got = url_filter.filter_urls(df, queries.URL_RULES)
+    assert got.columns == ["url", "_target", "_best", "_rest", "a.b", "host", "path", "rule", "verdict"]
+    assert tuple(got.first()) == ("http://a.com/x", 1, 2, 3, 4, "a.com", "/x", "com/", "allow")
+
+
 def test_urls_one_by_one(spark):
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate([*URLS, URLS[3]])], "page_id int, url string, host string")
     got = url_filter.filter_urls(df, queries.URL_RULES + queries.PAGE_PATTERNS).orderBy("page_id").collect()
@@ -633,6 +655,46 @@ def test_counts_carry_the_text_of_nameless_markup(spark):
         assert "Same box" in text and f"Seen {i} times" in text and text.startswith("Go 0")
 
 
+def test_counts_carry_the_given_pages(spark, sf):
+    """Without the frame and names: counted templates leave the contract's text on nearly all pages of hosts with enough pages."""
+    path = sf.replace("0.001", "0.1")
+    df = spark.read.parquet(f"{path}/pages.parquet").withColumn("host", F.lower(F.regexp_extract("url", pages.HOST, 1)))
+    hosts = collections.defaultdict(set)
+    for host, hash_ in rows(pages.site_templates(df).select("host", "hash")):
+        hosts[host].add(hash_)
+    some = [r for r in df.where(F.col("host").isin(*hosts)).select("host", "html").limit(400).collect()]
+    same = bare = 0
+    for host, source in some:
+        root, inside = pages.parse(source), re.search(r"<article>(.*)</article>", source, re.DOTALL)[1]
+        want = pages.text_of(pages.parse(inside), set())
+        same += pages.text_of(root, hosts[host], frame=False) == want
+        bare += pages.text_of(root, set(), frame=False) == want
+        assert pages.text_of(root, hosts[host]) == want
+    assert len(some) > 100 and same >= 0.95 * len(some) and bare < 0.05 * len(some)
+
+
+def test_hashes_are_counted_by_host(spark):
+    """Counts of subtrees against a plain count over different pages."""
+    rows_ = [(i, f"http://h{i % 2}.org/", f"<body><div>Box {i % 3 if i % 2 else 0}</div><ul><li>L</ul><p>Page {i}</p></body>") for i in range(60)]
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", pages.HOST, 1))
+    got = set(map(tuple, rows(pages.site_templates(df, min_pages=5, min_share=0.5).select("host", "hash").where("hash is not null"))))
+    seen, total, shapes = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for i, url, source in rows_:
+        root, host = pages.parse(source), url[7:-1]
+        total[host] += 1
+        found = [e for e in pages.elements(root) if pages.candidate(e)]
+        seen.update({(host, e.hash) for e in found})
+        shaped = collections.defaultdict(float)
+        for e in found:
+            if pages.shaped(e):
+                shaped[e.shape] += e.shown / root.shown
+        for k, v in shaped.items():
+            shapes[host, k].append(v)
+    want = {(h, pages.signed(k)) for (h, k), n in seen.items() if n >= max(5, 0.5 * total[h])}
+    want |= {(h, pages.signed(k)) for (h, k), v in shapes.items() if len(v) >= max(5, 0.9 * total[h]) and sum(v) / len(v) <= 0.2}
+    assert got == want and len(want) >= 3
+
+
 def test_text_changes_with_the_templates(spark):
     html = WRAPPED.format(n=3, i=4)
     root = pages.parse(html)
