@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.segments import upsert
@@ -81,26 +81,69 @@ def alert_steps(rows: list[tuple[float, str, bool]], known: dict, cool_down: flo
     return out
 
 
-def alerts(evaluations: DataFrame, cool_down: float = 3600, debounce: float = 0, throttle: float = 5, escalate_after: int = 3, forget_days: int = 7) -> DataFrame:
+ALERT = "loop_id long, rule_id string, ts timestamp, repeats int, escalated boolean"
+
+
+class AlertState(StatefulProcessor):
+    """A loop's state: a value (when it was last evaluated) and a map (of each rule first hit, last alert, repeats), so a
+    batch reads and writes the rules it has rows of. An event-time timer forgets a loop that has had no row for a time."""
+
+    def __init__(self, cool_down: float, debounce: float, throttle: float, escalate_after: int, forget: float) -> None:
+        self.limits, self.escalate_after, self.forget = (cool_down, debounce, throttle), escalate_after, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "at double")
+        self.rules = handle.getMapState("rules", "rule_id string", "first double, last double, repeats int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = evaluations_of(rows)
+        asked = {rule for _, rule, _ in found}
+        before = {rule: tuple(self.rules.getValue((rule,))) for rule in asked if self.rules.containsKey((rule,))}
+        known = {"open": self.open.get()[0] if self.open.exists() else None, "rules": dict(before)}
+        fired = alert_steps(found, known, *self.limits)
+        for rule, state in known["rules"].items():
+            if state != before.get(rule):
+                self.rules.updateValue((rule,), state)
+        if known["open"] is not None:
+            self.open.update((known["open"],))
+        if found:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int((max(at for at, _, _ in found) + self.forget) * 1000))
+        yield alert_rows(key[0], fired, self.escalate_after)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.open.clear()
+        self.rules.clear()
+        yield alert_rows(key[0], [], self.escalate_after)
+
+    def close(self) -> None:
+        pass
+
+
+def evaluations_of(parts: Iterable[pd.DataFrame]) -> list[tuple[float, str, bool]]:
+    return sorted((t.timestamp(), rule, bool(hit)) for part in parts for t, rule, hit in zip(part["ts"], part["rule_id"], part["hit"], strict=True))
+
+
+def alert_rows(loop, fired: list[tuple[float, str, int]], escalate_after: int) -> pd.DataFrame:
+    return pd.DataFrame([(loop, rule, pd.Timestamp(at, unit="s"), n, n >= escalate_after) for at, rule, n in fired], columns=["loop_id", "rule_id", "ts", "repeats", "escalated"])
+
+
+def alerts(evaluations: DataFrame, cool_down: float = 3600, debounce: float = 0, throttle: float = 5, escalate_after: int = 3, forget_days: int = 7, late: str = "10 minutes") -> DataFrame:
     """Evaluations (loop_id, rule_id, ts, hit) → alerts (loop_id, rule_id, ts, repeats, escalated).
 
-    State by loop: the last evaluation, and of each rule first hit, last alert and repeats; loops without rows for
-    forget_days of processing time lose it."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["loop_id", "rule_id", "ts", "repeats", "escalated"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        known = json.loads(state.get[0]) if state.exists else {"rules": {}}
-        rows = sorted((t.timestamp(), rule, bool(hit)) for part in parts for t, rule, hit in zip(part["ts"], part["rule_id"], part["hit"], strict=True))
-        found = alert_steps(rows, known, cool_down, debounce, throttle)
-        state.update((json.dumps(known),))
-        state.setTimeoutDuration(forget_days * 86_400_000)
-        yield pd.DataFrame([(key[0], rule, pd.Timestamp(at, unit="s"), n, n >= escalate_after) for at, rule, n in found], columns=columns)
-
-    return evaluations.groupBy("loop_id").applyInPandasWithState(run, "loop_id long, rule_id string, ts timestamp, repeats int, escalated boolean", "known string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    A stream keeps its state in RocksDB (the session's spark.sql.streaming.stateStore.providerClass names that provider),
+    takes rows up to `late` behind the newest, and forgets a loop forget_days of event time after its last row. A table is
+    folded a loop and group of evaluations at a time: it serves windows, whose evaluations of one loop fit a task."""
+    if evaluations.isStreaming:
+        state = AlertState(cool_down, debounce, throttle, escalate_after, forget_days * 86_400.0)
+        return evaluations.withWatermark("ts", late).groupBy("loop_id").transformWithStateInPandas(statefulProcessor=state, outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return alert_rows(key[0], alert_steps(evaluations_of([part]), {"rules": {}}, cool_down, debounce, throttle), escalate_after)
+
+    return evaluations.groupBy("loop_id").applyInPandas(run, ALERT)
 
 
 def live_rows(messages: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,7 +86,7 @@ def test_process_of_a_loop_that_moves_late(spark, moved_late):
     assert moved["gain"] == pytest.approx(2, rel=0.15) and moved["tau"] == pytest.approx(15, rel=0.25) and moved["grade"] in "ABC"
 
 
-@pytest.mark.parametrize("name", ["noise_and_oscillation", "settling_times", "stiction_index", "bias_shifts", "downsampled_waveform", "diagnosis_findings"])
+@pytest.mark.parametrize("name", ["noise_and_oscillation", "settling_times", "stiction_index", "bias_shifts", "diagnosis_findings"])
 def test_kernels_see_bounded_segments(spark, moved_late, name):
     assert {r["segment"] for r in entry.queries()[name](spark, moved_late).collect()} == {0, 1}
 
@@ -216,12 +216,6 @@ def test_last_known_merge(spark, tmp_path):
     assert sorted((r["loop_id"], r["ts"], r["sp"]) for r in rows if r["loop_id"] == 1) == [(1, at(0), 5.0), (1, at(1), 5.0)]
 
 
-def test_alert_state(spark, tmp_path):
-    hits = spark.createDataFrame([(1, "r", at(s), True) for s in (0, 10, 100, 4000, 8000)], "loop_id long, rule_id string, ts timestamp, hit boolean")
-    rows = run_stream(spark, hits, tmp_path, lambda s: stream.alerts(s, 3600, 5), "fired")
-    assert [(r["ts"], r["repeats"], r["escalated"]) for r in sorted(rows, key=lambda r: r["ts"])] == [(at(10), 1, False), (at(4000), 2, False), (at(8000), 3, True)]
-
-
 def test_alert_steps_by_hand():
     step = lambda rows, **kw: [(int(t), r, n) for t, r, n in stream.alert_steps(rows, {"rules": {}}, **{"cool_down": 100, "debounce": 0, "throttle": 5, **kw})]
     assert step([(0, "a", True), (0, "b", True), (3, "a", True), (6, "c", True)]) == [(0, "a", 1), (0, "b", 1), (6, "c", 1)]  # the throttle is the loop's
