@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import folds, kernels, moments, sensors
 from .segments import seconds
 
 # Causes, and the causes that each makes doubtful.
@@ -18,18 +18,15 @@ FINDINGS = "operator string, detected boolean, confidence double, value double"
 
 
 def findings(window: pd.DataFrame, interval: float = 1.0, span: float = 100.0, loop_type: str = "OTHER") -> list[tuple[str, bool, float, float | None]]:
-    """All kernels on one window of one loop, ordered in time: (operator, detected, confidence, value)."""
-    pv, sp, op, mode = (kernels.filled(window[c].to_numpy(float)) for c in ("pv", "sp", "op", "mode"))
-    e, moves = pv - sp, np.diff(op)
+    """What needs a spectrum, a lag search or the shape of a response, on one window of one loop, ordered in time."""
+    pv, sp, op = (kernels.filled(window[c].to_numpy(float)) for c in ("pv", "sp", "op"))
+    moves = np.diff(op)
     out: list[tuple[str, bool, float, float | None]] = []
     found, frequency, _, index = kernels.spectrum_oscillation(pv, interval)
     out.append(("oscillation_fft", found, min(1.0, index * 1.5) if found else 0.0, frequency))
-    crossings, half, above, below = kernels.half_cycles(e)
-    alike = min(above, below) if crossings >= 4 and above is not None and below is not None else 0.0
-    swings = alike >= 0.4 and half >= 8
-    out.append(("oscillation_iae", swings, min(1.0, 1.5 * alike) if swings else 0.0, 2 * half * interval if alike else 0.0))
-    minor = kernels.ellipse(op, pv, interval) if kernels.limit_cycle(pv) else 0.0
-    out.append(("stiction_ellipse", bool(minor is not None and minor >= 15), min(1.0, (minor or 0) / 50), minor))
+    outcome, minor, fit = kernels.stiction_fit(op, pv, interval)
+    stuck = outcome == "CYCLE" and fit >= 0.5 and minor > 30
+    out.append(("stiction_ellipse", bool(stuck), min(1.0, (fit + minor / 100) / 2) if stuck else 0.0, minor))
     shape, pairs = kernels.gaussianity(moves), kernels.bicoherence(op)
     stuck = shape > 1 and pairs > 0.01
     out.append(("stiction_higher_order", bool(stuck), min(1.0, pairs * 10) if stuck else 0.0, pairs))
@@ -37,21 +34,12 @@ def findings(window: pd.DataFrame, interval: float = 1.0, span: float = 100.0, l
     stiff = [abs(op[b] - op[a]) < 0.05 * span and abs(pv[b] - pv[a]) > 0.2 * span for a, b in runs]
     share = float(np.mean(stiff)) if stiff else 0.0
     out.append(("stiction_statistical", share > 0.6, share if share > 0.6 else 0.0, share))
-    still = float(np.mean(np.abs(np.diff(pv)) < 1e-9)) if len(pv) > 1 else 0.0
-    fifth = [p.mean() for p in np.array_split(pv, 5)] if len(pv) >= 25 else []
-    drift = len(fifth) == 5 and (np.diff(fifth) > 0).all() | (np.diff(fifth) < 0).all() and abs(fifth[-1] - fifth[0]) > 2 * pv.std() and np.ptp(sp) == 0
-    out.append(("sensor", bool(still > 0.2 or drift), 0.9 if still > 0.2 else 0.6 if drift else 0.0, still))
-    saturated = float(np.mean((mode > 0) & ((op >= 98) | (op <= 2)))) if len(op) else 0.0
-    out.append(("saturation", saturated > 0.2, min(1.0, saturated) if saturated > 0.2 else 0.0, saturated))
     steps = kernels.step_response(pv, sp, span)
     worst = max(steps, default=(0.0, 0.0, 0.0))
     poor = sum((worst[0] > 0.25, worst[1] > 0.25, worst[2] > 0.05)) >= 2
     out.append(("overshoot", bool(poor), min(1.0, worst[0]) if poor else 0.0, worst[0]))
     slow, sure, tau = kernels.slow_response(np.arange(len(pv)) * interval, pv, sp, loop_type)
     out.append(("slow", slow, sure, tau))
-    shifts = kernels.bias_shifts(e)
-    rate = len(shifts) / max(len(e) * interval / 3600, 1e-9)
-    out.append(("bias_shift", rate >= 5, min(0.95, rate / 20) if rate >= 5 else 0.0, float(len(shifts))))
     return out
 
 
@@ -63,8 +51,27 @@ def _monotone(x: np.ndarray, least: int = 3) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b - a >= least and sign[a] != 0]
 
 
-def run_kernels(df: DataFrame, keys: list[str], by: list[str], interval: float = 1.0, span: float = 100.0) -> DataFrame:
-    """(keys, operator, detected, confidence, value); the keys bound a group in time, such as loop and hour."""
+def swinging(df: DataFrame, keys: list[str], by: list[str], interval: float = 1.0, threshold: float = 0.4, least_half: float = 8) -> DataFrame:
+    """oscillation_iae: half cycles of the error of like areas, long enough."""
+    made = moments.edges(df.withColumn("_e", F.col("pv") - F.col("sp")), "_e", keys, by).groupBy(*keys).agg(moments.edge_list().alias("edges"))
+    out = moments.swings(made, threshold)
+    alike = F.when(F.col("crossings") >= 4, F.coalesce(F.least("s_a", "s_b"), F.lit(0.0))).otherwise(0.0)
+    found = F.coalesce(F.col("is_oscillating") & (F.col("half_cycle") >= least_half), F.lit(False))
+    return out.select(*keys, F.lit("oscillation_iae").alias("operator"), found.alias("detected"), F.when(found, F.least(F.lit(1.0), 1.5 * alike)).otherwise(0.0).alias("confidence"), F.when(alike > 0, 2 * F.col("half_cycle") * interval).otherwise(0.0).alias("value"))
+
+
+def saturated(df: DataFrame, keys: list[str], margin: float = 2.0, least: float = 0.2) -> DataFrame:
+    """saturation: the share of samples in automatic whose output is at a limit."""
+    share = F.avg(F.coalesce((F.col("mode") > 0) & ((F.col("op") >= 100 - margin) | (F.col("op") <= margin)), F.lit(False)).cast("double"))
+    out = df.groupBy(*keys).agg(share.alias("value"))
+    found = F.col("value") > least
+    return out.select(*keys, F.lit("saturation").alias("operator"), found.alias("detected"), F.when(found, F.col("value")).otherwise(0.0).alias("confidence"), "value")
+
+
+def run_operators(df: DataFrame, keys: list[str], by: list[str], interval: float = 1.0, span: float = 100.0) -> DataFrame:
+    """(keys, operator, detected, confidence, value); the keys bound a group in time, such as loop and hour.
+
+    Half cycles, saturation, sensor faults and level shifts are windows, groupings and folds in Spark; findings() sees the rest."""
     types = dict(df.dtypes)
 
     def run(key: tuple, window: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +79,10 @@ def run_kernels(df: DataFrame, keys: list[str], by: list[str], interval: float =
         return pd.DataFrame([(*key, *r) for r in rows], columns=[*keys, "operator", "detected", "confidence", "value"])
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + FINDINGS
-    return df.select(*keys, *by, "pv", "sp", "op", "mode").groupBy(*keys).applyInPandas(run, schema)
+    shaped = df.select(*keys, *by, "pv", "sp", "op").groupBy(*keys).applyInPandas(run, schema)
+    faults = sensors.sensor_faults(df, "pv", "sp", keys, by).select(*keys, F.lit("sensor").alias("operator"), F.col("subtype").isNotNull().alias("detected"), "confidence", F.col("frozen_share").alias("value"))
+    shifts = folds.bias_shifts(df.withColumn("_e", F.col("pv") - F.col("sp")), "_e", keys, by).select(*keys, F.lit("bias_shift").alias("operator"), "detected", "confidence", F.col("shift_count").cast("double").alias("value"))
+    return shaped.unionByName(swinging(df, keys, by, interval)).unionByName(saturated(df, keys)).unionByName(faults).unionByName(shifts)
 
 
 def gate(df: DataFrame, keys: list[str], expected: Column, least: int = 32) -> DataFrame:

@@ -252,18 +252,18 @@ def subtree_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).join(pairs, "unit_id").groupBy("root", "loop_type").agg(F.count(F.lit(1)).alias("loops"))
 
 
-_ITEMS = f"with {WORK_SQL}, q as (select loop_id, min(case state when 'OPEN' then 0 when 'ACKNOWLEDGED' then 1 when 'IN_PROGRESS' then 2 else 3 end) as stage, max(started) as newest, count(*) as items, array_to_string(list_sort(list(order_id || '-' || line || '-' || l_partkey)), ' ') as listed from w where state in ('OPEN', 'ACKNOWLEDGED', 'IN_PROGRESS') and action = 'R' group by 1)"
+_ITEMS = f"with {WORK_SQL}, q as (select loop_id, min(case state when 'OPEN' then 0 when 'ACKNOWLEDGED' then 1 when 'IN_PROGRESS' then 2 else 3 end) as stage, max(started) as newest, count(*) as items, array_to_string(list_sort(list(order_id || '-' || line || '-' || l_partkey)), ' ') as listed from w where state in ('OPEN', 'ACKNOWLEDGED', 'IN_PROGRESS') group by 1)"
 
 
 @query(_ITEMS + " select loop_id, stage::int as stage, newest, items, listed, (select count(*) from q) > 20 as truncated from q order by stage, newest desc, loop_id limit 10 offset 10")
 def attention_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of ten loops of the queue, each with its items, and whether more than twenty loops wait."""
-    df = orders_of_work(spark, sf_dir).where("state in ('OPEN', 'ACKNOWLEDGED', 'IN_PROGRESS') and action = 'R'")
+    df = orders_of_work(spark, sf_dir).where("state in ('OPEN', 'ACKNOWLEDGED', 'IN_PROGRESS')")
     stage = F.when(F.col("state") == "OPEN", 0).when(F.col("state") == "ACKNOWLEDGED", 1).otherwise(2)
     item = F.concat_ws("-", "order_id", "line", "l_partkey")
     queue = df.groupBy("loop_id").agg(F.min(stage).alias("stage"), F.max("started").alias("newest"), F.count(F.lit(1)).alias("items"), F.array_join(F.array_sort(F.collect_list(item)), " ").alias("listed"))
-    truncated = queue.select("loop_id").limit(21).count() > 20
-    return queue.orderBy("stage", F.desc("newest"), "loop_id").offset(10).limit(10).withColumn("truncated", F.lit(truncated))
+    truncated = queue.agg((F.count(F.lit(1)) > 20).alias("more")).scalar()
+    return queue.orderBy("stage", F.desc("newest"), "loop_id").offset(10).limit(10).withColumn("truncated", truncated)
 
 
 @query(f"with {WORK_SQL}, g as (select loop_id, count(*) as orders, count_if(state = 'CLOSED') as closed, round(avg(delta), 6) as delta from w group by 1) select row_number() over (order by orders desc, loop_id) as place, loop_id, orders, closed, delta from g order by place limit 10")

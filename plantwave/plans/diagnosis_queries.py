@@ -17,6 +17,8 @@ from ..streaming import samples as stream
 
 #: Samples of one loop that a kernel sees at most.
 SEGMENT = 3600
+#: Samples of one waveform at most: a day of seconds.
+WAVEFORM = 86_400
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,7 +53,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diagnosis_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = segments.bounded(windows(spark, sf_dir), ["loop_id"], ["ts", "event_id"], SEGMENT)
-    out = diagnosis.run_kernels(df, ["loop_id", "segment"], ["ts", "event_id"])
+    out = diagnosis.run_operators(df, ["loop_id", "segment"], ["ts", "event_id"])
     return out.withColumns({c: F.round(c, 6) for c in ("confidence", "value")})
 
 
@@ -63,7 +65,7 @@ def diagnosis_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = outliers.detect(df, "pv", keys, ["ts", "event_id"], 0, 100, "FC", "quality")
     gate = diagnosis.gate(checked, keys, diagnosis.expected_points("ts", 43_200), 20)
     auto = df.groupBy(*keys).agg(F.avg((F.col("mode") > 0).cast("double")).alias("auto_rate"), (F.count("op") > 0).alias("linked"))
-    families = diagnosis.fuse_families(diagnosis.run_kernels(df, keys, ["ts", "event_id"]), keys)
+    families = diagnosis.fuse_families(diagnosis.run_operators(df, keys, ["ts", "event_id"]), keys)
     out = diagnosis.classify(families, gate.join(auto, keys), keys)
     return out.withColumns({"severity": diagnosis.severity(F.lit(50.0), F.col("confidence"), F.col("primary")), "confidence": F.round("confidence", 6), "secondary": F.array_join("secondary", ","), "pending": F.array_join("pending", ",")})
 
@@ -151,27 +153,27 @@ def _triangles_sql(series: list[str]) -> str:
     scale = lambda v: f"case when list_max({v}) > list_min({v}) then list_max({v}) - list_min({v}) else 1 end" if len(series) > 1 else "1.0"
     names = [f"y{i}" for i in range(len(series))]
     area = [f"abs((x[last + 1] - mx) * ({y}[j + 1] - {y}[last + 1]) - (x[last + 1] - x[j + 1]) * (m{y} - {y}[last + 1])) * 0.5 / u{y}" for y in names]
-    return f"""with recursive {SAMPLES_SQL}, n as (select loop_id, list(event_id order by ts, event_id) as ids, list(epoch(ts) order by ts, event_id) as x, {', '.join(f'list(coalesce({c}, 0) order by ts, event_id) as {y}' for c, y in zip(series, names, strict=True))}, count(*) as n from s group by 1),
+    return f"""with recursive {SAMPLES_SQL}, w as (select *, row_number() over (partition by loop_id order by ts, event_id) as i, count(*) over (partition by loop_id) as c from s), n as (select loop_id, (i - 1) * ((c + {WAVEFORM - 1}) // {WAVEFORM}) // c as segment, list(event_id order by ts, event_id) as ids, list(epoch(ts) order by ts, event_id) as x, {', '.join(f'list(coalesce({c}, 0) order by ts, event_id) as {y}' for c, y in zip(series, names, strict=True))}, count(*) as n from w group by 1, 2),
  b as (select *, (n - 2) / 18.0 as size, {', '.join(f'{scale(y)} as u{y}' for y in names)} from n),
- t as (select 0 as i, loop_id, 0::bigint as last from b where n > 20 union all
-  select i + 1, loop_id, case when stop > begin then begin + list_position(areas, list_max(areas)) - 1 else begin end from (select *, list_transform(range(begin, stop), lambda j: {'greatest(' + ', '.join(area) + ')' if len(area) > 1 else area[0]}) as areas from (select *, coalesce(list_avg(x[stop + 1:after]), 0) as mx, {', '.join(f'coalesce(list_avg({y}[stop + 1:after]), 0) as m{y}' for y in names)}
-   from (select b.*, t.i, t.last, floor((t.i + 1) * size)::bigint + 1 as begin, least(floor((t.i + 2) * size)::bigint + 1, n) as stop, least(floor((t.i + 3) * size)::bigint + 1, n) as after from t join b on b.loop_id = t.loop_id where t.i < 18)))),
- k as (select loop_id, i as place, last from t union all select loop_id, 19, n - 1 from b where n > 20 union all select loop_id, j, j from (select loop_id, unnest(range(n)) as j from b where n <= 20))
- select k.loop_id, k.place::int as place, ids[k.last + 1] as event_id from k join b on b.loop_id = k.loop_id"""
+ t as (select 0 as i, loop_id, segment, 0::bigint as last from b where n > 20 union all
+  select i + 1, loop_id, segment, case when stop > begin then begin + list_position(areas, list_max(areas)) - 1 else begin end from (select *, list_transform(range(begin, stop), lambda j: {'greatest(' + ', '.join(area) + ')' if len(area) > 1 else area[0]}) as areas from (select *, coalesce(list_avg(x[stop + 1:after]), 0) as mx, {', '.join(f'coalesce(list_avg({y}[stop + 1:after]), 0) as m{y}' for y in names)}
+   from (select b.*, t.i, t.last, floor((t.i + 1) * size)::bigint + 1 as begin, least(floor((t.i + 2) * size)::bigint + 1, n) as stop, least(floor((t.i + 3) * size)::bigint + 1, n) as after from t join b on b.loop_id = t.loop_id and b.segment = t.segment where t.i < 18)))),
+ k as (select loop_id, segment, i as place, last from t union all select loop_id, segment, 19, n - 1 from b where n > 20 union all select loop_id, segment, j, j from (select loop_id, segment, unnest(range(n)) as j from b where n <= 20))
+ select k.loop_id, k.segment, k.place::int as place, ids[k.last + 1] as event_id from k join b on b.loop_id = k.loop_id and b.segment = k.segment"""
 
 
 @query(_triangles_sql(["pv"]))
 def downsampled_waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty samples of each loop's waveform, by largest triangles."""
-    out = folds.largest_triangles(samples(spark, sf_dir), "pv", ["loop_id"], ["ts", "event_id"], [], threshold=20, target=20)
-    return out.select("loop_id", "place", "event_id")
+    df = segments.bounded(samples(spark, sf_dir), ["loop_id"], ["ts", "event_id"], WAVEFORM)
+    return folds.largest_triangles(df, "pv", ["loop_id", "segment"], ["ts", "event_id"], [], threshold=20, target=20).select("loop_id", "segment", "place", "event_id")
 
 
 @query(_triangles_sql(["pv", "op"]))
 def downsampled_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty samples for process value and output on one axis, each scaled to its spread."""
-    out = folds.largest_triangles(samples(spark, sf_dir), ["pv", "op"], ["loop_id"], ["ts", "event_id"], [], threshold=20, target=20)
-    return out.select("loop_id", "place", "event_id")
+    df = segments.bounded(samples(spark, sf_dir), ["loop_id"], ["ts", "event_id"], WAVEFORM)
+    return folds.largest_triangles(df, ["pv", "op"], ["loop_id", "segment"], ["ts", "event_id"], [], threshold=20, target=20).select("loop_id", "segment", "place", "event_id")
 
 
 _GRID_SQL = f"""with {SAMPLES_SQL}, t as (select loop_id, event_id, epoch(ts) as t, ts, pv / 500 * 100 as pv, mode::double as mode from s),

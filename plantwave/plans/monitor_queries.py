@@ -262,7 +262,7 @@ def stability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FAMILIES = ("oscillation", "stiction", "sensor", "saturation", "overshoot", "slow", "bias_shift")
-_CAUSES_SQL = f"""with f as (select l_suppkey as loop_id, {list(_FAMILIES)}[(l_partkey % 7)::int + 1] as family, max(l_discount * 10) as c, count(*) as hits from lineitem where l_discount >= 0.08 and l_tax >= 0.07 group by 1, 2),
+_CAUSES_SQL = f"""with f as (select l_suppkey as loop_id, {list(_FAMILIES)}[(l_partkey % 7)::int + 1] as family, max(l_discount * 10) filter (where l_discount >= 0.08 and l_tax >= 0.07) as c, count_if(l_discount >= 0.08 and l_tax >= 0.07) as hits from lineitem group by 1, 2 having count_if(l_discount >= 0.08 and l_tax >= 0.07) > 0),
  p as (select loop_id, {', '.join(f"max(case when family = '{x}' then c end) as {x}, max(case when family = '{x}' then hits end) as {x}_n" for x in _FAMILIES)} from f group by 1),
  w as (select loop_id, loop_id % 10 <> 0 as passed, loop_id % 7 <> 0 as linked, (loop_id % 100) / 100.0 as auto from (select s_suppkey as loop_id from supplier)),
  j as (select w.*, p.* exclude (loop_id) from w left join p using (loop_id)),
@@ -278,8 +278,9 @@ _CAUSES_SQL = f"""with f as (select l_suppkey as loop_id, {list(_FAMILIES)}[(l_p
 @query(_CAUSES_SQL)
 def cause_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered table of causes over findings of every kind, with windows that fail the gate and loops that are not linked."""
-    lines = table(spark, sf_dir, "lineitem").where("l_discount >= 0.08 and l_tax >= 0.07")  # where an operator found something
-    found = lines.groupBy(F.col("l_suppkey").alias("loop_id"), F.element_at(F.array(*map(F.lit, _FAMILIES)), (F.col("l_partkey") % 7).cast("int") + 1).alias("family")).agg(F.max(F.col("l_discount") * 10).alias("confidence"), F.count(F.lit(1)).alias("hits"))
+    hit = (F.col("l_discount") >= 0.08) & (F.col("l_tax") >= 0.07)  # where an operator found something
+    family = F.element_at(F.array(*map(F.lit, _FAMILIES)), (F.col("l_partkey") % 7).cast("int") + 1)
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("loop_id"), family.alias("family")).agg(F.max(F.when(hit, F.col("l_discount") * 10)).alias("confidence"), F.count_if(hit).alias("hits")).where("hits > 0")
     i = F.col("loop_id")
     windows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("loop_id")).select("loop_id", (i % 10 != 0).alias("passed"), (i % 7 != 0).alias("linked"), ((i % 100) / 100.0).alias("auto_rate"))
     out = diagnosis.classify(found, windows, KEYS)
