@@ -76,30 +76,54 @@ def by_key(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame
     return rows.join(F.broadcast(heavy), key).unionByName(rows.join(light, key))
 
 
-def postings(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(value, row, n, at, doc_id): the prefixes of the sketches of reps, where other documents have the value too."""
+def prefixes(reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(row, n, doc_id, prefix): of each sketch's prefix the values that other documents have too, rare ones first."""
     values = reps.select("row", F.explode("sketch").alias("value"))
     often = materialize(values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "often")
     shared = by_key(values, often, "value", "c").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("shared"))  # k at most
     sizes = F.array(*map(F.lit, prefix_sizes(k, num, den)))
     left = F.get(sizes, F.least(F.col("n"), F.lit(k))) - (F.size("sketch") - F.size("shared"))  # values of one document are the rarest
     both = reps.join(shared, "row").select("row", "n", "doc_id", F.slice("shared", F.lit(1), F.greatest(left, F.lit(0))).alias("shared"))
-    out = materialize(both.select("row", "n", "doc_id", F.posexplode("shared.value").alias("at", "value")), "postings")
+    out = materialize(both.select("row", "n", "doc_id", F.col("shared.value").alias("prefix")), "prefixes")
     discard(often)
     return out
 
 
-def estimate(x: np.ndarray, y: np.ndarray, whole: bool, k: int, num: int, den: int, least: list[int]) -> bool:
-    """Whether two sketches may be of similar sets: the union sketch has enough values of both; whole sets are compared exactly."""
-    both, counts = np.unique(np.concatenate([x, y]), return_counts=True)
-    if whole:
-        return den * int((counts == 2).sum()) >= num * len(both)
-    return int((counts[:k] == 2).sum()) >= least[min(k, len(both))]
+def estimates(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values of both, values) among the k smallest of the unions of sketches; rows of x and y are sorted sketches of k."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    twice = both[:, 1:] == both[:, :-1]
+    place = np.arange(2, both.shape[1] + 1) - np.cumsum(twice, axis=1)  # of a repeated value among the different ones
+    padded = (both >= _PAD).sum(1)
+    return (twice & (place <= k)).sum(1), np.minimum(k, both.shape[1] - twice.sum(1) - padded)
+
+
+#: What fills short sketches up to k: above all hashes but for a chance of 2^-56, other ones in x than in y.
+_PAD = np.uint64(2**64 - 256)
+
+
+def table(sketches_: list[np.ndarray], k: int, odd: int) -> np.ndarray:
+    """Sketches as rows of k, short ones filled up."""
+    out = np.tile(_PAD + np.arange(k, dtype=np.uint64) * np.uint64(2) + np.uint64(odd), (len(sketches_), 1))
+    for row, sketch in zip(out, sketches_, strict=True):
+        row[: len(sketch)] = sketch
+    return out
+
+
+def passing(x: list[np.ndarray], y: list[np.ndarray], n: np.ndarray, m: np.ndarray, k: int, num: int, den: int, least: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches of sets of sizes n and m may be of similar sets: the union sketch has enough values of both;
+    sets that sketches hold whole are compared exactly."""
+    if not len(x):
+        return np.zeros(0, bool)
+    shared, of = estimates(table(x, k, 0), table(y, k, 1), k)
+    whole = np.maximum(n, m) <= k
+    exact = np.array([len(np.intersect1d(a, b)) if w else 0 for a, b, w in zip(x, y, whole, strict=True)])
+    return np.where(whole, den * exact >= num * (n + m - exact), shared >= least[of])
 
 
 def promising(pairs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of rows of reps whose sketches may be of similar sets, as doc_ids. A head meets its members in parts."""
-    least = [needed(i, num, den) for i in range(k + 1)]
+    least = np.array([needed(i, num, den) for i in range(k + 1)])
     sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
     dealt = by_key(pairs, sizes, "a", "c").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / MEMBERS)).cast("int").alias("part"))
     dealt = materialize(dealt, "dealt")
@@ -110,13 +134,15 @@ def promising(pairs: DataFrame, reps: DataFrame, k: int, num: int, den: int) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            met: list[tuple] = []
             for is_head, doc_id, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(3)), unsigned(batch.column(3)), strict=True):
                 if is_head:
                     head = (doc_id, n, sketch)
-                elif doc_id != head[0] and estimate(head[2], sketch, max(n, head[1]) <= k, k, num, den, least):
-                    found.append((head[0], doc_id))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
+                elif doc_id != head[0]:
+                    met.append((*head, doc_id, n, sketch))
+            a, n, x, b, m, y = zip(*met, strict=True) if met else ((),) * 6
+            kept = np.flatnonzero(passing(x, y, np.array(n), np.array(m), k, num, den, least))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[kept]) for c in (a, b)], ["a", "b"])
 
     return both.select("head", "doc_id", "n", "sketch").mapInArrow(run, "a long, b long")
 
@@ -135,7 +161,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     own = sets.join(classes, ["hi", "lo", "salt"])
     reps = own.where("doc_id = rep").dropDuplicates(["hi", "lo"])
     reps = materialize(reps.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "sketch"), "reps")
-    posts = postings(reps, k, num, den)
+    rare = prefixes(reps, k, num, den)
+    posts = rare.select("row", "n", "doc_id", F.posexplode("prefix").alias("at", "value"))
     heads = posts.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct("at", "row", "n")).alias("head")).where("c > 1")
     heads = materialize(heads.select("value", "c", F.col("head.row").alias("head"), F.col("head.n").alias("head_n")), "heads")
     near = (F.col("n") * den >= F.col("head_n") * num) & (F.col("head_n") * den >= F.col("n") * num)
@@ -147,14 +174,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     twice = own.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = materialize(found.unionByName(copies).unionByName(twice), "edges")
     parts = materialize(connected(edges), "components")
-    rest = materialize(across(posts, heads, parts, reps, stars, k, num, den), "rest")
+    rest = materialize(across(rare, parts, reps, stars, k, num, den), "rest")
     if not rest.isEmpty():
         more = materialize(links(rest, docs, words, num, den), "edges")
         if not more.isEmpty():
             before, parts = parts, materialize(connected(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
             discard(before)
         discard(more)
-    for done in (posts, heads, stars, edges, rest, reps):
+    for done in (rare, heads, stars, edges, rest, reps):
         discard(done)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "salt", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "hi", "lo", "salt").join(of_class, ["hi", "lo", "salt"], "left")
@@ -162,62 +189,75 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-def across(posts: DataFrame, heads: DataFrame, parts: DataFrame, reps: DataFrame, stars: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def across(rare: DataFrame, parts: DataFrame, reps: DataFrame, stars: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of doc_ids that share a list but lie in different components and may be similar, each once.
 
     A list is dealt into blocks by a hash of the member, and each pair of blocks is a task's group: it holds two blocks
-    of sketches and gives out the pairs that pass the estimate only."""
-    least = [needed(i, num, den) for i in range(k + 1)]
-    own = posts.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    named = materialize(own.select("value", "row", "component"), "named")
+    of sketches and gives out the pairs that pass the estimate only, each in the list of its smallest common value."""
+    least = np.array([needed(i, num, den) for i in range(k + 1)])
+    own = rare.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    own = materialize(own.select("row", "doc_id", "n", "component", "prefix"), "named")
+    named = own.select("row", "component", F.explode("prefix").alias("value"))
     split = named.groupBy("value").agg(F.count("*").alias("c"), F.min("component").alias("least"), F.max("component").alias("most")).where("c > 2 and least <> most")
     split = materialize(split.select("value", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "split")
-    rows = by_key(named, split, "value", "c").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    low = rows.select("value", "row", "component", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("first"))
-    high = rows.where("block > 0").select("value", "row", "component", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("first"))
-    both = low.unionByName(high).join(reps.select("row", "doc_id", "n", "sketch"), "row")
+    rows = by_key(named.drop("component"), split, "value", "c").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    low = rows.select("value", "row", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("first"))
+    high = rows.where("block > 0").select("value", "row", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("first"))
+    both = low.unionByName(high).join(own.join(reps.select("row", "sketch"), "row"), "row")
     both = both.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", F.desc("first"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            keys = zip(*(batch.column(i).to_pylist() for i in range(7)), unsigned(batch.column(7)), strict=True)
-            for value, i, j, first, component, doc_id, n, sketch in keys:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(7)), unsigned(batch.column(7)), unsigned(batch.column(8)), strict=True)
+            for value, i, j, *member in keys:
                 if group != (value, i, j):
                     found += compared(group, members, k, num, den, least)
                     group, members = (value, i, j), []
-                members.append((first, component, doc_id, n, sketch))
+                members.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
         if found := compared(group, members, k, num, den, least):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    pairs = both.select("value", "i", "j", "first", "component", "doc_id", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    pairs = both.select("value", "i", "j", "first", "component", "doc_id", "n", "prefix", "sketch").mapInArrow(run, "a long, b long").distinct()
     name = reps.select("row", "doc_id")
     done = stars.join(name.select(F.col("row").alias("a"), F.col("doc_id").alias("x")), "a").join(name.select(F.col("row").alias("b"), F.col("doc_id").alias("y")), "b")
     return pairs.join(done.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), ["a", "b"], "left_anti")
 
 
-def compared(group: tuple | None, members: list[tuple], k: int, num: int, den: int, least: list[int]) -> list[tuple[int, int]]:
+def incidence(sets: list[np.ndarray], below: int | None = None) -> np.ndarray:
+    """Rows of 0 and 1: which of the values of two sets or more (smaller than `below`) each set has."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    if below is not None:
+        flat, owner = flat[flat < np.uint64(below)], owner[flat < np.uint64(below)]
+    values, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.full(len(values), -1)
+    column[often > 1] = np.arange(int((often > 1).sum()))
+    has = np.zeros((len(sets), int((often > 1).sum())), np.float32)
+    at = column[at]
+    has[owner[at >= 0], at[at >= 0]] = 1
+    return has
+
+
+def compared(group: tuple | None, members: list[list], k: int, num: int, den: int, least: np.ndarray) -> list[tuple[int, int]]:
     """The pairs of a group's blocks in different components whose overlaps and estimates are high enough, smaller id first."""
     if group is None or len({m[1] for m in members}) < 2:
         return []
     first, component, ids, n = (np.array([m[c] for m in members]) for c in range(4))
-    values, at, often = np.unique(np.concatenate([m[4] for m in members]), return_inverse=True, return_counts=True)
-    some = np.flatnonzero(often > 1)
-    column = np.full(len(values), -1)
-    column[some] = np.arange(len(some))
-    has = np.zeros((len(members), len(some)), np.float32)
-    owner, at = np.repeat(np.arange(len(members)), [len(m[4]) for m in members]), column[at]
-    has[owner[at >= 0], at[at >= 0]] = 1
+    sketch = [m[5] for m in members]
     left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if group[1] != group[2] else (np.arange(len(members)),) * 2
-    overlap = has[left] @ has[right].T
-    x, y = n[left][:, None].astype(np.int64), n[right][None, :].astype(np.int64)
+    has, earlier = incidence(sketch), incidence([m[4] for m in members], group[0] % 2**64)
+    overlap, x, y = has[left] @ has[right].T, n[left][:, None], n[right][None, :]
     need = np.where(np.maximum(x, y) <= k, np.minimum(x, y) * num / den, np.minimum(least[k], np.minimum(x, y) * num / den))
     maybe = (overlap >= need - 1e-6) & (component[left][:, None] != component[right][None, :]) & (x * den >= y * num) & (y * den >= x * num)
-    out = set()
-    for a, b in zip(*np.nonzero(maybe), strict=True):
-        a, b = left[a], right[b]
-        if ids[a] != ids[b] and estimate(members[a][4], members[b][4], max(n[a], n[b]) <= k, k, num, den, least):
-            out.add((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+    maybe &= (earlier[left] @ earlier[right].T == 0) & ((group[1] != group[2]) | (left[:, None] < right[None, :]))
+    a, b = np.nonzero(maybe)
+    a, b = left[a], right[b]
+    out: set[tuple[int, int]] = set()
+    for at in range(0, len(a), 4096):
+        p, q = a[at : at + 4096], b[at : at + 4096]
+        kept = passing([sketch[i] for i in p], [sketch[i] for i in q], n[p], n[q], k, num, den, least) & (ids[p] != ids[q])
+        out.update(zip(np.minimum(ids[p], ids[q])[kept].tolist(), np.maximum(ids[p], ids[q])[kept].tolist(), strict=True))
     return sorted(out)

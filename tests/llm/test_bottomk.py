@@ -48,7 +48,7 @@ def test_components_equal_brute_force(spark, monkeypatch, words, num, block, hea
 
 def test_estimates_hold_their_chance():
     """Similar sets share as many retained values as `needed` says, and the union sketch passes them."""
-    least, rng = [bottomk.needed(i, 85, 100) for i in range(65)], np.random.default_rng(5)
+    least, rng = np.array([bottomk.needed(i, 85, 100) for i in range(65)]), np.random.default_rng(5)
     for _ in range(3000):
         union = int(rng.integers(70, 900))
         both = -(-85 * union // 100)
@@ -56,8 +56,11 @@ def test_estimates_hold_their_chance():
         cut = both + (union - both) // 2
         x, y = np.sort(h[:cut])[:64], np.sort(np.concatenate([h[:both], h[cut:]]))[:64]
         assert len(np.intersect1d(x, y)) >= least[64]
-        assert bottomk.estimate(x, y, False, 64, 85, 100, least)
-    assert not bottomk.estimate(np.arange(64, dtype=np.uint64), np.arange(40, 104, dtype=np.uint64), False, 64, 85, 100, least)
+        assert bottomk.passing([x], [y], np.array([cut]), np.array([both + union - cut]), 64, 85, 100, least).all()
+        values, counts = np.unique(np.concatenate([x, y]), return_counts=True)
+        assert [int(v[0]) for v in bottomk.estimates(bottomk.table([x], 64, 0), bottomk.table([y], 64, 1), 64)] == [int((counts[:64] == 2).sum()), min(64, len(values))]
+    apart = np.arange(64, dtype=np.uint64), np.arange(40, 104, dtype=np.uint64)
+    assert not bottomk.passing([apart[0]], [apart[1]], np.array([99]), np.array([99]), 64, 85, 100, least).any()
 
 
 def test_prefixes_leave_what_must_be_shared():
