@@ -6,7 +6,7 @@ query is turned likewise, quantised to a few bits a coordinate and cut into bit
 then counts of common bits (the rounding adds its own error). <q, v> is estimated as <q, mean> + |r| <P q, signs> / (sqrt(D) correction), within
 |q| |r| sqrt((1 - correction^2) / correction^2) eps / sqrt(D - 1). The codes need no training; the mean is taken over all rows.
 
-The encoded vectors are written once, and all of them are scanned for each part of at most about QUERIES queries,
+The encoded vectors are written once, and all of them are scanned for each part of the queries, at most about QUERY_BYTES of vectors,
 which alone goes to the tasks. A task carries the k-th best exact product of each query from batch to batch, and
 only vectors whose upper bound reaches it are reranked by the exact product in double precision. A window joins the
 k best of the tasks; nothing else is shuffled.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-#: Least bits of a code, bits of a query's coordinate, standard errors of the bounds, queries sent to the tasks at once.
-CODE_BITS, QUERY_BITS, EPS, QUERIES = 256, 3, 1.3, 16_384
+#: Least bits of a code, bits of a query's coordinate, standard errors of the bounds, bytes of queries' vectors sent to the tasks at once.
+CODE_BITS, QUERY_BITS, EPS, QUERY_BYTES = 256, 3, 1.3, 8 << 20
 _DATA = "row long, vec_id long, asked boolean, v array<double>, code binary, length double, correction double"
 
 
@@ -163,10 +163,10 @@ def search(vectors: DataFrame, asked: Column, k: int, id_col: str, vec_col: str,
     mean, turn = _mean(base, dim), rotation(dim, code_bits(dim))
     data = encoded(base, dim, mean, turn)
     ask = data.where("asked").select("row", "vec_id", "v")
-    parts = -(-max(ask.count(), 1) // QUERIES)
+    parts = -(-max(ask.count(), 1) * max(dim, 1) * 8 // QUERY_BYTES)
     out = []
     for part in range(parts):
-        chosen = ask.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == part).toArrow()  # about QUERIES vectors
+        chosen = ask.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == part).toArrow()  # about QUERY_BYTES
         out.append(materialize(_scan(data, chosen, dim, mean, turn, k, eps), "nearest"))
     discard(data)
     both = functools.reduce(DataFrame.unionAll, out)

@@ -228,5 +228,6 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     kept = docs.where("doc_id is not null").join(grouped, "doc_id", "left_semi")
     others = [F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")]
     first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"), *others)
-    kept = kept.withColumn("_version", F.row_number().over(first)).where("_version = 1")
+    version = next(name for i in range(len(docs.columns) + 1) if (name := f"_version{i}") not in {c.lower() for c in docs.columns})
+    kept = kept.withColumn(version, F.row_number().over(first)).where(F.col(version) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

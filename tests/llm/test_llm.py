@@ -239,7 +239,7 @@ def test_neighbours_of_repeated_ids(spark):
 
 
 def test_neighbours_rerank_few(spark, sf, monkeypatch):
-    monkeypatch.setattr(ann, "QUERIES", 40)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 40 * 64 * 8)
     vectors = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet")
     found, work = ann.search(vectors, F.expr("vec_id % 20 = 0"), 20, "vec_id", "embedding", ann.EPS)
     done = work.agg(F.sum("reranked"), F.sum("compared")).first()
@@ -576,6 +576,8 @@ def test_keep_one(spark):
     df = spark.createDataFrame([(4, long_, "s"), (2, long_ + " x", "t"), (2, long_ + " x", "t"), (2, "z", "a"), (2, None, "a"), (2, long_ + " x", "z"), (7, "else", "u"), (8, None, "v"), (None, long_, "w")], "doc_id long, text string, source string")
     kept = jaccard.keep_one(df)
     assert sorted(rows(kept), key=repr) == sorted([(2, long_ + " x", "t"), (7, "else", "u"), (8, None, "v"), (None, long_, "w")], key=repr)
+    clash = jaccard.keep_one(df.withColumns({"_version0": F.lit(5), "_version": F.lit(6)}))
+    assert {r[3:] for r in rows(clash)} == {(5, 6)} and clash.columns == [*df.columns, "_version0", "_version"]
 
 
 def test_components_of_chains_and_stars(spark):
