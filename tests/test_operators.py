@@ -113,7 +113,7 @@ def test_all_evidence_counts(spark, sf):
     sets = {}
     for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_discount").collect():
         sets.setdefault((r[0], r[1] % 6), []).append(r[2] * 5 + 0.3)
-    found = {(r["loop_id"], r["family"]): r for r in entry.queries()["evidence_fusion_all"](spark, sf).collect()}
+    found = {(r["loop_id"], r["family"]): r for r in entry.queries()["evidence_fusion"](spark, sf).collect()}
     assert {k: r["hits"] for k, r in found.items()} == {k: len(c) for k, c in sets.items()}
     for k, c in sets.items():
         belief, doubt = math.prod(map(Fraction, c)), math.prod(1 - Fraction(x) for x in c)
