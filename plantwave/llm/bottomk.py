@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 from .components import connected
-from .jaccard import SALTS, _classes, links
+from .jaccard import SALTS, _classes, links, similar
 from .shingles import mix, shingle_sets
 
 #: Values of a sketch, and the chance that a similar pair is not compared.
@@ -174,9 +174,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     twice = own.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = materialize(found.unionByName(copies).unionByName(twice), "edges")
     parts = materialize(connected(edges), "components")
-    rest = materialize(across(rare, parts, reps, stars, k, num, den), "rest")
+    rest = materialize(across(rare, parts, reps, k, num, den), "rest")
     if not rest.isEmpty():
-        more = materialize(links(rest, docs, words, num, den), "edges")
+        more = materialize(verified(rest, docs, words, num, den), "edges")
         if not more.isEmpty():
             before, parts = parts, materialize(connected(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
             discard(before)
@@ -189,11 +189,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-def across(rare: DataFrame, parts: DataFrame, reps: DataFrame, stars: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of doc_ids that share a list but lie in different components and may be similar, each once.
+_GROUP = "value long, i int, j int, members array<long>, x array<int>, y array<int>"
+
+
+def across(rare: DataFrame, parts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs of doc_ids that share a list but lie in different components and may be similar, each once: a row for each
+    group (value, i, j) that has some, with its members and the pairs x, y as places among them.
 
     A list is dealt into blocks by a hash of the member, and each pair of blocks is a task's group: it holds two blocks
-    of sketches and gives out the pairs that pass the estimate only, each in the list of its smallest common value."""
+    of sketches and gives out the pairs that pass the estimate, each in the list of its smallest common value."""
     least = np.array([needed(i, num, den) for i in range(k + 1)])
     own = rare.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     own = materialize(own.select("row", "doc_id", "n", "component", "prefix"), "named")
@@ -206,24 +210,60 @@ def across(rare: DataFrame, parts: DataFrame, reps: DataFrame, stars: DataFrame,
     both = low.unionByName(high).join(own.join(reps.select("row", "sketch"), "row"), "row")
     both = both.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", F.desc("first"))
 
+    schema = pa.schema([("value", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("members", pa.list_(pa.int64())), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))])
+
+    def told(group: tuple | None, members: list[list]) -> Iterator[pa.RecordBatch]:
+        if found := compared(group, members, k, num, den, least):
+            ids, at = np.unique(np.array(found, np.int64), return_inverse=True)
+            at = at.reshape(-1, 2).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*group, ids, at[:, 0], at[:, 1]), schema, strict=True)], schema=schema)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, []
         for batch in batches:
-            found: list[tuple[int, int]] = []
             keys = zip(*(batch.column(i).to_pylist() for i in range(7)), unsigned(batch.column(7)), unsigned(batch.column(8)), strict=True)
             for value, i, j, *member in keys:
                 if group != (value, i, j):
-                    found += compared(group, members, k, num, den, least)
+                    yield from told(group, members)
                     group, members = (value, i, j), []
                 members.append(member)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
-        if found := compared(group, members, k, num, den, least):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+        yield from told(group, members)
+
+    return both.select("value", "i", "j", "first", "component", "doc_id", "n", "prefix", "sketch").mapInArrow(run, _GROUP)
+
+
+def verified(groups: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of groups whose whole sets are similar enough. A group's texts come to it once each, however many
+    pairs they are in; ids of several texts are compared by all of them."""
+    need = groups.select("value", "i", "j", F.explode("members").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(need.hint("merge"), "doc_id").select("value", "i", "j", "doc_id", "text")
+    none = F.lit(None)
+    heads = groups.select("value", "i", "j", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "members", "x", "y")
+    rows = texts.select("*", *(none.cast(t).alias(c) for c, t in (("members", "array<long>"), ("x", "array<int>"), ("y", "array<int>"))))
+    both = heads.unionByName(rows).repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", F.asc_nulls_first("doc_id"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def judged(pairs: tuple | None, sets: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if pairs is not None:
+            members, x, y = pairs
+            known = [(members[p], members[q]) for p, q in zip(x, y, strict=True)]
+            found = [(a, b) for a, b in known if any(similar(u, v, num, den) for u in sets.get(a, ()) for v in sets.get(b, ()) if len(u) and len(v))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
 
-    pairs = both.select("value", "i", "j", "first", "component", "doc_id", "n", "prefix", "sketch").mapInArrow(run, "a long, b long").distinct()
-    name = reps.select("row", "doc_id")
-    done = stars.join(name.select(F.col("row").alias("a"), F.col("doc_id").alias("x")), "a").join(name.select(F.col("row").alias("b"), F.col("doc_id").alias("y")), "b")
-    return pairs.join(done.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), ["a", "b"], "left_anti")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, sets = None, {}
+        for batch in batches:
+            for row, h in enumerate(shingle_sets(batch.column(4), words)):
+                doc_id = batch.column(3)[row].as_py()
+                if doc_id is None:
+                    yield from judged(pairs, sets)
+                    pairs, sets = tuple(batch.column(c)[row].as_py() for c in (5, 6, 7)), {}
+                else:
+                    sets.setdefault(doc_id, []).append(h)
+        yield from judged(pairs, sets)
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def incidence(sets: list[np.ndarray], below: int | None = None) -> np.ndarray:
