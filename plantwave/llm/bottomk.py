@@ -35,7 +35,7 @@ from .shingles import mix, shingle_sets
 #: Values of a sketch, and the chance that a similar pair is not compared.
 K, MISS = 64, 1e-9
 #: Members compared with one head in a task, members of a block of a list, lists that a broadcast may hold.
-MEMBERS, BLOCK, HEAVY = 256, 256, 1 << 16
+MEMBERS, BLOCK, HEAVY = 256, 512, 1 << 16
 
 
 def needed(k: int, num: int, den: int, miss: float = MISS) -> int:
