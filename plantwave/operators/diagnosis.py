@@ -115,9 +115,13 @@ def fusion(confidence: Column) -> Column:
 
 
 def fuse_families(found: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, family, hits, confidence) of the operators that detected something."""
+    """(keys, family, hits, confidence) of the operators that detected something.
+
+    A filter before the grouping would have every operator's folds done once more, within the filter."""
     family = F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))[F.col("operator")]
-    return found.where("detected").groupBy(*keys, family.alias("family")).agg(F.count("confidence").cast("int").alias("hits"), fusion(F.col("confidence")).alias("confidence"))
+    sure = F.when(F.col("detected"), F.col("confidence"))
+    out = found.groupBy(*keys, family.alias("family")).agg(F.count(sure).cast("int").alias("hits"), fusion(sure).alias("confidence"), F.max("detected").alias("_any"))
+    return out.where("_any").drop("_any")
 
 
 def classify(families: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ second-order model are solved in closed form and its impulse response runs in an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,30 +121,40 @@ def swings(df: DataFrame, threshold: float = 0.4, low: float = 0.05, high: float
     """Adds crossings, half_cycle (samples), oscillation_rate, is_oscillating, period to rows with edges; edges go.
 
     The likeness of a side's half cycles is how near the mean of their areas lies to the medoid, the area nearest the mean;
-    areas far from the medoid do not count."""
-    between = lambda i, part: F.col("edges")[i + 1][part] - F.col("edges")[i][part]
-    cycles = F.when(F.size("edges") > 1, F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.struct(between(i, "area").alias("area"), between(i, "n").alias("n"), (between(i, "sum") > 0).alias("above"))))
-    df = df.withColumns({"crossings": F.size("edges"), "_cycles": cycles})
-    for side, of_side in (("_a", lambda c: c["above"]), ("_b", lambda c: ~c["above"])):
-        df = _likeness(df.withColumn(side, F.transform(F.filter("_cycles", of_side), lambda c: c["area"])), side, low, high)
-    half = F.aggregate("_cycles", F.lit(0).cast("long"), lambda s, c: s + c["n"]) / F.size("_cycles")
+    areas far from the medoid do not count. One expression makes them all, so that no optimiser repeats a part of it for
+    every half cycle, as it does with columns of columns under a filter."""
+    between = lambda e, i, part: e[i + 1][part] - e[i][part]
+    cycle = lambda e, i: F.struct(between(e, i, "area").alias("area"), between(e, i, "n").alias("n"), (between(e, i, "sum") > 0).alias("above"))
+    cycles = lambda e: F.when(F.size(e) > 1, F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: cycle(e, i)))
+
+    def measured(c: Column) -> Column:
+        side = lambda of_side: once(F.transform(F.filter(c, of_side), lambda x: x["area"]), lambda a: _likeness(a, low, high))
+        half = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["n"]) / F.size(c)
+        return F.struct(half.alias("half_cycle"), side(lambda x: x["above"]).alias("s_a"), side(lambda x: ~x["above"]).alias("s_b"))
+
+    df = df.withColumns({"crossings": F.size("edges"), "_swing": once(F.col("edges"), lambda e: once(cycles(e), measured))}).drop("edges")
+    df = df.select("*", "_swing.*").drop("_swing")
     enough = (F.col("crossings") >= least_crossings) & F.col("s_a").isNotNull() & F.col("s_b").isNotNull()
     both = F.coalesce(enough & (F.col("s_a") >= threshold) & (F.col("s_b") >= threshold), F.lit(False))
-    df = df.withColumns({"half_cycle": half, "oscillation_rate": F.when(enough, F.least("s_a", "s_b") * 100).otherwise(0.0), "is_oscillating": both})
-    df = df.withColumn("period", F.when(F.col("is_oscillating"), 2 * F.col("half_cycle")).otherwise(0.0))
-    return df.drop("edges", "_cycles", *(f"{s}{t}" for s in ("_a", "_b") for t in ("", "_mean", "_medoid", "_near")))
+    df = df.withColumns({"oscillation_rate": F.when(enough, F.least("s_a", "s_b") * 100).otherwise(0.0), "is_oscillating": both})
+    return df.withColumn("period", F.when(F.col("is_oscillating"), 2 * F.col("half_cycle")).otherwise(0.0))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _likeness(df: DataFrame, side: str, low: float, high: float) -> DataFrame:
+def _likeness(areas: Column, low: float, high: float) -> Column:
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
-    centre, medoid = F.col(f"{side}_mean"), F.col(f"{side}_medoid")
-    df = df.withColumn(f"{side}_mean", F.when(F.size(side) > 0, mean(F.col(side))))
-    nearest = F.array_min(F.transform(side, lambda a, i: F.struct(F.abs(a - centre).alias("far"), i.alias("i"), a.alias("area"))))
-    df = df.withColumn(f"{side}_medoid", nearest["area"])
-    df = df.withColumn(f"{side}_near", F.filter(side, lambda a: F.try_divide(a, medoid).between(low, high)))
-    near = F.when(F.size(f"{side}_near") > 0, mean(F.col(f"{side}_near")))
-    alike = F.coalesce(clamp01(1 - F.try_divide(F.abs(near - medoid), F.abs(medoid))), F.lit(0.0))
-    return df.withColumn(f"s{side}", F.when(F.size(side) > 0, F.when((F.size(side) < 2) | (F.abs(medoid) < 1e-12), 0.0).otherwise(alike)))
+
+    def about(medoid: Column) -> Column:
+        near = once(F.filter(areas, lambda a: F.try_divide(a, medoid).between(low, high)), lambda c: F.when(F.size(c) > 0, mean(c)))
+        alike = F.coalesce(clamp01(1 - F.try_divide(F.abs(near - medoid), F.abs(medoid))), F.lit(0.0))
+        return F.when((F.size(areas) < 2) | (F.abs(medoid) < 1e-12), 0.0).otherwise(alike)
+
+    nearest = lambda centre: F.array_min(F.transform(areas, lambda a, i: F.struct(F.abs(a - centre).alias("far"), i.alias("i"), a.alias("area"))))["area"]
+    return F.when(F.size(areas) > 0, once(once(mean(areas), nearest), about))
 
 
 def clamp01(x: Column) -> Column:
