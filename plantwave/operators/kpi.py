@@ -9,6 +9,8 @@ from ..functions.signals import AUTO_MODES, DEFAULT_WEIGHTS, SCORE_TYPES, TYPE_W
 
 #: Share of valid points below which an indicator is inconclusive.
 LEAST_SHARE = 0.20
+#: Distances of areas from their mean are told apart to this share of the mean.
+NEAR = 1e-9
 
 
 def ratio(part: Column, whole: Column, factor: float = 100.0) -> Column:
@@ -68,7 +70,8 @@ def oscillation(df: DataFrame, keys: list[str], by: list[str], e: str = "e", thr
     """(keys, crossings, s_a, s_b, half_cycle, oscillation_rate, is_oscillating, period) of the error between set-point crossings.
 
     Zeros take the sign before them; half cycles cut off by the window's ends do not count. The medoid of the half
-    cycles' areas is the value nearest their mean, the earliest of equals."""
+    cycles' areas is the value nearest their mean, the earliest of equals: distances that differ by less than NEAR of the
+    mean are equal, since the last bits of a mean depend on the order of its sum."""
     w = Window.partitionBy(*keys).orderBy(*by)
     sign = F.last(F.when(F.col(e) != 0, F.signum(e)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     df = df.where(~missing(e)).withColumn("_sign", sign)
@@ -80,7 +83,8 @@ def oscillation(df: DataFrame, keys: list[str], by: list[str], e: str = "e", thr
     halves = parts.where((F.col("_part") > 0) & (F.col("_part") < F.col("crossings")))
     side = Window.partitionBy(*keys, "side")
     halves = halves.withColumns({"_mean": F.avg("area").over(side), "_n": F.count(F.lit(1)).over(side)})
-    halves = halves.withColumn("_medoid", F.min_by("area", F.struct(F.abs(F.col("area") - F.col("_mean")), "_part")).over(side))
+    far = F.round(F.try_divide(F.abs(F.col("area") - F.col("_mean")), F.col("_mean") * NEAR))
+    halves = halves.withColumn("_medoid", F.min_by("area", F.struct(far, "_part")).over(side))
     near = F.try_divide("area", "_medoid").between(low, high)
     sides = halves.groupBy(*keys, "side", "_medoid", "_n").agg(F.avg(F.when(near, F.col("area"))).alias("_kept"), F.sum("length").alias("_length"))
     alike = F.when((F.col("_n") < 2) | (F.abs("_medoid") < 1e-12), 0.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide(F.abs(F.col("_kept") - F.col("_medoid")), F.abs("_medoid")))), F.lit(0.0)))
@@ -109,7 +113,8 @@ HALF_CYCLE, ALIKE = 8, 0.6
 
 def limit_cycle(df: DataFrame, keys: list[str], by: list[str], x: str = "pv", least_half: float = HALF_CYCLE) -> DataFrame:
     """(keys, crossings, half_cycle, s_a, s_b, is_cycle): whether x swings about its mean in alike, long enough half cycles."""
-    centred = df.withColumn("_x", F.col(x) - F.avg(x).over(Window.partitionBy(*keys)))
+    whole = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    centred = df.withColumn("_x", F.col(x) - F.avg(x).over(whole))  # summed in order, so that values at the mean fall on the same side each time
     found = oscillation(centred, keys, by, "_x")
     cycle = (F.col("crossings") >= 4) & (F.col("half_cycle") >= least_half) & (F.col("s_a") >= ALIKE) & (F.col("s_b") >= ALIKE)
     return found.select(*keys, "crossings", "half_cycle", "s_a", "s_b", F.coalesce(cycle, F.lit(False)).alias("is_cycle"))
