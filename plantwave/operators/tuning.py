@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import deque
 
 import numpy as np
@@ -64,37 +63,57 @@ def risk(old: Column, new: Column, grade: Column, theta: Column, tau: Column, k:
     return F.when(points >= 4, "HIGH").when(points >= 2, "MEDIUM").otherwise("LOW")
 
 
-def closed_loop(k: float, tau: float, theta: float, kp: float, ti: float, td: float, seconds: float, dt: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(time, output) of a unit step of the set point: incremental controller, derivative on the measurement, output within 100, dead time as a queue."""
+def closed_loops(k: np.ndarray, tau: np.ndarray, theta: np.ndarray, kp: np.ndarray, ti: np.ndarray, td: np.ndarray, seconds: float, dt: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(time, outputs by time and loop) of a unit step of the set point of many loops: incremental controller, derivative on the measurement, output within 100, dead time as a delay.
+
+    Loops of one dead time and one number of inner steps go through time together."""
     n = int(seconds / dt) + 1
-    out, pv, u, e1, y1, y2 = np.zeros(n), 0.0, 0.0, 0.0, 0.0, 0.0
-    queue = deque([0.0] * round(theta / dt))
-    parts = max(1, math.ceil(4 * dt / max(tau, 1e-6)))
+    out = np.zeros((n, len(k)))
+    waits, parts = np.round(theta / dt).astype(int), np.maximum(1, np.ceil(4 * dt / np.maximum(tau, 1e-6))).astype(int)
+    for wait, part in np.unique(np.stack([waits, parts]), axis=1).T.tolist():
+        at = np.flatnonzero((waits == wait) & (parts == part))
+        out[:, at] = _step_response(*(x[at] for x in (k, tau, kp, ti, td)), wait, part, n, dt)
+    return np.arange(n) * dt, out
+
+
+def _step_response(k: np.ndarray, tau: np.ndarray, kp: np.ndarray, ti: np.ndarray, td: np.ndarray, wait: int, parts: int, n: int, dt: float) -> np.ndarray:
+    out, zero, h = np.zeros((n, len(k))), np.zeros(len(k)), dt / parts
+    pv, u, e1, y1, y2 = zero, zero, zero, zero, zero
+    integral, queue = np.divide(dt, ti, out=np.zeros(len(k)), where=ti > 0), deque([zero] * wait)
     for i in range(n):
         out[i] = pv
         e = 1.0 - pv
-        u = max(-100.0, min(100.0, u + kp * ((e - e1 if i else e) + (dt / ti * e if ti > 0 else 0.0) - td / dt * (pv - 2 * y1 + y2))))
+        u = np.clip(u + kp * ((e - e1 if i else e) + integral * e - td / dt * (pv - 2 * y1 + y2)), -100.0, 100.0)
         e1, y2, y1 = e, y1, pv
         queue.append(u)
         drive = k * queue.popleft()
         for _ in range(parts):
-            h = dt / parts
             a = (drive - pv) / tau
             b = (drive - pv - h / 2 * a) / tau
             c = (drive - pv - h / 2 * b) / tau
             d = (drive - pv - h * c) / tau
-            pv += h / 6 * (a + 2 * b + 2 * c + d)
-    return np.arange(n) * dt, out
+            pv = pv + h / 6 * (a + 2 * b + 2 * c + d)
+    return out
+
+
+def closed_loop(k: float, tau: float, theta: float, kp: float, ti: float, td: float, seconds: float, dt: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """closed_loops() of one loop."""
+    t, out = closed_loops(*(np.array([float(x)]) for x in (k, tau, theta, kp, ti, td)), seconds, dt)
+    return t, out[:, 0]
 
 
 def response_metrics(t: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """Rise time from 10 to 90 %, overshoot in percent, settling within 2 %, time-weighted absolute error."""
-    dt = float(t[1] - t[0])
-    low, high = (np.flatnonzero(y >= x) for x in (0.1, 0.9))
-    outside = np.flatnonzero(np.abs(y - 1) > 0.02)
+    """responses_metrics() of one loop."""
+    return {name: float(x[0]) for name, x in responses_metrics(t, y[:, None]).items()}
+
+
+def responses_metrics(t: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each column: rise time from 10 to 90 %, overshoot in percent, settling within 2 %, time-weighted absolute error."""
+    dt, last = float(t[1] - t[0]), len(t) - 1
+    low, high, outside = y >= 0.1, y >= 0.9, np.abs(y - 1) > 0.02
     return {
-        "rise": float(t[high[0]] - t[low[0]]) if len(low) and len(high) else float(t[-1]),
-        "overshoot": float(max(0.0, y.max() - 1) * 100),
-        "settling": float(t[outside[-1]] + dt) if len(outside) else 0.0,
-        "itae": float((t * np.abs(1 - y)).sum() * dt),
+        "rise": np.where(low.any(0) & high.any(0), t[high.argmax(0)] - t[low.argmax(0)], t[-1]),
+        "overshoot": np.maximum(0.0, y.max(0) - 1) * 100,
+        "settling": np.where(outside.any(0), t[last - outside[::-1].argmax(0)] + dt, 0.0),
+        "itae": np.stack([(t * np.abs(1 - one)).sum() for one in y.T]) * dt if y.shape[1] else np.zeros(0),
     }

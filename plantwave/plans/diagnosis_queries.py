@@ -19,6 +19,8 @@ from ..streaming import samples as stream
 SEGMENT = 3600
 #: Samples of one waveform at most: a day of seconds.
 WAVEFORM = 86_400
+#: Loops that are simulated side by side, whose responses are in memory at once.
+SIMULATED = 2_000
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -243,16 +245,17 @@ def tuning_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def closed_loop_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of every loop's set point; loops are dealt to tasks, since a small table of loops is much work in few files."""
+
     def run(parts):
         for part in parts:
-            rows = []
-            for r in part.itertuples():
-                kp = r.tau / (r.k * (r.tau + r.theta))
-                m = tuning.response_metrics(*tuning.closed_loop(r.k, r.tau, r.theta, kp, r.tau, 0.0, 300))
-                rows.append((r.loop_id, *(round(m[x], 4) for x in ("rise", "overshoot", "settling", "itae"))))
-            yield pd.DataFrame(rows, columns=["loop_id", "rise", "overshoot", "settling", "itae"])
-
-    return models(spark, sf_dir).mapInPandas(run, "loop_id long, rise double, overshoot double, settling double, itae double")
+            for at in range(0, len(part), SIMULATED):
+                some = part.iloc[at : at + SIMULATED]
+                k, tau, theta = (some[c].to_numpy(float) for c in ("k", "tau", "theta"))
+                m = tuning.responses_metrics(*tuning.closed_loops(k, tau, theta, tau / (k * (tau + theta)), tau, np.zeros(len(k)), 300))
+                yield pd.DataFrame({"loop_id": some["loop_id"]} | {x: [round(v, 4) for v in m[x].tolist()] for x in ("rise", "overshoot", "settling", "itae")})
+
+    return models(spark, sf_dir).repartition("loop_id").mapInPandas(run, "loop_id long, rise double, overshoot double, settling double, itae double")
 
 
 RULE = json.dumps({"condition": {"type": "AND", "conditions": [{"type": "threshold", "field": "score", "operator": "<", "value": 40}, {"type": "OR", "conditions": [{"type": "confidence", "worseThan": "B"}, {"type": "threshold", "field": "auto_rate", "operator": "<=", "value": 10}]}, {"type": "NOT", "conditions": [{"type": "threshold", "field": "status", "operator": "IN", "value": ["INCONCLUSIVE"]}]}]}, "durationCount": 2})
