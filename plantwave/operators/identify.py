@@ -41,14 +41,15 @@ def fit_armax(y: np.ndarray, u: np.ndarray, na: int = 1, nb: int = 1, nc: int =
         return None
     start = max(na, nb + delay)
     e = np.concatenate([np.zeros(start), first["residual"]])
-    model = first
+    phi, target = regressors(y, u, na, nb, delay)
+    full = np.concatenate([phi, np.zeros((len(phi), nc))], 1)
+    theta = None
     for _ in range(rounds):
-        phi, target = regressors(y, u, na, nb, delay)
-        full = np.concatenate([phi, np.stack([e[start - i : len(y) - i] for i in range(1, nc + 1)], 1)], 1)
+        for i in range(1, nc + 1):
+            full[:, na + nb + i - 1] = e[start - i : len(y) - i]
         theta = np.linalg.lstsq(full, target, rcond=None)[0]
-        e = np.concatenate([np.zeros(start), target - full @ theta])
-        model = _model(theta[: na + nb], phi, target, na, delay) | {"c": theta[na + nb :], "residual": e[start:]}
-    return model
+        e[start:] = target - full @ theta
+    return first if theta is None else _model(theta[: na + nb], phi, target, na, delay) | {"c": theta[na + nb :], "residual": e[start:]}
 
 
 def simulate(model: dict, u: np.ndarray, y0: np.ndarray) -> np.ndarray:

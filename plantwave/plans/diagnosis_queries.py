@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ WAVEFORM = 86_400
 #: Loops that are simulated side by side, whose responses are in memory at once.
 SIMULATED = 2_000
 
+#: Rows of process_models().
+MODEL = pa.schema([("loop_id", pa.int64()), ("segment", pa.int64()), ("points", pa.int64()), ("structure", pa.string()), *((c, pa.float64()) for c in ("gain", "tau", "theta", "fit")), ("feasible", pa.string()), ("grade", pa.string())])
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -202,14 +206,16 @@ def uniform_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def process_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The process of each loop from its own pv and op; tau and theta in samples. Long histories are cut into segments that use every sample."""
 
-    def run(key: tuple, w: pd.DataFrame) -> pd.DataFrame:
-        w = w.sort_values(["ts", "event_id"])
-        found = identify.from_history(w["pv"].to_numpy(float), w["op"].to_numpy(float), r=w["sp"].to_numpy(float))
-        n = lambda x: None if x is None else round(float(x), 4)
-        return pd.DataFrame([(*key, len(w), found["structure"], n(found["K"]), n(found["tau"]), n(found["theta"]), n(found["r2"]), found["feasible"], found["grade"])])
+    def run(key: tuple[pa.Scalar, ...], w: pa.Table) -> pa.Table:
+        w = w.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+        y, u, r = (np.asarray(w[c].to_numpy(), float) for c in ("pv", "op", "sp"))
+        found = identify.from_history(y, u, r=r)
+        numbers = {name: None if found[x] is None else round(float(found[x]), 4) for name, x in (("gain", "K"), ("tau", "tau"), ("theta", "theta"), ("fit", "r2"))}
+        row = {"loop_id": key[0].as_py(), "segment": key[1].as_py(), "points": len(y), "structure": found["structure"]} | numbers | {"feasible": found["feasible"], "grade": found["grade"]}
+        return pa.Table.from_pylist([row], MODEL)
 
     df = segments.bounded(windows(spark, sf_dir).select("loop_id", "ts", "event_id", "pv", "sp", "op"), ["loop_id"], ["ts", "event_id"], SEGMENT)
-    return df.groupBy("loop_id", "segment").applyInPandas(run, "loop_id long, segment long, points long, structure string, gain double, tau double, theta double, fit double, feasible string, grade string")
+    return df.groupBy("loop_id", "segment").applyInArrow(run, "loop_id long, segment long, points long, structure string, gain double, tau double, theta double, fit double, feasible string, grade string")
 
 
 _MODELS = f"with {LEDGER_SQL}, m as (select loop_id, (0.5 + level * 0.5)::double as k, (10.0 + loop_id % 50)::double as tau, (1.0 + loop_id % 9)::double as theta from l) "
